@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import bpe, packing
+from factweave.llm import bpe, fingerprint, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": packing.op3_packing,
+        "op4_quality": quality.op4_quality,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op9_fingerprints": fingerprint.op9_fingerprints,
     }
 
 
