@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import bpe, fingerprint, packing, quality
+from factweave.llm import bpe, fingerprint, lines, packing, quality, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bit_sliced_top_k": topk.op1_bit_sliced_top_k,
         "op3_packing": packing.op3_packing,
         "op4_quality": quality.op4_quality,
+        "op6_line_dedup": lines.op6_line_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op9_fingerprints": fingerprint.op9_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_bit_sliced_top_k": topk.ORACLE_SQL}
