@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import bpe, fingerprint, lines, packing, quality, topk
+from factweave.llm import bpe, fingerprint, lines, packing, quality, suffixes, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bit_sliced_top_k": topk.op1_bit_sliced_top_k,
         "op3_packing": packing.op3_packing,
         "op4_quality": quality.op4_quality,
+        "op5_suffix_array": suffixes.op5_suffix_array,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op9_fingerprints": fingerprint.op9_fingerprints,
