@@ -6,20 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import bpe, fingerprint, lines, packing, quality, suffixes, topk
+from factweave.llm import bpe, fingerprint, html, licenses, lines, packing, quality, suffixes, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bit_sliced_top_k": topk.op1_bit_sliced_top_k,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_packing": packing.op3_packing,
         "op4_quality": quality.op4_quality,
         "op5_suffix_array": suffixes.op5_suffix_array,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_html_text": html.op8_html_text,
         "op9_fingerprints": fingerprint.op9_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bit_sliced_top_k": topk.ORACLE_SQL}
+    return {"op1_bit_sliced_top_k": topk.ORACLE_SQL, "op2_license_scan": licenses.ORACLE_SQL}
