@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import bpe, fingerprint, html, licenses, lines, packing, quality, suffixes, topk
+from factweave.llm import bpe, fingerprint, html, jaccard, licenses, lines, packing, quality, suffixes, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_html_text": html.op8_html_text,
         "op9_fingerprints": fingerprint.op9_fingerprints,
+        "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
 
 
