@@ -13,51 +13,77 @@ null ids are packed like any others. Columns other than the id and the text are
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from factweave.llm.bpe import byte_characters
 from factweave.llm.common import checkpoint, strings, table
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW, OPEN, END, FAN_IN = 4096, 16, 2, 64
-#: Words that a worker remembers; it forgets all of them when they are more.
-REMEMBERED = 400_000
+#: Words, and pieces of words, that a worker remembers.
+REMEMBERED = 600_000
+#: Letters from here on may have other normal forms.
+LATIN = "\u0250"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class _Known(dict):
+    """A bounded memory: what it lacks it asks for, and it forgets all when full."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        self.ask = ask
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.ask(key)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordTokenizer:
     """The ids of a text, word by word.
 
     The tokenizer drops white space and joins nothing across it, and its normaliser maps characters one by one or
     together with marks that follow them, so a text cut at blanks and line ends has the ids of its words in turn.
+    Words of printable Latin letters, on which normal forms have no effect, are lowered and cut by the tokenizer's own
+    pattern here, and its model is asked for each new piece; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        self.model = self.tokenizer.model
+        split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
+        self.cut = regex.compile(split["pattern"]["Regex"]).findall
+        self.shown = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
+        self.pieces, self.words = _Known(self._piece), _Known(self._word)
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown)))
+
+    def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if word.isprintable() and (word.isascii() or max(word) < LATIN):
+            low = word.lower()
+            return self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, self.cut(low)))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
-        if new := set(words).difference(self.known):
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {"": b""}
-                new = {*words} - {""}
-            self._learn(list(new))
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(2)
