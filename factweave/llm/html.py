@@ -5,7 +5,8 @@ implied ends (a paragraph ends where a block begins, a list item where the next
 ignores ends that match nothing. What is never shown is left out: heads, scripts, styles, templates, form choices,
 ``hidden`` and ``aria-hidden`` elements, and inline styles that hide. All other text is emitted, so none that a reader
 would see is lost: white space collapses outside ``pre``, blocks are set apart by line ends, paragraphs, headings, lists
-and tables by an empty line, list items are marked and indented by depth, and cells of a table are aligned in columns.
+and tables by an empty line, list items are marked and indented by depth, and cells of a table are aligned in columns
+(empty lines within cells are left out).
 
 A null page gives null, an empty one "". Pages may be broken anywhere, and of any length. Rows stand for themselves;
 columns are kept, whatever their names, but for ``text``, which is added.
@@ -71,8 +72,11 @@ class Text:
             first, *rest = text.split("\n")
             self._put(first, indent)
             for part in rest:
-                self.end()
-                self.lines.append(indent) if not part else self._put(part, indent)
+                if self.line:
+                    self.end()
+                elif self.lines:
+                    self.lines.append("")
+                self._put(part, indent)
             return
         text = SPACE.sub(" ", text)
         if text[0] == " ":
@@ -183,6 +187,16 @@ def render(page: str) -> str:
                     leave()
                 return
 
+    def close_nearest(name: str, within: frozenset[str]) -> None:
+        if opened[name]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    while len(stack) > k:
+                        leave()
+                    return
+                if stack[k][0] in within:
+                    return
+
     while at < n:
         found = TOKEN.match(page, at)
         name, text = found[2], found[4]
@@ -206,7 +220,7 @@ def render(page: str) -> str:
                     flows[-1].end()
             else:
                 scope = frozenset() if name in ("table", "html", "body") else frozenset({"table"}) if name in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else P_SCOPE
-                close(frozenset({name}), scope - {name})
+                close_nearest(name, scope)
             continue
         rest = found[3]
         if name in IMPLIED:

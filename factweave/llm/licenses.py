@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import table
 
-CONTAINED = 0.8
+CONTAINED = 0.9
 #: Phrases as words, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Notices as they are usually given, and their labels.
