@@ -10,10 +10,13 @@ from factweave.operators import sets
 
 
 class Graph:
-    """A graph of two DataFrames. A literal field or relationship prunes partitions where they are partition columns."""
+    """A graph of two DataFrames. A literal field or relationship prunes partitions where they are partition columns.
 
-    def __init__(self, props: DataFrame, edges: DataFrame):
-        self.props, self.edges = props, edges
+    ``by_object``: the same facts in a layout that suits reading whole objects, where there is one.
+    """
+
+    def __init__(self, props: DataFrame, edges: DataFrame, by_object: DataFrame | None = None):
+        self.props, self.edges, self.by_object = props, edges, props if by_object is None else by_object
 
     @classmethod
     def read(cls, spark, path: str) -> "Graph":
@@ -28,7 +31,7 @@ class Graph:
     # properties
     def facts(self, obj_id: int) -> DataFrame:
         """``obj_id, field, value``: properties, then targets of relationships, as text."""
-        own = self.props.where(F.col("obj_id") == obj_id).select("obj_id", "field", value_text().alias("value"))
+        own = self.by_object.where(F.col("obj_id") == obj_id).select("obj_id", "field", value_text().alias("value"))
         out = self.edges.where(F.col("src") == obj_id).select(F.col("src").alias("obj_id"), F.col("rel").alias("field"), F.col("dst").cast("string").alias("value"))
         return own.unionByName(out)
 
@@ -83,7 +86,7 @@ class Graph:
 
     def without(self, field: str) -> DataFrame:
         """Ids of objects that lack a field."""
-        return sets.and_not(sets.ids(self.props), self.props.where(F.col("field") == field).select("obj_id"))
+        return sets.and_not(sets.ids(self.by_object), self.props.where(F.col("field") == field).select("obj_id"))
 
     # relationships
     def relationship_types(self) -> DataFrame:

@@ -35,13 +35,16 @@ def objects_wide(props: DataFrame, fields: list[str], ids: DataFrame | None = No
 
 
 class ResultSet:
-    """Ids and the facts from which their objects are made. Ids without properties count nowhere."""
+    """Ids and the facts from which their objects are made. Ids without properties count nowhere.
 
-    def __init__(self, props: DataFrame, ids: DataFrame):
-        self.props, self.ids = props, ids
+    ``real``: the ids are known to have properties, as those that were found by one are.
+    """
+
+    def __init__(self, props: DataFrame, ids: DataFrame, real: bool = False):
+        self.props, self.ids, self.real = props, ids, real
 
     def _real(self) -> DataFrame:
-        return self.ids.join(self.props.select("obj_id"), "obj_id", "left_semi")
+        return self.ids if self.real else self.ids.join(self.props.select("obj_id"), "obj_id", "left_semi")
 
     def total_count(self) -> int:
         return self._real().count()

@@ -165,4 +165,4 @@ class Query:
         return compile_plan(self.graph, list(self.steps))
 
     def execute(self) -> ResultSet:
-        return ResultSet(self.graph.props, self.ids())
+        return ResultSet(self.graph.by_object, self.ids(), not any(isinstance(s, Traverse) and not s.criteria for s in self.steps))

@@ -73,6 +73,19 @@ def props(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(OBJEC
     return reduce(DataFrame.unionByName, out)
 
 
+def props_by_object(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(OBJECTS)) -> DataFrame:
+    """The same facts with one scan for each kind of object, for queries that want all fields of some objects."""
+    out = []
+    for kind in kinds:
+        name, key, strings, numbers = OBJECTS[kind]
+        none = lambda t: F.lit(None).cast(t)
+        fact = lambda field, vtype, sval, nval: F.struct(F.lit(field).alias("field"), F.lit(vtype).alias("vtype"), sval.cast("string").alias("sval"), nval.cast("long").alias("nval"))
+        found = [fact("type", "string", F.lit(kind), none("long")), *(fact(f, "string", F.col(c), none("long")) for f, c in strings.items()), *(fact(f, "numeric", none("string"), make()) for f, make in numbers.items())]
+        rows = table(spark, sf_dir, name).select(obj_id(kind, key).alias("obj_id"), F.explode(F.array(*found)).alias("f")).select("obj_id", "f.*")
+        out.append(rows.where("sval is not null or nval is not null").withColumns({"lat": none("double"), "lon": none("double")}))
+    return reduce(DataFrame.unionByName, out)
+
+
 def geo_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of suppliers, made up from their keys."""
     k = F.col("s_suppkey")
