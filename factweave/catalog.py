@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as S
-from factweave.operators import algorithms, facts, kv, results, sets
+from factweave.operators import algorithms, documents, facts, kv, results, sets
 from factweave.operators.documents import DocQuery, Op
 from factweave.operators.graph import Graph, value_text
+from factweave.operators.transactions import Database
 from factweave.plans.builder import Query
 from factweave.sources import tables as T
 
@@ -170,6 +172,16 @@ def kv_stats(spark, d):
     return kv.statistics(T.user_log(spark, d))
 
 
+@query(
+    "kv_db_summary",
+    f"""WITH {LOG}, {_latest_sql()} SELECT CAST(sum(CASE WHEN is_deleted THEN -1 ELSE 1 END) AS BIGINT) + (SELECT count(*) FROM orders) AS logical_item_count,
+    CAST(sum(CASE WHEN NOT is_deleted THEN strlen(key) + strlen(coalesce(value, '')) + 24 END) AS BIGINT) + (SELECT CAST(sum(16 + strlen(o_orderstatus) + 24) AS BIGINT) FROM orders) AS live_record_bytes,
+    (SELECT count(*) FROM latest WHERE NOT v.is_deleted) + (SELECT count(*) FROM orders) AS live_keys, CAST(2 AS BIGINT) AS generations, CAST(2 AS BIGINT) AS collections FROM log""",
+)
+def kv_db_summary(spark, d):
+    return kv.database_summary(kv.merge_generations(T.user_log(spark, d), T.order_log(spark, d)))
+
+
 # text documents
 DOCS = "docs AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS type, p_size AS size FROM part)"
 
@@ -225,6 +237,18 @@ def doc_parse(spark, d):
     return rows.select("id", S.doc_field("doc", "name").alias("name"), S.doc_field("doc", "tag").alias("tag"), S.doc_field("doc", "none").alias("none"))
 
 
+@query("doc_index", "SELECT 'idx_str:part:brand:' || p_brand || ':' || p_partkey AS key, p_partkey AS id FROM part")
+def doc_index(spark, d):
+    return documents.index_entries(T.part_docs(spark, d), "brand")
+
+
+@query("doc_map", "SELECT p_partkey AS id, unnest(['name', 'tag']) AS field, unnest([p_name, p_brand || ':' || p_type]) AS value FROM part")
+def doc_map(spark, d):
+    doc = S.doc_text(name=F.col("p_name"), tag=F.concat("p_brand", F.lit(":"), "p_type"))
+    twice = F.concat(doc, F.lit("|name:other|odd"))
+    return T.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(S.doc_map(twice)).alias("field", "value"))
+
+
 # graph readers
 @query("g_object_facts", f"WITH {PROPS}, {EDGES} SELECT obj_id, field, coalesce(sval, CAST(nval AS VARCHAR)) AS value FROM props WHERE obj_id = {_C + 3} UNION ALL SELECT src, rel, CAST(dst AS VARCHAR) FROM edges WHERE src = {_C + 3}")
 def g_object_facts(spark, d):
@@ -329,6 +353,22 @@ def g_triangles(spark, d):
     return algorithms.triangles(T.edges(spark, d, ("KNOWS",)), "KNOWS")
 
 
+@query("g_triangles_undirected", f"WITH {EDGES}, e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE rel = 'KNOWS') SELECT count(*) AS triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
+def g_triangles_undirected(spark, d):
+    return algorithms.triangles_undirected(T.edges(spark, d, ("KNOWS",)), "KNOWS")
+
+
+@query("g_degrees", f"WITH {EDGES} SELECT src AS obj_id, count(*) AS n FROM edges WHERE rel = 'KNOWS' GROUP BY src")
+def g_degrees(spark, d):
+    return algorithms.degrees(T.edges(spark, d, ("KNOWS",)), "KNOWS")
+
+
+@query("g_walk", f"WITH {EDGES} SELECT DISTINCT a.src AS start, c.dst AS obj_id FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src WHERE a.rel = 'PLACED' AND b.rel = 'CONTAINS' AND a.src = {_C + 7} AND c.rel = 'X' UNION SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel = 'PLACED' AND b.rel = 'CONTAINS' AND a.src = {_C + 7}")
+def g_walk(spark, d):
+    start = spark.createDataFrame([(_C + 7,)], "obj_id long")
+    return algorithms.node_paths(spark, T.edges(spark, d, ("PLACED", "CONTAINS")), start, ["PLACED", "CONTAINS"])
+
+
 # step plans
 def _plan(spark: SparkSession, d: str, *rels: str) -> Query:
     return Query(graph(spark, d, rels))
@@ -421,6 +461,12 @@ def geo_encode(spark, d):
     return T.geo_props(spark, d).select("obj_id", S.unsigned("nval").cast("string").alias("geohash"))
 
 
+@query("geo_decode", f"WITH RECURSIVE {POINTS}), {GEO} SELECT obj_id, round((a + b) / 2, 6) AS lat, round((c + d) / 2, 6) AS lon FROM cells WHERE k = 64")
+def geo_decode(spark, d):
+    at = S.geohash_decode("nval")
+    return T.geo_props(spark, d).select("obj_id", F.round(at["lat"], 6).alias("lat"), F.round(at["lon"], 6).alias("lon"))
+
+
 @query("geo_point", f"WITH {POINTS}) SELECT DISTINCT obj_id FROM points WHERE lat = -52.5 AND lon = -88.5")
 def geo_point(spark, d):
     return Query(_places(spark, d)).find({"place": {"lat": -52.5, "lon": -88.5}}).ids()
@@ -500,6 +546,17 @@ def w_insert_edges(spark, d):
     return facts.insert_edges(T.edges(spark, d, ("IN_REGION",)), facts.edge_rows(spark, [(_N, "IN_REGION", _R + 1), (_N, "IN_REGION", _R + 1)])).select("src", "dst")
 
 
+@query("w_insert_object", f"WITH {PROPS} SELECT obj_id, field, coalesce(sval, CAST(nval AS VARCHAR)) AS value FROM props WHERE obj_id // 1000000000 = 1 UNION ALL SELECT (SELECT max(obj_id) FROM props WHERE obj_id // 1000000000 = 1) + 1, unnest(['type', 'name', 'size']), unnest(['region', 'NOWHERE', '3'])")
+def w_insert_object(spark, d):
+    after, _ = facts.insert_objects(T.props(spark, d, ("region",)), [{"nothing": None}, {"type": "region", "name": "NOWHERE", "size": 3.7}])
+    return after.select("obj_id", "field", value_text().alias("value"))
+
+
+@query("w_remove_edges", f"WITH {EDGES} SELECT src, dst FROM edges WHERE rel = 'IN_REGION' AND dst <> {_R + 1}")
+def w_remove_edges(spark, d):
+    return facts.remove_edges(T.edges(spark, d, ("IN_REGION",)), spark.createDataFrame([(_R + 1,)], "dst long")).select("src", "dst")
+
+
 @query("w_remove_fact", f"WITH {PROPS} SELECT obj_id, field FROM props WHERE obj_id // 1000000000 = 1 AND NOT (obj_id = {_R} AND field = 'name')")
 def w_remove_fact(spark, d):
     return facts.remove_props(T.props(spark, d, ("region",)), (F.col("obj_id") == _R) & (F.col("field") == "name")).select("obj_id", "field")
@@ -508,10 +565,8 @@ def w_remove_fact(spark, d):
 @query("w_abort", f"WITH {ORDER_KV} SELECT key, value FROM kv WHERE key < 'order:0000000010'")
 def w_abort(spark, d):
     """Commits some orders, then aborts changes to all of them."""
-    from factweave.operators.transactions import Database
-
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factweave-")
-    db = Database.create(spark, f"{root.rstrip('/')}/db-{spark.sparkContext.applicationId}-{len(tempfile.mkdtemp())}-{id(object())}")
+    db = Database.create(spark, f"{root.rstrip('/')}/db-{uuid.uuid4().hex}")
     txn = db.begin()
     txn.insert_frame("orders", T.order_log(spark, d).where("key < 'order:0000000010'").select("key", "value"))
     txn.commit()

@@ -6,6 +6,8 @@ of the highest ``(txn_id, seq)`` not above the snapshot, in whatever generation
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,11 @@ class Collection:
     def prefix(self, prefix: str) -> DataFrame:
         return self.current().where(F.col("key").startswith(prefix)).orderBy("key")
 
+    def cursor(self, start: str | None = None, end: str | None = None) -> Iterator[tuple[str, str]]:
+        """Keys and values in order, fetched partition by partition."""
+        for row in self.range(start, end).toLocalIterator():
+            yield row["key"], row["value"]
+
     def count(self) -> int:
         return self.current().count()
 

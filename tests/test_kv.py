@@ -55,7 +55,7 @@ def test_range_ends_and_prefix(db):
     assert [k for k, _ in rows(c.range("ab", "c"))] == ["ab", "b"]
     assert [k for k, _ in rows(c.range(None, ""))] == ["a", "ab", "b", "c", "~", "é"]
     assert [k for k, _ in rows(c.prefix("a"))] == ["a", "ab"]
-    assert c.count() == 6
+    assert c.count() == 6 and list(c.cursor("b")) == [(k, k) for k in ("b", "c", "~", "é")]
 
 
 def test_transactions(db):
