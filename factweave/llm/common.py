@@ -25,16 +25,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept, with its lineage cut, in the shared scratch folder."""
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in fewer files, of data that are small beside their input: four for each core, or an eighth of the shuffle partitions."""
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def checkpoint(df: DataFrame, few: bool = True) -> DataFrame:
+    """``df`` computed once and kept, with its lineage cut, in the shared scratch folder. For results that are small beside their input.
+
+    ``few``: in few files. Not where a function of ``df`` asks for its partition's number, which several would then share.
+    """
     scratch_dir(df.sparkSession)
-    return df.checkpoint()
+    return (few_files(df) if few else df).checkpoint()
+
 
+def written(df: DataFrame, few: bool = True) -> DataFrame:
+    """``df`` as a Parquet table in the shared scratch folder: compact, and safe from lost executors.
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared scratch folder: compact, and safe from lost executors."""
+    ``few``: in few files, for tables that are small beside their input.
+    """
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/factweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (few_files(df) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

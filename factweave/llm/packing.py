@@ -219,7 +219,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = WINDOW, n_open: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = PIECE + ", lot long, ids binary"
     lots = rows.rdd.getNumPartitions()
-    found = checkpoint(rows.mapInArrow(_pack_part(path, size, n_open, end), schema))
+    found = checkpoint(rows.mapInArrow(_pack_part(path, size, n_open, end), schema), few=False)
     done = [found.where("sequence_id is not null").drop("lot", "ids")]
     level = 0
     while True:
