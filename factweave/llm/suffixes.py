@@ -17,7 +17,7 @@ the pair of the refined names at its two ends. Only what can still be split goes
 
 Texts lie in blocks that stay where they are. For each level a block sends the sorted names that it has, once each with
 its smallest id, to the task of their range, and gets bits back in the same order; so a name costs a block one entry,
-however many documents share it. Names have 96 bits where they decide on a repeat.
+however many documents share it. Names have 80 bits where they decide on a repeat.
 
 Null texts count as empty. Rows without an id come after all ids. Rows of one id don't count as repeats of each other.
 All columns are kept, whatever their names, but for ``text`` itself and the counts that are added. Documents of any
@@ -44,6 +44,7 @@ FIRST, SECOND = RollingHash(41), RollingHash(43)
 BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
+_CUT = np.uint64(48)
 ANSWER = "block int, level int, range int, bits binary, more binary"
 
 
@@ -136,7 +137,7 @@ class Block:
             names = Names(self.data[begin:end])
             initial = names.initial()
             first, last, chosen = stretches(initial, ends)
-            found.append([first + begin, last + begin, initial[chosen], *([names.stretch(0, first, last), names.stretch(1, first, last) >> np.uint64(32)] if whole else [])])
+            found.append([first + begin, last + begin, initial[chosen], *([names.stretch(0, first, last), names.stretch(1, first, last) >> _CUT] if whole else [])])
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 3
         self.first, self.last, self.bucket = columns[:3]
         self.name = columns[3:5]
@@ -181,9 +182,10 @@ class Block:
         """Which stretches are repeats, and the windows of those that must be looked at one by one."""
         own = self.ids[self.doc] == self.smallest[self.group]
         self.repeat = ~own | seen[self.group]
-        heads = self.head[several & ~seen]
-        count = self.last[heads] - self.first[heads] + 1
-        windows = np.repeat(self.first[heads] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        # all places of the smallest id, which may have the stretch more than once
+        split = np.flatnonzero(own & (several & ~seen)[self.group])
+        count = self.last[split] - self.first[split] + 1
+        windows = np.repeat(self.first[split] - np.cumsum(count) + count, count) + np.arange(count.sum())
         windows.sort()
         one, two = np.zeros(len(windows), np.uint64), np.zeros(len(windows), np.uint64)
         for begin, end, ends in self.pieces():
@@ -192,7 +194,7 @@ class Block:
             if lo < hi:
                 names = Names(self.data[begin:end])
                 one[lo:hi] = names.window(0, windows[lo:hi] - begin)
-                two[lo:hi] = names.window(1, windows[lo:hi] - begin) >> np.uint64(32)
+                two[lo:hi] = names.window(1, windows[lo:hi] - begin) >> _CUT
         ids = self.ids[np.searchsorted(self.offsets, windows, "right") - 1]
         order = np.lexsort((ids, two, one))
         self.windows, self.window_ids, self.window_name = windows[order], ids[order], [one[order], two[order]]
@@ -223,14 +225,36 @@ def _wide(data: bytes, n_bytes: int) -> np.ndarray:
 
 
 ASK = "range int, block int, names binary, whole binary, ids binary"
+#: Bytes of a bucket's name, and of each half of a whole name, that are sent.
+BUCKET, ONE, TWO = 6, 8, 2
+
+
+def _near(ids: np.ndarray) -> bytes:
+    """Ids in as few bytes each as they need above the least."""
+    least = int(ids.min())
+    above = ids.astype(np.uint64) - np.uint64(least & 0xFFFFFFFFFFFFFFFF)
+    n_bytes = max(1, -(-int(above.max()).bit_length() // 8))
+    return least.to_bytes(8, "little", signed=True) + _thin(above, n_bytes)
+
+
+def _far(data: bytes, n: int) -> np.ndarray:
+    return (_wide(data[8:], (len(data) - 8) // n) + np.frombuffer(data, np.uint64, 1)).view(np.int64)
 
 
 def _asked(block: Block, number: int, names: np.ndarray, whole: list[np.ndarray] | None, ids: np.ndarray | None) -> pa.Table:
+    """What a block asks each range. Names that are the first half of whole ones aren't sent twice."""
     ranges = block.ranges(names)
     at = np.flatnonzero(_groups(ranges)) if len(ranges) else np.zeros(0, np.int64)
     ends = np.append(at[1:], len(ranges))
+    twice = whole is not None and names is whole[0]
     rows = [
-        (int(ranges[lo]), number, _thin(names[lo:hi], 6), b"" if whole is None else whole[0][lo:hi].tobytes() + _thin(whole[1][lo:hi], 4), b"" if ids is None else ids[lo:hi].tobytes())
+        (
+            int(ranges[lo]),
+            number,
+            b"" if twice else _thin(names[lo:hi], BUCKET),
+            b"" if whole is None else _thin(whole[0][lo:hi], ONE) + _thin(whole[1][lo:hi], TWO),
+            b"" if ids is None else _near(ids[lo:hi]),
+        )
         for lo, hi in zip(at.tolist(), ends.tolist())
     ]
     columns = list(zip(*rows)) or [()] * 5
@@ -271,8 +295,8 @@ def _ask_windows(n_ranges: int) -> Callable:
         if not rows.num_rows:
             return _asked(Block(rows, n_ranges), 0, np.zeros(0, np.uint64), None, None)
         block = _known(rows, right, n_ranges, 2)
-        head = block.window_head
-        return _asked(block, rows.column("block")[0].as_py(), block.window_name[0][head], [x[head] for x in block.window_name], block.window_ids[head])
+        name = [x[block.window_head] for x in block.window_name]
+        return _asked(block, rows.column("block")[0].as_py(), name[0], name, block.window_ids[block.window_head])
 
     return ask
 
@@ -281,9 +305,16 @@ def _answer(level: int) -> Callable[[pa.Table], pa.Table]:
     """Sorts the names of a range from all blocks."""
 
     def answer(asked: pa.Table) -> pa.Table:
-        blocks, names = asked.column("block").to_pylist(), [_wide(x, 6) for x in asked.column("names").to_pylist()]
-        at = np.cumsum([0, *map(len, names)])
-        bucket = np.concatenate(names)
+        blocks = asked.column("block").to_pylist()
+        bucket = _wide(b"".join(asked.column("names").to_pylist()), BUCKET)
+        whole = asked.column("whole").to_pylist()
+        count = [len(x) // BUCKET for x in asked.column("names").to_pylist()] if level == 1 else [len(w) // (ONE + TWO) for w in whole]
+        at = np.cumsum([0, *count])
+        if level > 1:
+            one = np.concatenate([_wide(w[: ONE * n], ONE) for w, n in zip(whole, count)])
+            two = np.concatenate([_wide(w[ONE * n :], TWO) for w, n in zip(whole, count)])
+            ids = np.concatenate([_far(x, n) for x, n in zip(asked.column("ids").to_pylist(), count)])
+            bucket = bucket if level == 2 else one
         first = np.zeros(len(bucket), bool)
         second = np.zeros(len(bucket), bool)
         if level == 1:
@@ -291,10 +322,6 @@ def _answer(level: int) -> Callable[[pa.Table], pa.Table]:
             new = _groups(bucket[order])
             first[order] = ~(new & np.append(new[1:], True))  # other blocks have it too
         else:
-            whole = asked.column("whole").to_pylist()
-            one = np.concatenate([np.frombuffer(w, np.uint64, len(n)) for w, n in zip(whole, names)])
-            two = np.concatenate([_wide(w[8 * len(n) :], 4) for w, n in zip(whole, names)])
-            ids = np.concatenate([np.frombuffer(x, np.int64) for x in asked.column("ids").to_pylist()])
             order = np.lexsort((ids, two, one, bucket))
             new = _groups(bucket[order], one[order], two[order])
             head, group = np.flatnonzero(new), np.cumsum(new) - 1
@@ -309,8 +336,23 @@ def _answer(level: int) -> Callable[[pa.Table], pa.Table]:
     return answer
 
 
-def _results(n_ranges: int, names: list[str], digest: bool) -> Callable:
+#: What can be had of the bytes that are left, and its type.
+KEPT = {"kept": "binary", "kept_sha256": "string", "text": "string"}
+
+
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> str:
+    """What is left of UTF-8 without the characters that lost some of their bytes."""
+    if not gone.any():
+        return data.tobytes().decode()
+    number = np.cumsum((data & 0xC0) != 0x80) - 1
+    cut = np.zeros(number[-1] + 1, bool)
+    cut[number[gone]] = True
+    return data[~cut[number]].tobytes().decode()
+
+
+def _results(n_ranges: int, names: list[str], kind: str) -> Callable:
     counts = ["n_bytes", "n_removed", "n_spans"]
+    of = {"kept": lambda data, gone: data[~gone].tobytes(), "kept_sha256": lambda data, gone: hashlib.sha256(data[~gone].tobytes()).hexdigest(), "text": whole_characters}[kind]
 
     def results(rows: pa.Table, right: pa.Table) -> pa.Table:
         rest = rows.column("rest").combine_chunks()
@@ -328,22 +370,24 @@ def _results(n_ranges: int, names: list[str], digest: bool) -> Callable:
             n_bytes.append(hi - lo)
             n_removed.append(int(own.sum()))
             n_spans.append(int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()))
-            kept.append(block.data[lo:hi][~own].tobytes())
+            kept.append(of(block.data[lo:hi], own))
         index = pa.array(block.order, pa.int64())
-        tail = pa.array([hashlib.sha256(k).hexdigest() for k in kept] if digest else kept, pa.string() if digest else pa.binary())
-        return pa.table([*(columns[c].take(index) for c in names), *(pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)), tail], names=[*names, *counts, "kept_sha256" if digest else "kept"])
+        tail = pa.array(kept, pa.binary() if kind == "kept" else pa.string())
+        return pa.table([*(columns[c].take(index) for c in names), *(pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)), tail], names=[*names, *counts, kind])
 
     return results
 
 
-def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """``docs`` without ``text``, but with ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs) and ``kept`` (binary): what is left.
+def without_repeats(docs: DataFrame, kind: str = "kept") -> DataFrame:
+    """``docs`` without ``text``, but with ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs) and what is left.
 
-    ``digest``: ``kept_sha256`` stands for ``kept``. The blocks are freed when the result has been written.
+    ``kind``: ``kept`` (the bytes), ``kept_sha256`` (their digest), or ``text`` (the characters that kept all their bytes).
+    The blocks are freed when the result has been written.
     """
+    if kind not in KEPT:
+        raise ValueError(f"kind must be one of {', '.join(KEPT)}")
     spark = docs.sparkSession
-    added = {"n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"}
-    names = [c for c in docs.columns if c != "text" and c not in added]
+    names = [c for c in docs.columns if c not in {"n_bytes", "n_removed", "n_spans", *KEPT}]
     n = parts_for(spark, text_bytes(docs), BLOCK_BYTES)
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("at"), F.struct(*names).alias("rest"), "text")
 
@@ -361,7 +405,8 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
         return _asked(block, rows.column("block")[0].as_py(), block.buckets(), None, None)
 
     def answered(asked: DataFrame, level: int) -> DataFrame:
-        return checkpoint(asked.repartition(n, "range").groupBy("range").applyInArrow(_answer(level), ANSWER))
+        found = asked.repartition(n, "range").groupBy("range").applyInArrow(_answer(level), ANSWER)
+        return checkpoint(found.coalesce(max(4 * spark.sparkContext.defaultParallelism, n // 8)), few=False)
 
     def with_answers(known: DataFrame, f: Callable, schema) -> DataFrame:
         return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(f, schema)
@@ -370,8 +415,8 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     known = answered(light.groupBy("block").applyInArrow(ask_buckets, ASK), 1)
     known = known.unionByName(answered(with_answers(known, _ask_stretches(n), ASK), 2))
     known = known.unionByName(answered(with_answers(known, _ask_windows(n), ASK), 3))
-    schema = docs.select(*names).withColumns({**{c: F.lit(0).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}, ("kept_sha256" if digest else "kept"): F.lit(None).cast("string" if digest else "binary")}).schema
-    out = written(with_answers(known, _results(n, names, digest), schema))
+    schema = docs.select(*names).withColumns({**{c: F.lit(0).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}, kind: F.lit(None).cast(KEPT[kind])}).schema
+    out = written(with_answers(known, _results(n, names, kind), schema), few=kind == "kept_sha256")
     blocks.unpersist()
     return out
 
@@ -379,10 +424,9 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with what is left as ``text``, and the counts. Of characters that lost some of their bytes the rest goes too."""
     names = docs.columns
-    out = without_repeats(docs)
-    text = F.coalesce(F.try_validate_utf8(F.col("kept").cast("string")), F.make_valid_utf8(F.col("kept").cast("string")))
-    return out.withColumn("text", text).select(*names, *(c for c in ("n_bytes", "n_removed", "n_spans") if c not in names))
+    return without_repeats(docs, "text").select(*names, *(c for c in ("n_bytes", "n_removed", "n_spans") if c not in names))
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), digest=True)
+    return without_repeats(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "kept_sha256")
+
