@@ -362,3 +362,28 @@ def join(docs: DataFrame, jaccard: float = JACCARD, n_runs: int = RUNS) -> DataF
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), tokens AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - {WORDS - 1}) + 1), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) AS t FROM words WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(t, '|' ORDER BY t)) AS own FROM tokens GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM tokens AS a JOIN tokens AS b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT c.a, c.b, x.own = y.own AS same, y.own AS other FROM common AS c JOIN sizes AS x ON c.a = x.doc_id JOIN sizes AS y ON c.b = y.doc_id WHERE c.n >= {JACCARD} * (x.n + y.n - c.n) - 1e-9
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reached AS r JOIN links AS l ON r.b = l.a
+), classes AS (
+  SELECT a AS doc_id, min(b) AS class_id FROM reached GROUP BY a
+), counts AS (
+  SELECT a AS doc_id, count(*) AS n_links, count(DISTINCT other) FILTER (WHERE NOT same) AS n_linked_sets, 1 + count(*) FILTER (WHERE same) AS n_copies FROM links GROUP BY a
+)
+SELECT c.doc_id, c.class_id, coalesce(n_links, 0) AS n_links, coalesce(n_linked_sets, 0) AS n_linked_sets, coalesce(n_copies, 1) AS n_copies
+FROM classes AS c LEFT JOIN counts AS n ON c.doc_id = n.doc_id
+"""

@@ -136,3 +136,26 @@ def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines_removed", F.octet_length("text").cast("long").alias("n_bytes_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "text")
+
+
+ORACLE_SQL = """
+WITH every AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS place, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
+), inked AS (
+  SELECT doc_id, place, trim(line, ' ' || chr(9) || chr(13)) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM every WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), pairs AS (
+  SELECT doc_id, place, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS after FROM inked
+), first AS (
+  SELECT line, after, min({'doc_id': doc_id, 'n': n}) AS at FROM pairs WHERE after IS NOT NULL GROUP BY line, after
+), repeats AS (
+  SELECT p.doc_id, p.n FROM pairs AS p JOIN first AS f ON p.line = f.line AND p.after = f.after WHERE {'doc_id': p.doc_id, 'n': p.n} > f.at
+), gone AS (
+  SELECT DISTINCT doc_id, n FROM (SELECT doc_id, n FROM repeats UNION ALL SELECT doc_id, n + 1 FROM repeats)
+), kept AS (
+  SELECT e.doc_id, e.place, e.line, g.n IS NOT NULL AS gone FROM every AS e LEFT JOIN inked AS i ON e.doc_id = i.doc_id AND e.place = i.place LEFT JOIN gone AS g ON i.doc_id = g.doc_id AND i.n = g.n
+), texts AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_lines_removed, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text FROM kept GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines_removed, 0) AS n_lines_removed, CAST(strlen(t.text) AS BIGINT) AS n_bytes_kept, sha256(t.text) AS kept_sha256, t.text AS text
+FROM documents AS d LEFT JOIN texts AS t ON d.doc_id = t.doc_id
+"""

@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bit_sliced_top_k": topk.ORACLE_SQL, "op2_license_scan": licenses.ORACLE_SQL}
+    return {
+        "op1_bit_sliced_top_k": topk.ORACLE_SQL,
+        "op2_license_scan": licenses.ORACLE_SQL,
+        "op5_suffix_array": suffixes.ORACLE_SQL,
+        "op6_line_dedup": lines.ORACLE_SQL,
+        "op10_jaccard_join": jaccard.ORACLE_SQL,
+    }

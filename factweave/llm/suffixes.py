@@ -430,3 +430,25 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "kept_sha256")
 
+
+ORACLE_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents
+), bytes AS (
+  SELECT doc_id, unnest(range(len(x) // 2)) AS i, x FROM docs
+), strings AS (
+  SELECT doc_id, i, substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS b, CASE WHEN 2 * i + {2 * MATCH} <= len(x) THEN substr(x, CAST(2 * i + 1 AS BIGINT), {2 * MATCH}) END AS s FROM bytes
+), first AS (
+  SELECT s, min(doc_id) AS doc_id FROM strings WHERE s IS NOT NULL GROUP BY s
+), marked AS (
+  SELECT a.doc_id, a.i, a.b, coalesce(f.doc_id < a.doc_id, FALSE) AS starts FROM strings AS a LEFT JOIN first AS f ON a.s = f.s
+), covered AS (
+  SELECT doc_id, i, b, max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {MATCH - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked
+), spans AS (
+  SELECT doc_id, i, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS opens FROM covered
+), found AS (
+  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs AS d LEFT JOIN found AS f ON d.doc_id = f.doc_id
+"""
