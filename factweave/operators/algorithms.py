@@ -55,9 +55,9 @@ def transitive_triples(edges: DataFrame, rel: str) -> DataFrame:
 
 def triangles(edges: DataFrame, rel: str) -> DataFrame:
     """Transitive triples divided by three, down; 0 where fewer than three objects have such a relationship."""
-    own = edges.where(F.col("rel") == rel)
-    sources = own.agg(F.countDistinct("src").alias("sources"))
-    return transitive_triples(edges, rel).crossJoin(sources).select(F.when(F.col("sources") < 3, F.lit(0)).otherwise(F.floor(F.col("n") / 3)).cast("long").alias("triangles"))
+    sources = edges.where(F.col("rel") == rel).agg(F.countDistinct("src").alias("sources"))
+    both = transitive_triples(edges, rel).unionByName(sources, allowMissingColumns=True).agg(F.max("n").alias("n"), F.max("sources").alias("sources"))
+    return both.select(F.when(F.col("sources") < 3, F.lit(0)).otherwise(F.floor(F.col("n") / 3)).cast("long").alias("triangles"))
 
 
 def triangles_undirected(edges: DataFrame, rel: str) -> DataFrame:
