@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from factweave.llm.common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math select datalist textarea canvas audio video title".split())
+UNSEEN = frozenset("head script style template noscript iframe object svg math select datalist canvas audio video title".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
 #: Blocks that are set apart by an empty line, and by a line end.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
@@ -232,7 +232,8 @@ def render(page: str) -> str:
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
                 if not hides and not unseen:
-                    flows[-1].add(page[at : end.start()] or " ", name == "xmp", indents[-1])
+                    held = page[at : end.start()] or " "
+                    flows[-1].add(html.unescape(held) if name == "textarea" else held, True, indents[-1])
                 at = end.end()
                 continue
             stack.append((name, hides))
@@ -272,8 +273,6 @@ def render(page: str) -> str:
             flows[-1].end()
         elif name == "hr":
             flows[-1].end(True)
-        elif name == "img" and (alt := re.search(r"alt\s*=\s*(\"[^\"]*\"|'[^']*')", rest, re.I)) and alt[1][1:-1].strip():
-            flows[-1].add(html.unescape(alt[1][1:-1]), False, indents[-1])
     while stack:
         leave()
     lines = flows[0].all()
