@@ -191,3 +191,20 @@ def _fold(hashes: np.ndarray) -> int:
     for h in hashes.tolist():
         x = (x * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
     return x
+
+
+#: Bits of the hashes in token sets.
+TOKEN_BITS = 48
+
+
+def token_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens (48-bit hashes) of each row, sorted by row and token, and where each row's begin."""
+    hashes, row = shingles(data, offsets, n)
+    rows = len(offsets) - 1
+    if rows < 1 << 16:
+        both = np.unique((row.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (hashes >> np.uint64(64 - TOKEN_BITS)))
+        row, tokens = (both >> np.uint64(TOKEN_BITS)).astype(np.int64), both & np.uint64((1 << TOKEN_BITS) - 1)
+    else:
+        pairs = np.unique(np.stack([row.astype(np.uint64), hashes >> np.uint64(64 - TOKEN_BITS)]), axis=1)
+        row, tokens = pairs[0].astype(np.int64), pairs[1]
+    return tokens, np.searchsorted(row, np.arange(rows + 1))

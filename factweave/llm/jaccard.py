@@ -8,8 +8,8 @@ a first bucket in a run with probability 2/3 and a third one with 2/5, so all ru
 fifty of those at the very threshold that meet in large buckets only, and next to none of the others.
 
 A bucket is brute-forced with sketches (64 one-permutation minima a node), not by all pairs: a pivot takes in all that
-may be near enough to be linked with what it covers, and those next to it are done; it is linked with each, so a
-bucket gives as many edges as it has members, or a few more. What edges join is then compared exactly, set by set, in
+may be near enough to be linked with what it covers, those next to it need not be pivots, and none looks at what is
+joined with it already; so a bucket gives fewer edges than it has members. What edges join is then compared exactly, set by set, in
 tasks of at most two lots of ``LOT`` sets, and links are counted there rather than listed.
 
 Result: a class (what links join) and the number of links for each document, so copies cost nothing more. Texts
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import mix, raw, runs, shingles, strings, table, written
+from factweave.llm.common import TOKEN_BITS, mix, raw, runs, strings, table, token_sets, written
 from factweave.llm.components import components
 
 JACCARD, WORDS = 0.8, 5
@@ -36,23 +36,9 @@ BINS = 64
 #: Estimates from which on a pivot takes a node in, and from which on that node needs no pivot of its own: two sets
 #: with similarity J have distance 1 - J, which obeys the triangle inequality, and estimates err by four deviations.
 TAKEN_IN, DONE = 0.3, 0.9
-TOKEN_BITS = 48
 _NO_ID = (1 << 63) - 1
 
 
-def token_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct tokens (48-bit hashes) of each row, sorted by row and token, and where each row's begin."""
-    hashes, row = shingles(data, offsets, n)
-    rows = len(offsets) - 1
-    if rows < 1 << 16:
-        both = np.unique((row.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (hashes >> np.uint64(64 - TOKEN_BITS)))
-        row, tokens = (both >> np.uint64(TOKEN_BITS)).astype(np.int64), both & np.uint64((1 << TOKEN_BITS) - 1)
-    else:
-        pairs = np.unique(np.stack([row.astype(np.uint64), hashes >> np.uint64(64 - TOKEN_BITS)]), axis=1)
-        row, tokens = pairs[0].astype(np.int64), pairs[1]
-    return tokens, np.searchsorted(row, np.arange(rows + 1))
-
-
 def keys(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that name each set; 0 and 0 for an empty one."""
     out = []
@@ -161,15 +147,27 @@ def _cuts(t: pa.Table, *by: str) -> np.ndarray:
 
 
 def bucket_edges(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in a bucket that may be linked, or that join those which may be."""
-    left = np.arange(len(sketch))
+    """Pairs of places in a bucket that join those which may be linked: as few as that takes.
+
+    A pivot looks only at what isn't joined with it yet. Places that are next to a pivot need not be pivots: all that
+    may be linked with them has been near enough to that pivot to be joined with it.
+    """
+    n = len(sketch)
+    joined, done = np.arange(n), np.zeros(n, bool)
     a, b = [], []
-    while len(left) > 1:
-        near = estimated(sketch[left[0]], sketch[left])
-        taken = left[1:][near[1:] >= TAKEN_IN]
-        a.append(np.full(len(taken), left[0]))
-        b.append(taken)
-        left = left[1:][near[1:] < DONE]
+    for pivot in range(n):
+        if done[pivot]:
+            continue
+        others = np.flatnonzero(joined != joined[pivot])
+        if not len(others):
+            break
+        near = estimated(sketch[pivot], sketch[others])
+        done[others[near >= DONE]] = True
+        groups, at = np.unique(joined[others[near >= TAKEN_IN]], return_index=True)
+        if len(groups):
+            a.append(np.full(len(groups), pivot))
+            b.append(others[near >= TAKEN_IN][at])
+            joined[np.isin(joined, groups)] = joined[pivot]
     return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
 
 
@@ -330,7 +328,7 @@ def join(docs: DataFrame, jaccard: float = JACCARD, n_runs: int = RUNS) -> DataF
     if jaccard < JACCARD:
         raise ValueError("sketches and paths are laid out for similarities from 0.8 on")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("at"), "text")
-    found = written(signatures(texts, n_runs))
+    found = written(signatures(texts, n_runs), few=False)
     classes = written(found.where("size > 0").groupBy("key1", "key2").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("copies")))
     first = found.join(classes, (found["key1"] == classes["key1"]) & (found["key2"] == classes["key2"]) & (found["at"] == classes["first_at"]), "left_semi").select(F.col("key1").alias("node"), "sketch", "paths")
     first = written(first)
@@ -341,7 +339,8 @@ def join(docs: DataFrame, jaccard: float = JACCARD, n_runs: int = RUNS) -> DataF
     near = near.join(size, "component").withColumn("lots", F.ceil(F.col("n") / LOT).cast("long")).withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots")))
     wanted = near.join(classes, near["node"] == classes["key1"]).select("key1", "key2", "copies", "component", "lot", "lots", "first_at")
     wanted = written(wanted)
-    own = texts.join(wanted, texts["at"] == wanted["first_at"]).select("key1", "key2", "copies", "component", "lot", "lots", "text")
+    # texts are dealt out by id at every size, so the join costs the same share of the input
+    own = texts.hint("merge").join(wanted, texts["at"] == wanted["first_at"]).select("key1", "key2", "copies", "component", "lot", "lots", "text")
     linked = written(verified(own, jaccard))
     joined = components(linked.where("root <> key1").select(F.col("key1").alias("a"), F.col("root").alias("b")))
     sums = linked.groupBy("key1", "key2").agg(F.sum("links").alias("links"), F.sum("linked_sets").alias("linked_sets"))
