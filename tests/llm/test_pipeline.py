@@ -54,3 +54,20 @@ def test_run(spark, sf):
     rows = cp.run(spark, sf).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     n = np.array([r["n"] for r in rows])
     assert ((n & (n - 1)) == 0).all() and (n == 4096).sum() >= len(n) - 12
+
+
+def through(spark, docs, sf):
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf)
+    return docs
+
+
+def test_empty_tables(spark, sf):
+    assert through(spark, frame(spark, []), sf).count() == 0
+
+
+def test_nulls_and_extra_columns(spark, sf):
+    rows = [(None, None), (None, ""), (1, None), (2, ""), (3, "some words of text"), (3, "some words of text"), (4, "x" * 60 + " " + "y" * 60), (5, "x" * 60)]
+    docs = frame(spark, rows).withColumns({"at": F.lit(1), "block": F.lit("b"), "score": F.lit(None), "component": F.lit(2), "key1": F.lit("k")})
+    packed = through(spark, docs, sf).collect()
+    assert {r["doc_id"] for r in packed} <= {None, 1, 2, 3, 4, 5} and all(r["length"] > 0 for r in packed)
