@@ -29,6 +29,10 @@ from factweave.llm.common import strings, table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a worker remembers; it forgets all of them when they are more.
 REMEMBERED = 400_000
+#: Characters of a text that are cut into pre-tokens at once.
+AT_ONCE = 1 << 20
+#: A single blank between ink: a pre-token always begins there.
+_BEGIN = regex.compile(r"(?<=\S) (?=\S)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,6 +78,16 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return model + _field(2, trainer) + _field(3, normaliser)
 
 
+def stretches(text: str, size: int | None = None) -> Iterator[str]:
+    """A long text in parts that have the pre-tokens of the whole."""
+    size, at = size or AT_ONCE, 0
+    while at < len(text):
+        found = _BEGIN.search(text, at + size)
+        to = found.start() if found else len(text)
+        yield text[at:to]
+        at = to
+
+
 class Codec:
     """Encodes texts to ids and decodes ids to bytes."""
 
@@ -100,6 +114,9 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        return self._encode(text) if len(text) <= AT_ONCE else b"".join(map(self._encode, stretches(text)))
+
+    def _encode(self, text: str) -> bytes:
         pieces = self.cut(text)
         if new := set(pieces).difference(self.known):
             if len(self.known) + len(new) > REMEMBERED:

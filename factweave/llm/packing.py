@@ -33,6 +33,8 @@ VOCABULARY = "word_bpe_49k.json"
 WINDOW, OPEN, END, FAN_IN = 4096, 16, 2, 64
 #: Words, and pieces of words, that a worker remembers.
 REMEMBERED = 600_000
+#: Characters of a text that are cut into words at once.
+AT_ONCE = 1 << 20
 #: Letters from here on may have other normal forms.
 LATIN = "\u0250"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -83,7 +85,16 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        text = text.replace("\n", " ")
+        if len(text) <= AT_ONCE:
+            return b"".join(map(self.words.__getitem__, text.split(" ")))
+        out, at = [], 0
+        while at < len(text):
+            to = text.find(" ", at + AT_ONCE)
+            to = len(text) if to < 0 else to
+            out += map(self.words.__getitem__, text[at:to].split(" "))
+            at = to
+        return b"".join(out)
 
 
 @functools.lru_cache(2)

@@ -39,6 +39,21 @@ def test_codec_like_tiktoken(reference, codec, text):
     assert codec.decode(ids) == text.encode()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab '1.\n\t é", max_size=60), st.integers(1, 7))
+def test_long_texts_in_parts(reference, codec, text, size):
+    parts = list(bpe.stretches(text, size))
+    assert "".join(parts) == text
+    assert sum((reference.encode_ordinary(p) for p in parts), []) == reference.encode_ordinary(text)
+
+
+def test_very_long_texts(words, codec, reference):
+    text = "many words, 'tis said;  \n" * 100_000
+    assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
+    own = packing.tokenizer(public_tokenizers.path(packing.VOCABULARY)).encode(text)
+    assert np.frombuffer(own, "<u4").tolist() == words.encode(text, add_special_tokens=False).ids
+
+
 def test_round_trip(spark, reference):
     rows = {r["doc_id"]: r for r in bpe.round_trip(documents(spark, [*ODD, "same", "same"])).collect()}
     for i, t in enumerate([*ODD, "same", "same"]):
