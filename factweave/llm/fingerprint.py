@@ -1,9 +1,10 @@
 """Document fingerprints: sketches that keep every shingle hash below a fixed fraction of all hashes.
 
 A shingle is a run of five lower-cased words (all words of a text that has fewer). Sketches of the same fraction can
-be merged, and the share of one sketch in another estimates containment however unequal the documents are. A
-fingerprint is the sorted hashes, 12 hexadecimal digits each; equal texts have equal ones. A text whose shingles all
-lie above the fraction keeps its smallest, so that short texts can be compared; one without words has "".
+be merged, and the share of one sketch in another estimates containment however unequal the documents are. A short
+text keeps its ``LEAST`` smallest hashes even where fewer lie below the fraction, so a sketch knows all hashes up to a
+bound of its own, and two are compared up to the smaller of their bounds. A fingerprint is the sorted hashes, 12
+hexadecimal digits each; equal texts have equal ones; a text without words has "".
 
 Null texts count as empty. Rows with a null id are fingerprinted like any others and stand after all ids in the
 descending order. Rows with the same id follow one another in the order of their texts. Extra columns are not looked at.
@@ -20,10 +21,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import parts_for, raw, runs, shingles, strings, table, text_bytes
+from factweave.llm.common import TOKEN_BITS, parts_for, raw, runs, strings, table, text_bytes, token_sets
 
-WORDS, FRACTION = 5, 1 / 8
-BITS = 48
+WORDS, FRACTION, LEAST = 5, 1 / 8, 16
 #: The place in the order of rows without an id.
 NO_ID = -(1 << 63)
 #: Slices are streamed, so larger ones cost no memory; more than this many would cost the driver some.
@@ -31,52 +31,62 @@ MOST_SLICES = 20_000
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), *((c, pa.float64()) for c in ("near_edited", "near_next", "held_edited", "held_next"))])
 
 
+def limit_of(fraction: float) -> int:
+    return int(fraction * (1 << TOKEN_BITS))
+
+
 def sketches(texts: pa.Array, fraction: float = FRACTION, n: int = WORDS) -> list[np.ndarray]:
     """The sorted kept hashes of each text."""
     data, offsets = raw(strings(texts))
-    limit = np.uint64(int(fraction * (1 << BITS)))
+    limit = np.uint64(limit_of(fraction))
     out = []
     for lo, hi in runs(offsets):
-        hashes, row = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
-        hashes = hashes >> np.uint64(64 - BITS)
-        per = np.bincount(row, minlength=hi - lo)
-        keep = hashes < limit
-        kept = np.bincount(row[keep], minlength=hi - lo)
-        for r in np.flatnonzero((per > 0) & (kept == 0)):
-            at = slice(*np.searchsorted(row, [r, r + 1]))
-            keep[at] = hashes[at] == hashes[at].min()
-        hashes, row = hashes[keep], row[keep]
-        order = np.lexsort((hashes, row))
-        hashes, row = hashes[order], row[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-        hashes, row = hashes[new], row[new]
-        out += np.split(hashes, np.searchsorted(row, np.arange(1, hi - lo)))
+        tokens, begins = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
+        count = np.diff(begins)
+        keep = (tokens < limit) | (np.arange(len(tokens)) - np.repeat(begins[:-1], count) < LEAST)
+        kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])[begins[1:-1]]
+        out += np.split(tokens[keep], kept)
     return out
 
 
 def as_text(sketch: np.ndarray) -> str:
-    return np.ascontiguousarray(sketch.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8 :].tobytes().hex()
+    return np.ascontiguousarray(sketch.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN_BITS // 8 :].tobytes().hex()
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merged(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
     """The sketch of two documents together."""
-    return np.union1d(a, b)
+    both = np.union1d(a, b)
+    return both[(both < np.uint64(limit_of(fraction))) | (np.arange(len(both)) < LEAST)]
+
+
+def _known(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both sketches as far as both know all hashes."""
+    limit = limit_of(fraction)
 
+    def bound(x: np.ndarray) -> int:
+        if len(x) < LEAST:
+            return 1 << TOKEN_BITS
+        return max(limit, int(x[-1]) + 1)
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of the smaller sketch in the other; two empty ones: 1."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    least = np.uint64(min(bound(a), bound(b)))
+    return a[: np.searchsorted(a, least)], b[: np.searchsorted(b, least)]
+
+
+def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
+    """The share of the smaller sketch in the other; two empty ones: 1; 0 where what both know is empty in one."""
+    if not len(a) and not len(b):
+        return 1.0
+    a, b = _known(a, b, fraction)
+    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, min(len(a), len(b)))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+def jaccard(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
     """Estimated resemblance of two sketches; two empty ones: 1."""
     if not len(a) and not len(b):
         return 1.0
+    a, b = _known(a, b, fraction)
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common)
+    return common / max(1, len(a) + len(b) - common)
 
 
 def fingerprint(docs: DataFrame, fraction: float = FRACTION, n: int = WORDS) -> DataFrame:
@@ -156,7 +166,7 @@ def against_edits(docs: DataFrame, fraction: float = FRACTION, n: int = WORDS) -
             of_changed = sketches(pa.array(changed, pa.large_string()), fraction, n)
             yield pa.RecordBatch.from_pylist(
                 [
-                    {"doc_id": rows[i][2], "n_chars": len(rows[i][3]), "edited_sha256": hashlib.sha256(t.encode()).hexdigest(), "fingerprint": as_text(of[i]), "edited_fingerprint": as_text(e), "near_edited": jaccard(of[i], e), "near_next": jaccard(of[i], of[i + 1]), "held_edited": containment(of[i], e), "held_next": containment(of[i], of[i + 1])}
+                    {"doc_id": rows[i][2], "n_chars": len(rows[i][3]), "edited_sha256": hashlib.sha256(t.encode()).hexdigest(), "fingerprint": as_text(of[i]), "edited_fingerprint": as_text(e), "near_edited": jaccard(of[i], e, fraction), "near_next": jaccard(of[i], of[i + 1], fraction), "held_edited": containment(of[i], e, fraction), "held_next": containment(of[i], of[i + 1], fraction)}
                     for i, t, e in zip(pairs, changed, of_changed)
                 ],
                 schema=OUT,
