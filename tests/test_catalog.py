@@ -33,3 +33,20 @@ def test_every_query_has_sql():
 
 def test_flagship(spark, sf):
     assert catalog.flagship(spark, sf).count() > 0
+
+
+def test_derived_graph(spark, sf):
+    counts = {r["rel"]: r["n"] for r in catalog.QUERIES["g_count_rel"](spark, sf).collect()}
+    assert {k: counts[k] for k in ("PLACED", "CONTAINS", "SUPPLIES", "KNOWS")} == {"PLACED": 1500, "CONTAINS": 5942, "SUPPLIES": 1905, "KNOWS": 618}
+    assert catalog.QUERIES["g_triangles"](spark, sf).first()["triangles"] == 76
+    assert catalog.QUERIES["g_mutual"](spark, sf).count() == 30
+    path = [r["obj_id"] - catalog._C for r in catalog.QUERIES["g_shortest_path"](spark, sf).orderBy("pos").collect()]
+    assert path == [3, 4, 6, 8, 57, 100]
+
+
+def test_filters_reach_the_scan(spark, sf):
+    plan = catalog.QUERIES["kv_range"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
+    plan = catalog.QUERIES["g_by_range"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # a literal field leaves the two tables that have it, and one column of each beside the key
+    assert plan.count("FileScan") == 2 and "c_mktsegment" not in plan
