@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from factweave.llm.common import checkpoint, table
 
 SCALE, TOP, EVERY = 256, 5, 50
-#: Rows of an index block and queries asked of it at once.
-BLOCK_ROWS, CHUNK_QUERIES = 1 << 16, 128
+#: Rows of an index block, and the fewest and most queries asked of it at once.
+BLOCK_ROWS, FEWEST, MOST = 1 << 16, 128, 4096
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -155,15 +155,19 @@ def _values(data: bytes, n: int, dims: int) -> np.ndarray:
     return np.frombuffer(data, np.int64 if wide else np.int16).reshape(n, dims).astype(np.int64)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int = BLOCK_ROWS, chunk: int = CHUNK_QUERIES) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int = BLOCK_ROWS, chunk: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best of ``vectors`` for each of ``queries`` (both from ``quantised()``).
 
     The stated query set is asked of all rows, block by block: blocks and chunks of queries are each one packed row,
-    so what is shipped is the vectors once for each chunk, and no pair becomes a row but the k best of a block.
+    so what is shipped is the vectors once for each chunk, and no pair becomes a row but the k best of a block. Chunks
+    (``chunk`` queries) are as large as leaves four tasks for each core, so that blocks are shipped to few of them.
     """
     once = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n_rows, n_queries = vectors.count(), once.count()
-    n_blocks, n_chunks = -(-n_rows // block_rows) or 1, -(-n_queries // chunk) or 1
+    n_blocks = -(-n_rows // block_rows) or 1
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    chunk = chunk or max(FEWEST, min(MOST, n_queries * n_blocks // (4 * cores)))
+    n_chunks = -(-n_queries // chunk) or 1
     blocks = checkpoint(_packed(vectors.repartition(n_blocks), block_rows))
     chunks = _packed(once.repartition(n_chunks), chunk).withColumn("chunk", F.monotonically_increasing_id())
     chunks = checkpoint(chunks.select("chunk", "dims", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
