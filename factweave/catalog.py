@@ -76,7 +76,7 @@ def _latest_sql(where: str = "TRUE") -> str:
 
 def graph(spark: SparkSession, sf_dir: str, rels: tuple[str, ...] = (), kinds: tuple[str, ...] = tuple(T.OBJECTS)) -> Graph:
     """The derived graph with the relationships that a query names; all facts are lazy branches."""
-    return Graph(T.props(spark, sf_dir, kinds), T.edges(spark, sf_dir, rels) if rels else spark.createDataFrame([], T.EDGES), T.props_by_object(spark, sf_dir, kinds))
+    return Graph(lambda: T.props(spark, sf_dir, kinds), lambda: T.edges(spark, sf_dir, rels) if rels else spark.createDataFrame([], T.EDGES), lambda: T.props_by_object(spark, sf_dir, kinds))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

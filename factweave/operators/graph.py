@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as S
 from factweave.operators import sets
 
+Source = DataFrame | Callable[[], DataFrame]
+
 
 class Graph:
     """A graph of two DataFrames. A literal field or relationship prunes partitions where they are partition columns.
 
-    ``by_object``: the same facts in a layout that suits reading whole objects, where there is one.
+    ``by_object``: the same facts in a layout that suits reading whole objects, where there is one. Each of the three
+    may be a function that gives the DataFrame when it is first asked for.
     """
 
-    def __init__(self, props: DataFrame, edges: DataFrame, by_object: DataFrame | None = None):
-        self.props, self.edges, self.by_object = props, edges, props if by_object is None else by_object
+    def __init__(self, props: Source, edges: Source, by_object: Source | None = None):
+        self._props, self._edges, self._by_object = props, edges, by_object
+
+    @cached_property
+    def props(self) -> DataFrame:
+        return self._props() if callable(self._props) else self._props
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._edges() if callable(self._edges) else self._edges
+
+    @cached_property
+    def by_object(self) -> DataFrame:
+        return self.props if self._by_object is None else self._by_object() if callable(self._by_object) else self._by_object
 
     @classmethod
     def read(cls, spark, path: str) -> "Graph":

@@ -36,7 +36,9 @@ def bitmaps(a: DataFrame) -> DataFrame:
 
 
 def from_bitmaps(maps: DataFrame) -> DataFrame:
-    """The ids of bitmaps by bucket."""
+    """The ids of bitmaps by bucket. Bucket 0 holds 0 and counts down, those from 1 on hold what is above 0."""
     size = 32_768
-    bits = F.explode(F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.call_function("getbit", F.conv(F.hex(F.substring(F.col("bits"), (k / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int"), (k % 8).cast("int")) == 1))
-    return maps.select(((F.col("bucket") - 1) * size + bits + 1 - 1).cast("long").alias("obj_id"))
+    byte = lambda k: F.conv(F.hex(F.substring(F.col("bits"), (k / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    places = maps.select("bucket", F.explode(F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.call_function("getbit", byte(k), (k % 8).cast("int")) == 1)).alias("place"))
+    above = (F.col("bucket") - 1) * size + F.col("place") + 1
+    return places.select(F.when(F.col("bucket") > 0, above).otherwise(F.col("bucket") * size - F.col("place")).cast("long").alias("obj_id"))

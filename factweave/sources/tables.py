@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,15 +39,25 @@ def cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
 
 
-#: The kinds of objects: table, key, and fields by type.
-OBJECTS: dict[str, tuple[str, str, dict[str, str], dict[str, Callable[[], Column]]]] = {
-    "customer": ("customer", "c_custkey", {"name": "c_name", "mktsegment": "c_mktsegment"}, {"acctbal_cents": lambda: cents("c_acctbal")}),
-    "supplier": ("supplier", "s_suppkey", {"name": "s_name"}, {"acctbal_cents": lambda: cents("s_acctbal")}),
-    "part": ("part", "p_partkey", {"name": "p_name", "brand": "p_brand", "ptype": "p_type"}, {"size": lambda: F.col("p_size").cast("long"), "retail_cents": lambda: cents("p_retailprice")}),
+#: The kinds of objects: table, key, and the columns of their text and number fields.
+OBJECTS: dict[str, tuple[str, str, dict[str, str], dict[str, str]]] = {
+    "customer": ("customer", "c_custkey", {"name": "c_name", "mktsegment": "c_mktsegment"}, {"acctbal_cents": "round(c_acctbal * 100)"}),
+    "supplier": ("supplier", "s_suppkey", {"name": "s_name"}, {"acctbal_cents": "round(s_acctbal * 100)"}),
+    "part": ("part", "p_partkey", {"name": "p_name", "brand": "p_brand", "ptype": "p_type"}, {"size": "p_size", "retail_cents": "round(p_retailprice * 100)"}),
     "nation": ("nation", "n_nationkey", {"name": "n_name"}, {}),
     "region": ("region", "r_regionkey", {"name": "r_name"}, {}),
-    "order": ("orders", "o_orderkey", {"status": "o_orderstatus", "priority": "o_orderpriority"}, {"total_cents": lambda: cents("o_totalprice")}),
+    "order": ("orders", "o_orderkey", {"status": "o_orderstatus", "priority": "o_orderpriority"}, {"total_cents": "round(o_totalprice * 100)"}),
 }
+_NOWHERE = "CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon"
+
+
+def _id(kind: str, key: str) -> str:
+    return f"CAST({CODES[kind] * 10**9 + 1} + {key} AS BIGINT)"
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str, names: set[str]) -> DataFrame:
+    """One statement over tables, so it is analysed once however many branches it has."""
+    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def facts_of(rows: DataFrame, object_id: Column, strings: dict[str, Column], numbers: dict[str, Column]) -> DataFrame:
@@ -64,13 +73,14 @@ def facts_of(rows: DataFrame, object_id: Column, strings: dict[str, Column], num
 
 
 def props(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(OBJECTS)) -> DataFrame:
-    """Properties of the star schema's objects."""
+    """Properties of the star schema's objects. Each field is a branch of its own, so a literal field prunes all others."""
     out = []
     for kind in kinds:
         name, key, strings, numbers = OBJECTS[kind]
-        rows = table(spark, sf_dir, name)
-        out.append(facts_of(rows, obj_id(kind, key), {"type": F.lit(kind), **{f: F.col(c) for f, c in strings.items()}}, {f: make() for f, make in numbers.items()}))
-    return reduce(DataFrame.unionByName, out)
+        head = f"SELECT {_id(kind, key)} AS obj_id"
+        out += [f"{head}, '{f}' AS field, 'string' AS vtype, {c} AS sval, CAST(NULL AS BIGINT) AS nval, {_NOWHERE} FROM {{{name}}} WHERE {c} IS NOT NULL" for f, c in {"type": f"'{kind}'", **strings}.items()]
+        out += [f"{head}, '{f}', 'numeric', CAST(NULL AS STRING), CAST({c} AS BIGINT), {_NOWHERE} FROM {{{name}}} WHERE {c} IS NOT NULL" for f, c in numbers.items()]
+    return _sql(spark, sf_dir, " UNION ALL ".join(out), {OBJECTS[k][0] for k in kinds})
 
 
 def props_by_object(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(OBJECTS)) -> DataFrame:
@@ -78,12 +88,10 @@ def props_by_object(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = t
     out = []
     for kind in kinds:
         name, key, strings, numbers = OBJECTS[kind]
-        none = lambda t: F.lit(None).cast(t)
-        fact = lambda field, vtype, sval, nval: F.struct(F.lit(field).alias("field"), F.lit(vtype).alias("vtype"), sval.cast("string").alias("sval"), nval.cast("long").alias("nval"))
-        found = [fact("type", "string", F.lit(kind), none("long")), *(fact(f, "string", F.col(c), none("long")) for f, c in strings.items()), *(fact(f, "numeric", none("string"), make()) for f, make in numbers.items())]
-        rows = table(spark, sf_dir, name).select(obj_id(kind, key).alias("obj_id"), F.explode(F.array(*found)).alias("f")).select("obj_id", "f.*")
-        out.append(rows.where("sval is not null or nval is not null").withColumns({"lat": none("double"), "lon": none("double")}))
-    return reduce(DataFrame.unionByName, out)
+        fact = "named_struct('field', '{}', 'vtype', '{}', 'sval', CAST({} AS STRING), 'nval', CAST({} AS BIGINT))"
+        found = [fact.format(f, "string", c, "NULL") for f, c in {"type": f"'{kind}'", **strings}.items()] + [fact.format(f, "numeric", "NULL", c) for f, c in numbers.items()]
+        out.append(f"SELECT obj_id, f.field, f.vtype, f.sval, f.nval, {_NOWHERE} FROM (SELECT {_id(kind, key)} AS obj_id, explode(array({', '.join(found)})) AS f FROM {{{name}}})")
+    return _sql(spark, sf_dir, " UNION ALL ".join(out), {OBJECTS[k][0] for k in kinds}).where("sval IS NOT NULL OR nval IS NOT NULL")
 
 
 def geo_props(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,30 +102,24 @@ def geo_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("nval", S.geohash64("lat", "lon"))
 
 
-def edges(spark: SparkSession, sf_dir: str, rels: tuple[str, ...] = ("IN_NATION", "IN_REGION", "PLACED", "CONTAINS", "SUPPLIES", "KNOWS")) -> DataFrame:
-    """Directed relationships of the star schema, each once."""
-    t = lambda name: table(spark, sf_dir, name)
-
-    def of(rows: DataFrame, rel: str, src: Column, dst: Column) -> DataFrame:
-        return rows.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
-
-    def knows() -> DataFrame:
-        customers = t("customer").select(F.col("c_custkey").alias("c"))
-        n = F.lit(customers.count())
-        c = F.col("c")
-        to = F.array((c + 1) % n, (c + 2) % n, (c + 7) % n, (c * 7 + 1) % n, F.when(c % 5 == 0, (c + n - 1) % n))
-        pairs = customers.select("c", F.explode(F.array_distinct(to)).alias("d")).where("d is not null and c <> d")
-        return of(pairs, "KNOWS", obj_id("customer", "c"), obj_id("customer", "d"))
-
-    build = {
-        "IN_NATION": lambda: of(t("customer"), "IN_NATION", obj_id("customer", "c_custkey"), obj_id("nation", "c_nationkey")).unionByName(of(t("supplier"), "IN_NATION", obj_id("supplier", "s_suppkey"), obj_id("nation", "s_nationkey"))),
-        "IN_REGION": lambda: of(t("nation"), "IN_REGION", obj_id("nation", "n_nationkey"), obj_id("region", "n_regionkey")),
-        "PLACED": lambda: of(t("orders"), "PLACED", obj_id("customer", "o_custkey"), obj_id("order", "o_orderkey")),
-        "CONTAINS": lambda: of(t("lineitem").select("l_orderkey", "l_partkey").distinct(), "CONTAINS", obj_id("order", "l_orderkey"), obj_id("part", "l_partkey")),
-        "SUPPLIES": lambda: of(t("lineitem").select("l_suppkey", "l_partkey").distinct(), "SUPPLIES", obj_id("supplier", "l_suppkey"), obj_id("part", "l_partkey")),
-        "KNOWS": knows,
-    }
-    return reduce(DataFrame.unionByName, [build[r]() for r in rels])
+#: Relationships, and the statements that give them. KNOWS is made up: n is the number of customers.
+RELATIONSHIPS = {
+    "IN_NATION": (f"SELECT {_id('customer', 'c_custkey')} AS src, {_id('nation', 'c_nationkey')} AS dst FROM {{customer}} UNION ALL SELECT {_id('supplier', 's_suppkey')}, {_id('nation', 's_nationkey')} FROM {{supplier}}", {"customer", "supplier"}),
+    "IN_REGION": (f"SELECT {_id('nation', 'n_nationkey')} AS src, {_id('region', 'n_regionkey')} AS dst FROM {{nation}}", {"nation"}),
+    "PLACED": (f"SELECT {_id('customer', 'o_custkey')} AS src, {_id('order', 'o_orderkey')} AS dst FROM {{orders}}", {"orders"}),
+    "CONTAINS": (f"SELECT DISTINCT {_id('order', 'l_orderkey')} AS src, {_id('part', 'l_partkey')} AS dst FROM {{lineitem}}", {"lineitem"}),
+    "SUPPLIES": (f"SELECT DISTINCT {_id('supplier', 'l_suppkey')} AS src, {_id('part', 'l_partkey')} AS dst FROM {{lineitem}}", {"lineitem"}),
+    "KNOWS": (
+        f"SELECT {_id('customer', 'c')} AS src, {_id('customer', 'd')} AS dst FROM (SELECT c_custkey AS c, explode(array_distinct(array((c_custkey + 1) % n, (c_custkey + 2) % n, (c_custkey + 7) % n, (c_custkey * 7 + 1) % n, if(c_custkey % 5 = 0, (c_custkey + n - 1) % n, NULL)))) AS d FROM (SELECT c_custkey, (SELECT count(*) FROM {{customer}}) AS n FROM {{customer}})) WHERE d IS NOT NULL AND c <> d",
+        {"customer"},
+    ),
+}
+
+
+def edges(spark: SparkSession, sf_dir: str, rels: tuple[str, ...] = tuple(RELATIONSHIPS)) -> DataFrame:
+    """Directed relationships of the star schema, each once. Each type is a branch of its own."""
+    text = " UNION ALL ".join(f"SELECT src, '{r}' AS rel, dst FROM ({RELATIONSHIPS[r][0]})" for r in rels)
+    return _sql(spark, sf_dir, text, set().union(*(RELATIONSHIPS[r][1] for r in rels)))
 
 
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
