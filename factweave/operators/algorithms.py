@@ -36,7 +36,7 @@ def shortest_path(edges: DataFrame, start: int, end: int, rel: str, most: int =
             return frontier.where(F.col("node") == end).select(F.posexplode("path").alias("pos", "obj_id"))
         if not found["n"]:
             break
-        reached = _checkpoint(reached.unionByName(frontier.select("node")))
+        reached = reached.unionByName(frontier.select("node"))  # of frontiers that are kept already
     return spark.createDataFrame([], "pos int, obj_id long")
 
 
