@@ -40,12 +40,26 @@ def checkpoint(df: DataFrame, few: bool = True) -> DataFrame:
     return (few_files(df) if few else df).checkpoint()
 
 
+#: Scratch tables that this process has written.
+_SCRATCH: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the scratch tables written so far, once results that stand on them have been read; how many there were."""
+    n = len(_SCRATCH)
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame, few: bool = True) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder: compact, and safe from lost executors.
 
     ``few``: in few files, for tables that are small beside their input.
     """
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/factweave-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
     (few_files(df) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import random
 import re
 
@@ -7,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from factweave.llm import fingerprint, html, jaccard, licenses, lines, quality, suffixes
+from factweave.llm import common, fingerprint, html, jaccard, licenses, lines, quality, suffixes
 from factweave.llm.components import components
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -228,6 +229,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_scratch_tables_can_be_dropped(spark):
+    rows = common.written(spark.range(5))
+    path = rows.inputFiles()[0]
+    assert rows.count() == 5 and common.drop_scratch(spark) >= 1 and common.drop_scratch(spark) == 0
+    assert not pathlib.Path(path.removeprefix("file://")).exists()
+
+
 def test_segments_span_batches():
     keys = [1, 1, 2, 2, 2, 2, 3, 4, 4]
     batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[a:b], pa.int64())}) for a, b in ((0, 1), (1, 3), (3, 3), (3, 5), (5, 6), (6, 9))]
