@@ -25,8 +25,6 @@ from factweave.llm.common import RollingHash, mix, raw, runs, strings, table, wr
 
 RUN = 2
 LINE_HASH = RollingHash(23)
-_LINE = np.zeros(256, bool)
-_LINE[10] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[*b" \t\r"]] = True
 
