@@ -4,7 +4,7 @@ Each stage takes what the one before it kept. All but the last return the column
 that of the text as it then is:
 
 1. ``quality``: documents that the classifier rejects go.
-2. ``line_dedup``: lines of runs that occurred before go.
+2. ``line_dedup``: lines of runs that occurred before go, and long lines (``lines.ALONE``) that did.
 3. ``near_duplicates``: of each group that links of similarity 0.8 or more join, the document with the least id stays.
    Rows without an id stay.
 4. ``repeats``: bytes of 50-byte strings that a document with a smaller id has go.
@@ -34,7 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _documents(lines.dedup(docs.select(*COLUMNS)))
+    return _documents(lines.dedup(docs.select(*COLUMNS), alone=lines.ALONE))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,11 @@ over every window of ``RUN`` lines that chose it, and windows are compared whole
 (in a smaller id, or earlier in the same document) is a repeat, and all lines of repeats go; the first occurrence stays.
 Neighbouring repeats join to maximal runs. A line end goes with its line.
 
-Null texts have no lines and stay null; texts with fewer than ``RUN`` lines stay as they are. Rows are told apart by id
+Lines that repeat alone, between neighbours that differ, are no repeats of windows and stay, however long, unless
+``alone`` is given: then later occurrences of every line of that many bytes or more go as well, those of texts of one
+line too. The pipeline gives ``ALONE``; ``op6_line_dedup`` has the windows alone, as its SQL does.
+
+Null texts have no lines and stay null; texts with fewer than ``RUN`` lines lose nothing to windows. Rows are told apart by id
 and text; equal rows count as one document and are changed alike; null ids come after all others. All columns
 are kept, whatever their names, but for ``n_lines_removed``, which is added.
 """
@@ -24,13 +28,15 @@ from pyspark.sql import functions as F
 from factweave.llm.common import RollingHash, mix, raw, runs, strings, table, written
 
 RUN = 2
+#: Bytes, without white space at the ends, from which on a line that repeats alone goes in the pipeline.
+ALONE = 200
 LINE_HASH = RollingHash(23)
 _BLANK = np.zeros(256, bool)
 _BLANK[[*b" \t\r"]] = True
 
 
-def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and number within its row of each line that isn't blank."""
+def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, number within its row and length of each line that isn't blank."""
     n = len(data)
     breaks = np.flatnonzero(data == 10)
     starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], breaks + 1)
@@ -45,8 +51,9 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     full = first < after
     first, after, row, number = first[full], after[full], row[full], number[full]
     if not len(first):
-        return np.zeros(0, np.uint64), row, number
-    return mix(LINE_HASH.between(LINE_HASH.prefix(data), ink[first], ink[after - 1] + 1)), row, number
+        return np.zeros(0, np.uint64), row, number, first
+    begin, end = ink[first], ink[after - 1] + 1
+    return mix(LINE_HASH.between(LINE_HASH.prefix(data), begin, end)), row, number, end - begin
 
 
 def _chosen(hashes: np.ndarray, row: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,18 +75,24 @@ def _windows(hashes: np.ndarray, start: np.ndarray, run: int) -> np.ndarray:
     return mix(out)
 
 
-def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``doc_id, text_hash``, then ``fingerprint``, ``content`` and ``line`` (the first) of each window."""
+def windows(docs: DataFrame, run: int = RUN, alone: int | None = None) -> DataFrame:
+    """``at, text_hash``, then ``fingerprint``, ``content`` and ``line`` of each window, and of each line of ``alone`` bytes.
+
+    ``line`` is twice the number of the first line, and one more for a line alone.
+    """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(strings(batch.column("text")))
             for lo, hi in runs(offsets):
-                h, row, number = line_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                h, row, _, length = line_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 start, best = _chosen(h, row, run)
+                long = np.zeros(0, np.int64) if alone is None else np.flatnonzero(length >= alone)
+                fingerprint, content = np.append(h[best], h[long]), np.append(_windows(h, start, run), mix(h[long] ^ np.uint64(run)))
+                single, start = np.repeat([0, 1], [len(start), len(long)]), np.append(start, long)
                 index = pa.array(row[start] + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("at").take(index), batch.column("text_hash").take(index), pa.array(h[best].view(np.int64)), pa.array(_windows(h, start, run).view(np.int64)), pa.array(start - np.searchsorted(row, row[start]))],
+                    [batch.column("at").take(index), batch.column("text_hash").take(index), pa.array(fingerprint.view(np.int64)), pa.array(content.view(np.int64)), pa.array(2 * (start - np.searchsorted(row, row[start])) + single)],
                     ["at", "text_hash", "fingerprint", "content", "line"],
                 )
 
@@ -87,10 +100,10 @@ def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def _without(text: str | None, gone: set[int], run: int) -> tuple[str | None, int]:
-    """The text without the lines of windows that start at the given lines (blank lines not counted)."""
+    """The text without the lines of windows, and the lines alone, at the given places (blank lines not counted)."""
     if text is None or not gone:
         return text, 0
-    drop = {g + k for g in gone for k in range(run)}
+    drop = {(g >> 1) + k for g in gone for k in range(1 if g & 1 else run)}
     kept, n, removed = [], 0, 0
     for line in text.split("\n"):
         if line.strip(" \t\r"):
@@ -104,12 +117,12 @@ def _without(text: str | None, gone: set[int], run: int) -> tuple[str | None, in
     return "\n".join(kept), removed
 
 
-def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``docs`` with the lines of repeated runs taken out of ``text``, and ``n_lines_removed``."""
+def dedup(docs: DataFrame, run: int = RUN, alone: int | None = None) -> DataFrame:
+    """``docs`` with the lines of repeated runs, and repeated lines of ``alone`` bytes, taken out of ``text``, and ``n_lines_removed``."""
     names = [c for c in docs.columns if c != "n_lines_removed"]
     docs = docs.select(*names)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("at"), F.xxhash64("text").alias("text_hash"), "text")
-    found = written(windows(keyed, run))
+    found = written(windows(keyed, run, alone))
     # positions of fingerprints that occur more than once
     shared = written(found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"))
     near = found.join(shared, "fingerprint", "left_semi")

@@ -25,6 +25,12 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def test_long_lines_go_alone(spark, sf):
+    long = "word " * 50
+    kept = cp.line_stage(spark, frame(spark, [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long)]), sf).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: f"a\n{long}\nb", 2: "c\nd", 3: ""}
+
+
 def test_near_duplicates_keep_one_of_each_group(spark, sf):
     rows = corpus(21)
     kept = cp.near_duplicate_stage(spark, frame(spark, rows), sf).collect()

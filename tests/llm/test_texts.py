@@ -148,6 +148,13 @@ def test_lines_edges(spark):
     assert lines.dedup(documents(spark, [])).count() == 0
 
 
+def test_long_lines_alone(spark):
+    long = "word " * 50
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n\n  {long}\nd"), (3, long), (4, f"{long}\n{long}x\n{long}"), (5, "a\nq"), (None, long)]
+    found = {r["doc_id"]: (r["text"], r["n_lines_removed"]) for r in lines.dedup(documents(spark, rows), alone=lines.ALONE).collect()}
+    assert found == {1: (rows[0][1], 0), 2: ("c\n\nd", 1), 3: ("", 1), 4: (f"{long}x", 2), 5: ("a\nq", 0), None: ("", 1)}
+
+
 # similarity join
 def shingle_set(text, n=5):
     w = WORD.findall(lowered(text))
