@@ -1,12 +1,12 @@
 """Layout-aware rendering of HTML to text.
 
 A tokenizer cuts the page into tags, comments and character data; a builder keeps the stack of open elements, with
-implied ends (a paragraph ends where a block begins, a list item where the next one does, table parts likewise) and
-ignores ends that match nothing. What is never shown is left out: heads, scripts, styles, templates, form choices,
-``hidden`` and ``aria-hidden`` elements, and inline styles that hide. All other text is emitted, so none that a reader
-would see is lost: white space collapses outside ``pre``, blocks are set apart by line ends, paragraphs, headings, lists
-and tables by an empty line, list items are marked and indented by depth, and cells of a table are aligned in columns
-(empty lines within cells are left out).
+implied ends (a paragraph ends where a block begins, a list item where the next one does, table parts likewise, a head
+at the first text or tag that may not stand in it) and ignores ends that match nothing. What is never shown is left out:
+heads, scripts, styles, templates, form choices, ``hidden`` and ``aria-hidden`` elements, and inline styles that hide.
+All other text is emitted, so none that a reader would see is lost: white space collapses outside ``pre``, blocks are
+set apart by line ends, paragraphs, headings, lists and tables by an empty line, list items are marked and indented by
+depth, and cells of a table are aligned in columns (empty lines within cells are left out).
 
 A null page gives null, an empty one "". Pages may be broken anywhere, and of any length. Rows stand for themselves;
 columns are kept, whatever their names, but for ``text``, which is added.
@@ -28,6 +28,8 @@ from factweave.llm.common import table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript iframe object svg math select datalist canvas audio video title".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
+#: Tags that may stand in a head; any other, and text, ends it.
+IN_HEAD = frozenset("base link meta title style script template noscript".split())
 #: Blocks that are set apart by an empty line, and by a line end.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 BLOCK = SPACED | frozenset("address article aside body center details dialog dd div dt fieldset figcaption footer form header hgroup html legend li main menu nav optgroup option search section summary tbody tfoot thead tr caption".split())
@@ -197,6 +199,10 @@ def render(page: str) -> str:
                 if stack[k][0] in within:
                     return
 
+    def end_head() -> None:
+        while stack and stack[-1][0] == "head":
+            leave()
+
     while at < n:
         found = TOKEN.match(page, at)
         name, text = found[2], found[4]
@@ -206,11 +212,15 @@ def render(page: str) -> str:
             continue
         at = found.end()
         if name is None:
+            if text and opened["head"] and not SPACE.fullmatch(text):
+                end_head()
             if text and not unseen:
                 # text right in a table but outside its cells stands in the flow around it
                 flows[-1].add(html.unescape(text), pre > 0, indents[-1])
             continue
         name = name.lower()
+        if opened["head"] and (name in ("body", "html", "br") if found[1] else name not in IN_HEAD):
+            end_head()
         if found[1]:
             if name == "p" and not opened["p"]:
                 if not unseen:

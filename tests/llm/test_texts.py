@@ -344,6 +344,10 @@ def test_license_spans(spark):
         ("<b>" * 3000 + "deep", "deep"),
         ("<img alt='a cat'>x<textarea>a &lt;b\n c</textarea>", "xa <b\n c"),
         ("<TITLE>no</TITLE><P>Yes", "Yes"),
+        ("<html><head><title>no</title><p>Hello <b>you</b>", "Hello you"),
+        ("<head><meta charset=x>\n<script>no</script>\nHello<p>you", "Hello\n\nyou"),
+        ("<head><template><p>no</p>no</template><link rel=x></head>yes", "yes"),
+        ("<head hidden><style>no</style></html>yes", "yes"),
         ("<select><option>no</select><noscript>no</noscript>yes", "yes"),
     ],
 )
