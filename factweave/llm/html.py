@@ -3,10 +3,12 @@
 A tokenizer cuts the page into tags, comments and character data; a builder keeps the stack of open elements, with
 implied ends (a paragraph ends where a block begins, a list item where the next one does, table parts likewise, a head
 at the first text or tag that may not stand in it) and ignores ends that match nothing. What is never shown is left out:
-heads, scripts, styles, templates, form choices, ``hidden`` and ``aria-hidden`` elements, and inline styles that hide.
-All other text is emitted, so none that a reader would see is lost: white space collapses outside ``pre``, blocks are
-set apart by line ends, paragraphs, headings, lists and tables by an empty line, list items are marked and indented by
-depth, and cells of a table are aligned in columns (empty lines within cells are left out).
+heads, scripts, styles, templates, form choices, ``hidden`` and ``aria-hidden`` elements, and inline styles that hide;
+of a drawing (``svg``) all but ``text`` and ``foreignObject`` elements, and these in definitions; of a formula
+(``math``) annotations and phantoms. All other text is emitted, so none that a reader would see is lost: white space
+collapses outside ``pre``, blocks are set apart by line ends, paragraphs, headings, lists and tables by an empty line,
+list items are marked and indented by depth, and cells of a table are aligned in columns (empty lines within cells are
+left out).
 
 A null page gives null, an empty one "". Pages may be broken anywhere, and of any length. Rows stand for themselves;
 columns are kept, whatever their names, but for ``text``, which is added.
@@ -26,8 +28,14 @@ from pyspark.sql import functions as F
 from factweave.llm.common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math select datalist canvas audio video title".split())
+UNSEEN = frozenset("head script style template noscript iframe object select datalist canvas audio video title".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
+#: Parts that aren't shown of a drawing, whose other text stands in the elements SHOWN, and of a formula.
+IN_SVG = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
+SHOWN = frozenset("text foreignobject".split())
+IN_MATH = frozenset("annotation annotation-xml mphantom".split())
+#: Tags that end a drawing.
+ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Tags that may stand in a head; any other, and text, ends it.
 IN_HEAD = frozenset("base link meta title style script template noscript".split())
 #: Blocks that are set apart by an empty line, and by a line end.
@@ -49,16 +57,32 @@ IMPLIED = {
     "body": (frozenset({"head", "title"}), frozenset()),
 }
 ENDS_P = BLOCK - {"html", "body", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"}
-P_SCOPE = frozenset("table td th button caption".split())
+P_SCOPE = frozenset("table td th button caption foreignobject".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 BEGUN = re.compile(r"</?[a-zA-Z]")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true)|type\s*=\s*[\"']?hidden", re.I)
-STYLE = re.compile(r"style\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-START = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I)
+HIDING = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+MAY_HIDE = re.compile(r"hidden|style", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+START = re.compile(r"\s*(-?\d{1,9})")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+def attributes(rest: str) -> dict[str, str]:
+    """Names, in lower case, and values of a tag's attributes; of those named alike the first."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(rest):
+        out.setdefault(name.lower(), html.unescape("".join(values)))
+    return out
+
+
+def _hides(rest: str) -> bool:
+    """Whether a tag's attributes hide its element (``type=hidden`` is of inputs alone, which hold no text)."""
+    if not MAY_HIDE.search(rest):
+        return False
+    given = attributes(rest)
+    return "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or bool(HIDING.search(given.get("style", "")))
+
+
 class Text:
     """Lines of one flow of text: the page's, or a cell's."""
 
@@ -140,8 +164,9 @@ class Grid:
 
 def render(page: str) -> str:
     """All visible text of a page."""
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each began to hide
+    stack: list[tuple[str, bool, bool]] = []  # open elements, whether each began to hide, and whether it began in a drawing
     unseen = 0
+    drawing = False  # in a drawing, outside its texts
     pre = 0
     flows, grids, lists = [Text()], [], []
     indents = [""]
@@ -150,12 +175,15 @@ def render(page: str) -> str:
     opened: Counter[str] = Counter()
 
     def leave() -> None:
-        nonlocal unseen, pre
-        name, hides = stack.pop()
+        nonlocal unseen, pre, drawing
+        name, hides, drawn = stack.pop()
         opened[name] -= 1
         unseen -= hides
-        if unseen or hides:
+        inside, drawing = drawing, drawn
+        if unseen or hides or inside:
             return
+        if drawn:
+            flows[-1].add(" ", False, indents[-1])
         if name == "pre":
             pre -= 1
         if name in LISTS and lists:
@@ -214,7 +242,7 @@ def render(page: str) -> str:
         if name is None:
             if text and opened["head"] and not SPACE.fullmatch(text):
                 end_head()
-            if text and not unseen:
+            if text and not unseen and not drawing:
                 # text right in a table but outside its cells stands in the flow around it
                 flows[-1].add(html.unescape(text), pre > 0, indents[-1])
             continue
@@ -233,29 +261,35 @@ def render(page: str) -> str:
                 close_nearest(name, scope)
             continue
         rest = found[3]
+        if drawing and name in ENDS_SVG:
+            close_nearest("svg", frozenset())
         if name in IMPLIED:
             close(*IMPLIED[name])
         if name in ENDS_P and opened["p"]:
             close(frozenset({"p"}), P_SCOPE)
-        if name not in VOID and not rest.rstrip().endswith("/") or name in RAW:
-            hides = name in UNSEEN or bool(rest) and (bool(HIDDEN.search(rest)) or bool((style := STYLE.search(rest)) and HIDING.search(style[1])))
+        closed = rest.rstrip().endswith("/")
+        if name not in VOID and not closed or name in RAW and not (closed and drawing):
+            hides = name in UNSEEN or bool(rest) and _hides(rest) or name in IN_SVG and opened["svg"] > 0 or name in IN_MATH and opened["math"] > 0
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-                if not hides and not unseen:
+                if not hides and not unseen and not drawing:
                     held = page[at : end.start()] or " "
                     flows[-1].add(html.unescape(held) if name == "textarea" else held, True, indents[-1])
                 at = end.end()
                 continue
-            stack.append((name, hides))
+            stack.append((name, hides, drawing))
             opened[name] += 1
             unseen += hides
-            if unseen:
+            drawing = name == "svg" or drawing and name not in SHOWN
+            if unseen or drawing:
                 continue
             flow = flows[-1]
+            if stack[-1][2]:
+                flow.add(" ", False, indents[-1])
             if name in BLOCK:
                 flow.end(name in SPACED and not (name in LISTS and lists))
             if name in LISTS:
-                lists.append([name == "ol", int(start[1]) if name == "ol" and (start := START.search(rest)) else 1])
+                lists.append([name == "ol", int(start[1]) if name == "ol" and (start := START.match(attributes(rest).get("start", ""))) else 1])
             elif name == "li":
                 indent = "  " * max(0, len(lists) - 1)
                 if lists and lists[-1][0]:
@@ -277,7 +311,7 @@ def render(page: str) -> str:
                 grids[-1].rows[-1].append(cell := Text())
                 flows.append(cell)
                 indents.append("")
-        elif unseen:
+        elif unseen or drawing:
             continue
         elif name == "br":
             flows[-1].end()

@@ -348,6 +348,13 @@ def test_license_spans(spark):
         ("<head><meta charset=x>\n<script>no</script>\nHello<p>you", "Hello\n\nyou"),
         ("<head><template><p>no</p>no</template><link rel=x></head>yes", "yes"),
         ("<head hidden><style>no</style></html>yes", "yes"),
+        ("<a title='a hidden gem'>one</a> <b data-note='the hidden cost'>two</b> <i data-style='display:none'>three</i> <u alt='type=hidden'>four</u>", "one two three four"),
+        ("<b aria-hidden=true>no</b><b HIDDEN>no</b><b class=a hidden=''>no</b><b STYLE='display:&#110;one'>no</b><b aria-hidden=false>yes</b>", "yes"),
+        ("<ol data-start=5 start='3'><li>a</ol>", "3. a"),
+        ("a <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></semantics></math> b", "a x=2 b"),
+        ("a<svg><title>no</title>no<script/><defs><text>no</text></defs><g><text>Jan<desc>no</desc></text><text hidden>no</text><text>Feb</text></g>no</svg>b", "a Jan Feb b"),
+        ("<svg>no<foreignObject><p>in</p></foreignObject></svg><p>out", "in\n\nout"),
+        ("<svg>no<p>yes", "yes"),
         ("<select><option>no</select><noscript>no</noscript>yes", "yes"),
     ],
 )
