@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: After so many rounds the frontiers of a shortest path are written as one table, so plans stay short on deep graphs.
+MERGED = 16
+
+
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared folder of the cluster; in a temporary one only where none is set."""
     context = df.sparkSession.sparkContext
@@ -16,11 +20,12 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, rel: str, most: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, start: int, end: int, rel: str, most: int | None = None) -> DataFrame:
     """``pos, obj_id``: the least, in the order of its ids, of the shortest directed paths; no rows if there is none.
 
     Level by level: each round joins the frontier with the relationships, keeps the least path to each new object and
-    leaves out what was reached before. The driver sees whether a round found anything, or the end.
+    leaves out what was reached before. The driver sees whether a round found anything, or the end. It ends when a round
+    finds nothing new; if ``most`` rounds are given and don't suffice, it fails.
     """
     spark = edges.sparkSession
     if start == end:
@@ -28,16 +33,21 @@ def shortest_path(edges: DataFrame, start: int, end: int, rel: str, most: int =
     own = edges.where(F.col("rel") == rel).select("src", "dst").distinct()
     frontier = spark.createDataFrame([(start, [start])], "node long, path array<long>")
     reached = frontier.select("node")
-    for _ in range(most):
+    rounds = 0
+    while True:
+        if rounds == most:
+            raise ValueError(f"no path of {most} relationships or fewer, but longer ones were not looked for")
+        rounds += 1
         step = own.join(frontier, own["src"] == frontier["node"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         frontier = _checkpoint(step.join(reached, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         found = frontier.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("node") == end).alias("met")).first()
         if found["met"]:
             return frontier.where(F.col("node") == end).select(F.posexplode("path").alias("pos", "obj_id"))
         if not found["n"]:
-            break
+            return spark.createDataFrame([], "pos int, obj_id long")
         reached = reached.unionByName(frontier.select("node"))  # of frontiers that are kept already
-    return spark.createDataFrame([], "pos int, obj_id long")
+        if rounds % MERGED == 0:
+            reached = _checkpoint(reached.distinct())
 
 
 def transitive_triples(edges: DataFrame, rel: str) -> DataFrame:

@@ -163,6 +163,13 @@ def test_algorithms_against_brute_force(spark):
     assert {(r["a"], r["b"]) for r in g.mutual("K").collect()} == {(a, b) for a, b in pairs if a < b and (b, a) in pairs}
 
 
+def test_shortest_paths_are_as_long_as_they_have_to_be(spark):
+    edges = facts.edge_rows(spark, [(k, "K", k + 1) for k in range(1, 68)] + [(68, "K", 1)]).cache()
+    assert [r["obj_id"] for r in algorithms.shortest_path(edges, 1, 68, "K").orderBy("pos").collect()] == list(range(1, 69))
+    with pytest.raises(ValueError):
+        algorithms.shortest_path(edges, 1, 9, "K", most=3)
+
+
 def test_few_sources_have_no_triangles(spark):
     edges = facts.edge_rows(spark, [(1, "K", 2), (1, "K", 3), (2, "K", 3)])
     assert algorithms.triangles(edges, "K").first()["triangles"] == 0
