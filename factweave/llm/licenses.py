@@ -1,6 +1,7 @@
 """License scans: exact set-similarity join of text blocks with license templates, in DataFrame functions alone.
 
-A block is a line of a text, as its set of lower-cased words. It matches a template if it holds at least ``CONTAINED``
+A block is a line of a text, as its set of lower-cased words, or, for notices that are wrapped over lines, any run of as
+many consecutive words as the template has, wherever lines end. It matches a template if it holds at least ``CONTAINED``
 of the template's words. The words of all templates are ordered by how many blocks of the corpus hold them, rarest
 first. A block that reaches the threshold must hold one of the first words of a template in that order (the prefix
 filter); the index of those words is of the templates' size, and is met by every block. Candidates must be long
@@ -103,7 +104,8 @@ def _joined(labels: Column) -> Column:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` and ``spans``.
 
-    ``spans``: each matching block's line number (from 0), the label and the containment. The index of the templates
+    ``spans``: each matching line's number (from 0), the label and the containment; of a run of words that holds more of a
+    template than any line, the number is null. The index of the templates
     is a literal of the plan, so all blocks are met where they lie and no row is shuffled but counts of words.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -120,6 +122,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containe
     ints = lambda values: F.array(*(F.lit(v) for v in values)).cast("array<int>")
     ranks_of = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, rank[w])))
     index_of = F.create_map(*(x for r, ts in sorted(index.items()) for x in (F.lit(r), ints(ts))))
+    index_by_word = F.create_map(*(x for r, ts in sorted(index.items()) for x in (F.lit(by_rank[r]), ints(ts))))
+    lengths = [len(text.split()) for _, text in templates]
+    held_of, length_of = F.array(*(strings(sorted(words)) for _, words in _templates(templates))), ints(lengths)
     words_of, needed_of, labels_of = F.array(*(ints(r) for _, r in sets)), ints(needed), strings([label for label, _ in sets])
 
     def ordered(line: Column) -> Column:
@@ -139,6 +144,33 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containe
         found = F.transform(candidates(block), lambda t: F.struct(line.cast("long").alias("line"), F.get(labels_of, t).alias("label"), share(t).alias("contained")))
         return F.filter(found, lambda m: m["contained"] >= contained - 1e-9)
 
+    def wrapped(words: Column) -> Column:
+        """Matches of runs of as many words as the template has, one for each place of a word of its prefix."""
+
+        def near(i: Column, t: Column) -> Column:
+            """Words that a run with the place in it can have."""
+            begin = F.greatest(i - F.get(length_of, t) + 1, F.lit(0))
+            return F.slice(words, begin + 1, i - begin + F.get(length_of, t))
+
+        def most(i: Column, t: Column) -> Column:
+            held = F.transform(
+                F.sequence(F.greatest(i - F.get(length_of, t) + 1, F.lit(0)), i),
+                lambda begin: F.size(F.array_intersect(F.slice(words, begin + 1, F.get(length_of, t)), F.get(held_of, t))),
+            )
+            return F.array_max(held) / F.size(F.get(held_of, t))
+
+        def met(i: Column) -> Column:
+            ts = F.filter(F.element_at(index_by_word, F.get(words, i)), lambda t: F.size(F.array_intersect(near(i, t), F.get(held_of, t))) >= F.get(needed_of, t))
+            return F.transform(ts, lambda t: F.struct(F.lit(None).cast("long").alias("line"), F.get(labels_of, t).alias("label"), most(i, t).alias("contained")))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin([by_rank[r] for r in sorted(index)]))
+        return F.filter(F.array_distinct(F.flatten(F.transform(places, met))), lambda m: m["contained"] >= contained - 1e-9)
+
+    def both(by_line: Column, by_run: Column) -> Column:
+        """Those of lines, and those of runs that tell more."""
+        more = lambda m: ~F.exists(by_line, lambda b: (b["label"] == m["label"]) & (b["contained"] >= m["contained"]))
+        return F.concat(by_line, F.filter(by_run, more))
+
     words = docs.withColumn("low", lowered(F.col("text"))).drop("text").withColumn("words", word_list(F.col("low")))
     any_base = F.arrays_overlap("words", strings(sorted({p.split()[0] for p in PHRASES})))
     any_prefix = F.arrays_overlap("words", strings([by_rank[r] for r in sorted(index)]))
@@ -151,7 +183,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containe
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.when(any_base, F.filter(places, lambda p: F.size(p["at"]) > 0)).otherwise(F.array().cast(none)).alias("base"),
-        F.when(any_prefix, F.flatten(F.transform(blocks, lambda b: matches(b["words"], b["line"])))).otherwise(F.array().cast(spans)).alias("spans"),
+        F.when(any_prefix, both(F.flatten(F.transform(blocks, lambda b: matches(b["words"], b["line"]))), wrapped(F.col("words")))).otherwise(F.array().cast(spans)).alias("spans"),
     )
     starts = F.flatten(F.transform("base", lambda b: b["at"]))
     base_labels = F.transform("base", lambda b: b["label"])

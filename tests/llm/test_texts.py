@@ -2,6 +2,7 @@ import hashlib
 import pathlib
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -315,6 +316,22 @@ def test_license_spans(spark):
     assert {(s["line"], s["label"]) for s in r["spans"]} >= {(1, "mit"), (3, "cc-by-nc")}
 
 
+def test_wrapped_licenses(spark):
+    def wrap(text, columns, mark):
+        return "Intro.\n\n" + "\n".join(mark + x for x in textwrap.wrap(text, columns)) + "\n\nint main() {}"
+
+    notices = [(label, text) for label, text in licenses.TEMPLATES if len(text.split()) > 15]
+    assert {"mit", "bsd"} <= {label for label, _ in notices}
+    cases = [(label, wrap(text, columns, mark)) for label, text in notices for columns in (30, 72) for mark in ("", "# ", " * ")]
+    cases.append(("bsd", wrap("Copyright me. " + next(t for label, t in notices if label == "bsd").replace("source and", "source & and", 1) + ": none.", 72, "")))
+    spread = "\n".join(" ".join([w] + ["filler"] * 9) for w in next(t for label, t in notices if label == "bsd").split())
+    found = {r["doc_id"]: r for r in licenses.scan(documents(spark, [(i, t) for i, (_, t) in enumerate([*cases, ("", spread)])])).collect()}
+    for i, (label, text) in enumerate(cases):
+        assert label in found[i]["labels"].split(","), text
+        assert found[i]["score"] >= licenses.CONTAINED
+    assert found[len(cases)]["labels"] == "" and found[len(cases)]["score"] == 0
+
+
 # HTML
 @pytest.mark.parametrize(
     ("page", "text"),
