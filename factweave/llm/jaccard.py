@@ -3,9 +3,10 @@
 Equal sets of shingles are one node. A run sends each node down the paths of shared tokens that it chooses: at each
 level a token is chosen if its hash, with the path so far, lies below 1 / (``JACCARD`` * size), so similar sets choose
 alike and about one token each. Nodes that share a bucket are candidates; buckets that are larger than ``SMALL`` are
-split by the next level, the last level's are taken as they are. ``RUNS`` repeat this: a pair at the threshold shares
-a first bucket in a run with probability 2/3 and a third one with 2/5, so all runs together lose at most a pair in
-fifty of those at the very threshold that meet in large buckets only, and next to none of the others.
+split by the next level, the last level's are taken as they are. ``RUNS`` repeat this, as many as ``RECALL``
+asks for: where one set holds the other, a pair at the threshold chooses one common token on average, and no pair at it
+fewer, so it shares a first bucket in a run with a probability of 0.63 and a third one with 0.37. All runs together lose
+at most 1 - ``RECALL`` of those pairs at the very threshold that meet in large buckets only, and next to none of the others.
 
 A bucket is brute-forced with sketches (64 one-permutation minima a node), not by all pairs: a pivot takes in all that
 may be near enough to be linked with what it covers, those next to it need not be pivots, and none looks at what is
@@ -20,6 +21,7 @@ looked at. Texts of any length are taken whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,20 @@ from factweave.llm.common import TOKEN_BITS, mix, raw, runs, strings, table, tok
 from factweave.llm.components import components
 
 JACCARD, WORDS = 0.8, 5
-RUNS, LEVELS, SMALL, LOT = 8, 3, 200, 1024
+LEVELS, SMALL, LOT = 3, 200, 1024
+#: The share of pairs at the threshold that share a bucket of the last level in some run, at least.
+RECALL = 0.995
+
+
+def runs_for(recall: float, levels: int = LEVELS) -> int:
+    """How many runs give the recall to a pair that chooses one common token at each level on average."""
+    ends = 0.0  # the probability that all common paths of a run end before the level
+    for _ in range(levels):
+        ends = math.exp(ends - 1)
+    return math.ceil(math.log(1 - recall) / math.log(ends))
+
+
+RUNS = runs_for(RECALL)
 BINS = 64
 #: Estimates from which on a pivot takes a node in, and from which on that node needs no pivot of its own: two sets
 #: with similarity J have distance 1 - J, which obeys the triangle inequality, and estimates err by four deviations.

@@ -210,6 +210,15 @@ def test_join_of_a_large_group(spark):
         assert found[i]["n_links"] == sum(len(sets[i] & s) >= 0.8 * len(sets[i] | s) for s in sets) - 1
 
 
+def test_runs_give_the_recall():
+    rng = np.random.default_rng(7)
+    n = 4000
+    tokens = rng.integers(0, 1 << 64, (n, 50), np.uint64)
+    held, whole = (jaccard.paths(t.ravel(), np.arange(n + 1) * t.shape[1]) for t in (tokens[:, :40], tokens))
+    shared = lambda level: {a[0] for a in {(i, b) for i, b in zip(held[0].tolist(), held[1][:, level].tolist()) if b} & {(i, b) for i, b in zip(whole[0].tolist(), whole[1][:, level].tolist()) if b}}
+    assert len(shared(jaccard.LEVELS - 1)) >= 0.992 * n and len(shared(0)) >= 0.9995 * n
+
+
 def test_join_edges(spark):
     assert jaccard.join(documents(spark, [])).count() == 0
     found = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.join(documents(spark, [(1, None), (2, ""), (3, "A b"), (4, "a B!"), (5, "c")])).collect()}
