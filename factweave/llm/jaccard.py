@@ -3,12 +3,18 @@
 Equal sets of shingles are one node. A run sends each node down the paths of shared tokens that it chooses: at each
 level a token is chosen if its hash, with the path so far, lies below 1 / (``JACCARD`` * size), so similar sets choose
 alike and about one token each. Nodes that share a bucket are candidates; buckets that are larger than ``SMALL`` are
-split by the next level, the last level's are taken as they are. ``RUNS`` repeat this, as many as ``RECALL``
-asks for: where one set holds the other, a pair at the threshold chooses one common token on average, and no pair at it
-fewer, so it shares a first bucket in a run with a probability of 0.63 and a third one with 0.37. All runs together lose
-at most 1 - ``RECALL`` of those pairs at the very threshold that meet in large buckets only, and next to none of the others.
-
-A bucket is brute-forced with sketches (64 one-permutation minima a node), not by all pairs: a pivot takes in all that
+split by the next level. Below ``LEVELS`` levels such a bucket first meets a few pivots of its own, one distributed pass: nodes
+next to a pivot (near copies) are done, and a bucket whose rest has one label is finished. What is left shares a passage and
+little else; it goes on level by level until no bucket is large, choosing more tokens (1 in ``DEEPER`` * size), so true pairs
+stay together the likelier while buckets of others still shrink. No bucket of any size is dropped or taken whole in one task.
+
+Runs repeat this, as many as ``recall`` asks for: where one set holds the other, a pair at the threshold chooses one common
+token on average, and no pair at it fewer, so it shares a first bucket in a run with a probability of 0.63 and a third one with
+0.37. All runs together lose at most 1 - ``recall`` of those pairs at the very threshold that meet on the third level only, and
+next to none of the others.
+
+The first runs are a wave of their own: what they join has one label from then on, and a bucket of one label is passed over.
+A small bucket is brute-forced with sketches (64 one-permutation minima a node), not by all pairs: a pivot takes in all that
 may be near enough to be linked with what it covers, those next to it need not be pivots, and none looks at what is
 joined with it already; so a bucket gives fewer edges than it has members. What edges join is then compared exactly, set by set, in
 tasks of at most two lots of ``LOT`` sets, and links are counted there rather than listed.
@@ -46,7 +52,8 @@ def runs_for(recall: float, levels: int = LEVELS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(ends))
 
 
-RUNS = runs_for(RECALL)
+#: Runs of the first wave; tokens chosen below the first levels; pivots of a large bucket.
+FIRST_WAVE, DEEPER, PIVOTS = 2, 0.6, 8
 BINS = 64
 #: Estimates from which on a pivot takes a node in, and from which on that node needs no pivot of its own: two sets
 #: with similarity J have distance 1 - J, which obeys the triangle inequality, and estimates err by four deviations.
@@ -80,35 +87,55 @@ def estimated(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
     return ((others == sketch) & filled).sum(1) / np.maximum(filled.sum(1), 1)
 
 
-def paths(tokens: np.ndarray, begins: np.ndarray, n_runs: int = RUNS, levels: int = LEVELS, jaccard: float = JACCARD) -> tuple[np.ndarray, np.ndarray]:
-    """Row, and bucket at each level (0: the path ended before), of every path that a row follows."""
+def paths(tokens: np.ndarray, begins: np.ndarray, these: range, levels: int = LEVELS, jaccard: float = JACCARD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the runs give: row and first bucket of each path, then row and buckets of each path that goes on.
+
+    Buckets after the first are told apart below the first alone (32 bits each, 0: the path ended before).
+    """
     size = np.diff(begins)
     rows = np.flatnonzero(size)
-    node = np.tile(rows, n_runs)
+    node = np.tile(rows, len(these))
     trail = np.zeros((len(node), levels), np.uint64)
-    path = mix(np.repeat(np.arange(1, n_runs + 1, dtype=np.uint64), len(rows)) * np.uint64(0xA0761D6478BD642F))
-    ended_rows, ended = [], []
+    path = mix(np.repeat(np.arange(these.start + 1, these.stop + 1, dtype=np.uint64), len(rows)) * np.uint64(0xA0761D6478BD642F))
+    top_rows, tops, ended_rows, ended = rows[:0], path[:0], [], []
     for level in range(levels):
         count = size[node]
         at = np.repeat(begins[node] - np.cumsum(count) + count, count) + np.arange(count.sum())
         parent = np.repeat(np.arange(len(node)), count)
         h = mix(path[parent] ^ tokens[at])
-        limit = (2.0**64 / np.maximum(jaccard * size, 1.0)).clip(max=2.0**64 - 4096).astype(np.uint64)
-        chosen = np.flatnonzero(h < limit[node[parent]])
+        chosen = np.flatnonzero(h < _limit(size, jaccard)[node[parent]])
         over = np.ones(len(node), bool)
         over[parent[chosen]] = False
-        if level:
+        if level > 1:
             ended_rows.append(node[over])
             ended.append(trail[over])
         parent = parent[chosen]
-        path = mix(path[parent] * np.uint64(0x9E3779B97F4A7C15) + tokens[at[chosen]]) | np.uint64(1)
+        path = _pair(path[parent], tokens[at[chosen]]) | np.uint64(1)
         node, trail = node[parent], trail[parent]
-        trail[:, level] = path
-    return np.concatenate([*ended_rows, node]), np.concatenate([*ended, trail])
+        trail[:, level] = path if not level else path >> np.uint64(33) | np.uint64(1)
+        if not level:
+            top_rows, tops = node, path
+    return top_rows, tops, np.concatenate([*ended_rows, node]), np.concatenate([*ended, trail])
+
+
+def _pair(path: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The path that goes on with a token."""
+    return mix(np.atleast_1d(path) * np.uint64(0x9E3779B97F4A7C15) + token)
+
 
+def _limit(size: np.ndarray, share: float) -> np.ndarray:
+    """Hashes below it choose: one token in share * size."""
+    return (2.0**64 / np.maximum(share * size, 1.0)).clip(max=2.0**64 - 4096).astype(np.uint64)
 
-def signatures(docs: DataFrame, n_runs: int = RUNS) -> DataFrame:
-    """``at, key1, key2, size, sketch, paths`` of each document; ``paths``: an array of buckets by level."""
+
+def _lists(row: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """Values, sorted by row, as a list for each of n rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), values)
+
+
+def signatures(docs: DataFrame, waves: list[range]) -> DataFrame:
+    """``at, key1, key2, size, sketch`` of each document, and for each wave of runs its first buckets and the paths that go on."""
+    deeper = [f"b{k}" for k in range(1, LEVELS)]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,17 +143,21 @@ def signatures(docs: DataFrame, n_runs: int = RUNS) -> DataFrame:
             for lo, hi in runs(offsets):
                 tokens, begins = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 one, two = keys(tokens, begins)
-                row, trail = paths(tokens, begins, n_runs)
-                order = np.argsort(row, kind="stable")
-                ends = np.searchsorted(row[order], np.arange(hi - lo + 1)).astype(np.int32)
-                levels = [pa.array(trail[order, k].view(np.int64) if trail[order, k].flags.c_contiguous else np.ascontiguousarray(trail[order, k]).view(np.int64)) for k in range(LEVELS)]
-                followed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(levels, [f"b{k}" for k in range(LEVELS)]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("at")[lo:hi], pa.array(one), pa.array(two), pa.array(np.diff(begins)), pa.array([x.tobytes() for x in sketches(tokens, begins)], pa.binary()), followed],
-                    ["at", "key1", "key2", "size", "sketch", "paths"],
-                )
-
-    return docs.select("at", "text").mapInArrow(part, f"at long, key1 long, key2 long, size long, sketch binary, paths array<struct<{', '.join(f'b{k}: bigint' for k in range(LEVELS))}>>")
+                columns = [batch.column("at")[lo:hi], pa.array(one), pa.array(two), pa.array(np.diff(begins)), pa.array([x.tobytes() for x in sketches(tokens, begins)], pa.binary())]
+                names = ["at", "key1", "key2", "size", "sketch"]
+                for w, these in enumerate(waves):
+                    top_row, tops, row, trail = paths(tokens, begins, these)
+                    order = np.argsort(top_row, kind="stable")
+                    columns.append(_lists(top_row[order], hi - lo, pa.array(tops[order].view(np.int64))))
+                    order = np.argsort(row, kind="stable")
+                    trail = trail[order]
+                    levels = [pa.array(np.ascontiguousarray(trail[:, 0]).view(np.int64)), *(pa.array(trail[:, k].astype(np.int32)) for k in range(1, LEVELS))]
+                    columns.append(_lists(row[order], hi - lo, pa.StructArray.from_arrays(levels, ["b0", *deeper])))
+                    names += [f"tops{w}", f"paths{w}"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    followed = ", ".join(f"tops{w} array<bigint>, paths{w} array<struct<b0: bigint, {', '.join(f'{b}: int' for b in deeper)}>>" for w in range(len(waves)))
+    return docs.select("at", "text").mapInArrow(part, f"at long, key1 long, key2 long, size long, sketch binary, {followed}")
 
 
 def _segments(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
@@ -161,14 +192,14 @@ def _cuts(t: pa.Table, *by: str) -> np.ndarray:
     return np.append(np.flatnonzero(new), t.num_rows)
 
 
-def bucket_edges(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_edges(sketch: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places in a bucket that join those which may be linked: as few as that takes.
 
-    A pivot looks only at what isn't joined with it yet. Places that are next to a pivot need not be pivots: all that
-    may be linked with them has been near enough to that pivot to be joined with it.
+    Places of one label are joined already. A pivot looks only at what isn't joined with it yet. Places that are next to
+    a pivot need not be pivots: all that may be linked with them has been near enough to that pivot to be joined with it.
     """
     n = len(sketch)
-    joined, done = np.arange(n), np.zeros(n, bool)
+    joined, done = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1], np.zeros(n, bool)
     a, b = [], []
     for pivot in range(n):
         if done[pivot]:
@@ -186,14 +217,18 @@ def bucket_edges(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
 
 
+def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
 def candidate_edges(members: DataFrame) -> DataFrame:
-    """``a, b``: edges from buckets (``bucket, node, sketch``)."""
+    """``a, b``: edges from small buckets (``bucket, node, label, sketch``)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _segments(batches, "bucket"):
             cuts = _cuts(t, "bucket")
-            node = t.column("node").to_numpy()
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            node, label = t.column("node").to_numpy(), t.column("label").to_numpy()
+            sketch = _sketches(t.column("sketch"))
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             two = cuts[:-1][np.diff(cuts) == 2]
             if len(two):
@@ -204,7 +239,7 @@ def candidate_edges(members: DataFrame) -> DataFrame:
                 b.append(two[near] + 1)
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if hi - lo > 2:
-                    i, j = bucket_edges(sketch[lo:hi])
+                    i, j = bucket_edges(sketch[lo:hi], label[lo:hi])
                     a.append(i + lo)
                     b.append(j + lo)
             yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(a)]), pa.array(node[np.concatenate(b)])], ["a", "b"])
@@ -212,20 +247,150 @@ def candidate_edges(members: DataFrame) -> DataFrame:
     return members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(part, "a long, b long")
 
 
-def _buckets(followed: DataFrame) -> DataFrame:
-    """``bucket, node`` from ``node, b0 ..``: the first level at which few enough share the bucket, or the last."""
-    out, left = None, followed
-    for k in range(LEVELS):
-        name = f"b{k}"
-        left = left.where(F.col(name) != 0)
-        spread = written(left.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(name, "n"))
-        joined = left.join(spread, name)
-        last = k == LEVELS - 1
-        small = (joined if last else joined.where(F.col("n") <= SMALL)).select(F.col(name).alias("bucket"), "node")
-        out = small if out is None else out.unionByName(small)
-        if not last:
-            left = written(joined.where(F.col("n") > SMALL).drop("n"))
-    return out.distinct()
+def _mixed(rows: DataFrame) -> DataFrame:
+    """``bucket, node, label, n`` of the buckets (of n nodes) in which not all have one label yet."""
+    spread = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "n")
+    return rows.join(spread, "bucket").select("bucket", "node", "label", "n")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``bucket, node`` with the class that earlier runs joined a node to, or the node itself."""
+    return rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+
+
+def stars(big: DataFrame) -> DataFrame:
+    """One pass over large buckets (``bucket, node, label, sketch``): all nodes against ``PIVOTS`` nodes of the bucket.
+
+    Edges ``a, b`` (``node`` null) join a node with the first pivot that takes it in, and pivots that take in the same. A node
+    next to a pivot is done; the others stay as ``bucket, node`` with the pivot's label. Each bucket's pivots are one row.
+    """
+    pivots = big.groupBy("bucket").agg(F.array(*(F.min_by(F.struct("node", "label", "sketch"), F.xxhash64("node", F.lit(k))) for k in range(PIVOTS))).alias("pivots"))
+    pivots = pivots.select("bucket", F.transform("pivots", lambda p: p["node"]).alias("nodes"), F.transform("pivots", lambda p: p["label"]).alias("labels"), F.transform("pivots", lambda p: p["sketch"]).alias("sketches"))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                node, label = batch.column("node").to_numpy(), batch.column("label").to_numpy()
+                sketch = _sketches(batch.column("sketch"))[:, None, :]
+                names, classes = (batch.column(c).flatten().to_numpy().reshape(-1, PIVOTS) for c in ("nodes", "labels"))
+                others = _sketches(batch.column("sketches").flatten()).reshape(-1, PIVOTS, BINS)
+                filled = (others != 0) | (sketch != 0)
+                near = ((others == sketch) & filled).sum(2) / np.maximum(filled.sum(2), 1)
+                taken = near >= TAKEN_IN
+                at, row = taken.argmax(1), np.arange(len(node))
+                met = taken[row, at]
+                pivot, own = names[row, at], np.where(met, classes[row, at], label)
+                joins = met & (pivot != node) & (label != own)
+                also, which = np.nonzero(taken & (names != pivot[:, None]))
+                pairs = np.unique(np.stack([pivot[also], names[also, which]]), axis=1)
+                stays = np.flatnonzero(near.max(1) < DONE)
+                a, b = np.concatenate([pivot[joins], pairs[0]]), np.concatenate([node[joins], pairs[1]])
+                none = lambda n: pa.nulls(n, pa.int64())
+                both = lambda x, y: pa.concat_arrays([x, y])
+                yield pa.RecordBatch.from_arrays(
+                    [both(pa.array(a), none(len(stays))), both(pa.array(b), none(len(stays))), *(both(none(len(a)), x) for x in (batch.column("bucket").take(pa.array(stays)), pa.array(node[stays]), pa.array(own[stays])))],
+                    ["a", "b", "bucket", "node", "label"],
+                )
+
+    return big.join(pivots, "bucket").select("bucket", "node", "label", "sketch", "nodes", "labels", "sketches").mapInArrow(part, "a long, b long, bucket long, node long, label long")
+
+
+def token_table(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, tokens`` (packed) of nodes (``node, key2, first_at``)."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = raw(strings(batch.column("text")))
+            node, key2 = batch.column("node").to_numpy(), batch.column("key2").to_numpy()
+            for lo, hi in runs(offsets):
+                tokens, begins = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                one, two = keys(tokens, begins)
+                own = [r for r in range(hi - lo) if (one[r], two[r]) == (node[lo + r], key2[lo + r])]  # others have the same id
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][own]), pa.array([_packed(tokens[begins[r] : begins[r + 1]]) for r in own], pa.binary())], ["node", "tokens"])
+
+    wanted = texts.join(nodes, texts["at"] == nodes["first_at"]).select("node", "key2", "text")
+    return wanted.mapInArrow(part, "node long, tokens binary").dropDuplicates(["node"])
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) * 8 // TOKEN_BITS, 8), np.uint8)
+    wide[:, : TOKEN_BITS // 8] = np.frombuffer(packed, np.uint8).reshape(-1, TOKEN_BITS // 8)
+    return wide.view("<u8").ravel()
+
+
+def descend(big: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``bucket, node, label`` one level below large buckets: more tokens are chosen there, one in ``DEEPER`` * size."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for node, held, packed in zip(batch.column("node").to_pylist(), batch.column("held").to_pylist(), batch.column("tokens").to_pylist()):
+                own = _unpacked(packed)
+                bucket, label = np.array([h["bucket"] for h in held], np.int64).view(np.uint64), np.array([h["label"] for h in held], np.int64)
+                limit = _limit(np.array([len(own)]), DEEPER)[0]
+                for b, x in zip(bucket, label):
+                    chosen = own[mix(b ^ own) < limit]
+                    out.append((_pair(b, chosen), np.full(len(chosen), node), np.full(len(chosen), x)))
+            columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], ["bucket", "node", "label"])
+
+    held = big.groupBy("node").agg(F.collect_list(F.struct("bucket", "label")).alias("held"))  # a node's own buckets, few
+    return held.join(tokens, "node").select("node", "held", "tokens").mapInArrow(part, "bucket long, node long, label long")
+
+
+def wave_edges(first: DataFrame, texts: DataFrame, wave: int, labels: DataFrame | None) -> DataFrame:
+    """``a, b`` of a wave of runs; ``labels``: what earlier waves joined (``node, component``), which isn't looked at again.
+
+    A bucket goes on to the next level while more than ``SMALL`` nodes share it. The first levels come with the signatures.
+    What is large below them meets pivots of its bucket, and what that leaves goes on, level by level, until none is large.
+    """
+    sketch = first.select("node", "sketch")
+    small, edges = [], []
+
+    def parted(rows: DataFrame) -> DataFrame:
+        """Puts the small buckets aside."""
+        rows = written(rows)
+        small.append(rows.where(F.col("n") <= SMALL).drop("n"))
+        return rows.where(F.col("n") > SMALL).drop("n")
+
+    tops = first.select("node", F.explode(f"tops{wave}").alias("bucket"))
+    if labels is not None:  # only what is shared at all meets the labels
+        shared = tops.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+        tops = tops.join(shared, "bucket", "left_semi")
+    big = parted(_mixed(tops.withColumn("label", F.col("node")) if labels is None else written(_labelled(tops, labels))))
+    left = first.select("node", F.explode(f"paths{wave}").alias("p")).select("node", "p.*")
+    names = ["b0"]
+    for k in range(1, LEVELS):
+        if big.isEmpty():
+            break
+        names.append(f"b{k}")
+        own = big.select(F.col("bucket").alias("above"), F.col("node").alias("at"), "label")
+        above = F.col("b0") if k == 1 else F.xxhash64(*names[:-1])
+        rows = left.where(F.col(names[-1]) != 0).select("node", above.alias("above"), F.xxhash64(*names).alias("bucket"))
+        rows = rows.join(own, (rows["above"] == own["above"]) & (rows["node"] == own["at"])).select("bucket", "node", "label").distinct()
+        big = parted(_mixed(written(rows)))
+    tokens = None
+    while not big.isEmpty():
+        passed = written(stars(big.join(sketch, "node")))
+        edges.append(passed.where("node is null").select("a", "b"))
+        big = parted(_mixed(passed.where("node is not null").select("bucket", "node", "label")))
+        if big.isEmpty():
+            break
+        if tokens is None:  # all that is large later on is large here
+            tokens = written(token_table(texts, first.select("node", "key2", "first_at").join(big.select("node").distinct(), "node", "left_semi")))
+        big = parted(_mixed(written(descend(big, tokens).distinct())))
+    members = small[0]
+    for more in small[1:]:
+        members = members.unionByName(more)
+    out = candidate_edges(members.join(sketch, "node").select("bucket", "node", "label", "sketch"))
+    for more in edges:
+        out = out.unionByName(more)
+    return written(out)
 
 
 def _common(sets: list[np.ndarray], lots: np.ndarray, one: int, other: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -300,7 +465,7 @@ def verified(texts: DataFrame, jaccard: float = JACCARD) -> DataFrame:
                     k1, k2, copies, component, lot, lots = (c[r] for c in columns)
                     if (k1, k2) != (one[r - lo], two[r - lo]):
                         continue  # another document with the same id
-                    held = tokens[begins[r - lo] : begins[r - lo + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].tobytes()
+                    held = _packed(tokens[begins[r - lo] : begins[r - lo + 1]])
                     out += [(component, min(lot, x), max(lot, x), lot, k1, k2, copies, held) for x in range(lots)]
             columns = list(zip(*out)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(columns)], ["component", "one", "other", "lot", "key1", "key2", "copies", "tokens"])
@@ -314,11 +479,7 @@ def verified(texts: DataFrame, jaccard: float = JACCARD) -> DataFrame:
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 # a node may come with several documents of one id; the first of each stands
                 at = lo + np.sort(np.unique(np.stack([key1[lo:hi], key2[lo:hi]]), axis=1, return_index=True)[1])
-                sets = []
-                for i in at:
-                    wide = np.zeros((len(packed[i]) * 8 // TOKEN_BITS, 8), np.uint8)
-                    wide[:, : TOKEN_BITS // 8] = np.frombuffer(packed[i], np.uint8).reshape(-1, TOKEN_BITS // 8)
-                    sets.append(wide.view("<u8").ravel())
+                sets = [_unpacked(packed[i]) for i in at]
                 a, b = exact_links(sets, lots[at], int(one[lo]), int(other[lo]), jaccard)
                 n = len(at)
                 weight = copies[at]
@@ -333,7 +494,7 @@ def verified(texts: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     return dealt.repartition("component", "one", "other").sortWithinPartitions("component", "one", "other", "key1", "key2").mapInArrow(compare, "key1 long, key2 long, root long, links long, linked_sets long")
 
 
-def join(docs: DataFrame, jaccard: float = JACCARD, n_runs: int = RUNS) -> DataFrame:
+def join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> DataFrame:
     """``doc_id, class_id, n_links, n_linked_sets, n_copies`` of each document.
 
     ``class_id``: the least id among all documents that links join with it. ``n_links``: the other documents that are
@@ -342,14 +503,21 @@ def join(docs: DataFrame, jaccard: float = JACCARD, n_runs: int = RUNS) -> DataF
     """
     if jaccard < JACCARD:
         raise ValueError("sketches and paths are laid out for similarities from 0.8 on")
+    n_runs = runs_for(recall)
+    waves = [range(0, min(FIRST_WAVE, n_runs)), *([range(FIRST_WAVE, n_runs)] if n_runs > FIRST_WAVE else [])]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("at"), "text")
-    found = written(signatures(texts, n_runs), few=False)
-    classes = written(found.where("size > 0").groupBy("key1", "key2").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("copies")))
-    first = found.join(classes, (found["key1"] == classes["key1"]) & (found["key2"] == classes["key2"]) & (found["at"] == classes["first_at"]), "left_semi").select(F.col("key1").alias("node"), "sketch", "paths")
-    first = written(first)
-    followed = first.select("node", F.explode("paths").alias("p")).select("node", "p.*")
-    members = _buckets(followed).join(first.select("node", "sketch"), "node").dropDuplicates(["bucket", "node"])
-    near = components(written(candidate_edges(members)))
+    found = written(signatures(texts, waves).withColumn("row", F.monotonically_increasing_id()), few=False)
+    classes = found.where("size > 0").groupBy("key1", "key2").agg(F.min(F.struct("at", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.select("key1", "key2", F.col("first.at").alias("first_at"), F.col("first.row").alias("first_row"), "copies"))
+    own = classes.select("key1", "key2", F.col("first_at").alias("at"), F.col("first_row").alias("row"))
+    first = found.join(own, ["key1", "key2", "at", "row"], "left_semi")
+    first = written(first.select(F.col("key1").alias("node"), "key2", F.col("at").alias("first_at"), "sketch", *(f"{c}{w}" for w in range(len(waves)) for c in ("tops", "paths"))))
+    near = None
+    for wave in range(len(waves)):
+        edges = wave_edges(first, texts, wave, near)
+        if near is not None:
+            edges = edges.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        near = components(edges)
     size = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     near = near.join(size, "component").withColumn("lots", F.ceil(F.col("n") / LOT).cast("long")).withColumn("lot", F.pmod(F.xxhash64("node"), F.col("lots")))
     wanted = near.join(classes, near["node"] == classes["key1"]).select("key1", "key2", "copies", "component", "lot", "lots", "first_at")

@@ -214,9 +214,60 @@ def test_runs_give_the_recall():
     rng = np.random.default_rng(7)
     n = 4000
     tokens = rng.integers(0, 1 << 64, (n, 50), np.uint64)
-    held, whole = (jaccard.paths(t.ravel(), np.arange(n + 1) * t.shape[1]) for t in (tokens[:, :40], tokens))
-    shared = lambda level: {a[0] for a in {(i, b) for i, b in zip(held[0].tolist(), held[1][:, level].tolist()) if b} & {(i, b) for i, b in zip(whole[0].tolist(), whole[1][:, level].tolist()) if b}}
-    assert len(shared(jaccard.LEVELS - 1)) >= 0.992 * n and len(shared(0)) >= 0.9995 * n
+    held, whole = (jaccard.paths(t.ravel(), np.arange(n + 1) * t.shape[1], range(jaccard.runs_for(jaccard.RECALL))) for t in (tokens[:, :40], tokens))
+    first = {i for i, b in set(zip(held[0].tolist(), held[1].tolist())) & set(zip(whole[0].tolist(), whole[1].tolist()))}
+    last = {x[0] for x in {(i, *b) for i, b in zip(held[2].tolist(), held[3].tolist()) if b[-1]} & {(i, *b) for i, b in zip(whole[2].tolist(), whole[3].tolist()) if b[-1]}}
+    assert len(last) >= 0.992 * n and len(first) >= 0.9995 * n
+
+
+def crowd(seed, n=900):
+    """Texts that all share a passage of half their words; some have a partner near the threshold, and each passage word is as common."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    passage = [word() for _ in range(40)]
+    rows = []
+    for i in range(n):
+        own = [word() for _ in range(40)]
+        rows.append((len(rows), " ".join(own[:20] + passage + own[20:])))
+        if i % 9 == 0:
+            own[-8:] = [word() for _ in range(8)]
+            rows.append((len(rows), " ".join(own[:20] + passage + own[20:])))
+    return rows
+
+
+def test_join_where_all_share_a_passage(spark, monkeypatch):
+    """Buckets that stay large go down level by level, none is taken whole, and the pairs in them are found."""
+    rows = crowd(11)
+    largest, below = [], jaccard.candidate_edges
+    monkeypatch.setattr(jaccard, "SMALL", 20)
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda members: largest.append(members.groupBy("bucket").count().agg({"count": "max"}).first()[0]) or below(members))
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(documents(spark, rows)).collect()}
+    assert all(n <= 20 for n in largest if n)
+    sets = [shingle_set(t) for _, t in rows]
+    pairs = [(a, a + 1) for a in range(len(rows) - 1) if len(sets[a] & sets[a + 1]) >= 0.8 * len(sets[a] | sets[a + 1])]
+    assert len(pairs) == 100
+    met = [p for p in pairs if found[p[0]] == found[p[1]] == (p[0], 1)]
+    assert len(met) >= 0.97 * len(pairs)
+    assert sum(n for _, n in found.values()) == 2 * len(met)
+
+
+def test_recall_sets_the_runs(spark):
+    assert jaccard.runs_for(0.5) < jaccard.runs_for(0.9) < jaccard.runs_for(0.999)
+    rows = crowd(12, 90)
+    few, many = (sum(r["n_links"] for r in jaccard.join(documents(spark, rows), recall=x).collect()) for x in (0.2, 0.995))
+    assert few <= many == 20
+
+
+def test_runs_join_nothing_again(spark, monkeypatch):
+    """What the first wave joined gives no more edges in the second."""
+    rng = random.Random(13)
+    base = [rng.choice(vocabulary(rng)) for _ in range(100)]
+    rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(600)]
+    counts, edges = [], jaccard.wave_edges
+    monkeypatch.setattr(jaccard, "wave_edges", lambda *x: counts.append((e := edges(*x)).count()) or e)
+    found = jaccard.join(documents(spark, rows)).collect()
+    assert {(r["class_id"], r["n_links"]) for r in found} == {(0, 599)}
+    assert counts[0] >= 599 and counts[1] == 0
 
 
 def test_join_edges(spark):
