@@ -15,9 +15,11 @@ the pair of the refined names at its two ends. Only what can still be split goes
    are repeats. A bucket with one stretch is settled.
 3. In buckets with several stretches (at the ends of repeats) the windows of each are sorted on their refined names.
 
-Texts lie in blocks that stay where they are. For each level a block sends the sorted names that it has, once each with
-its smallest id, to the task of their range, and gets bits back in the same order; so a name costs a block one entry,
-however many documents share it. Names have 80 bits where they decide on a repeat.
+Texts lie in blocks that stay where they are, checkpointed in the shared folder. For each level a block sends the sorted names
+that it has, once each with its smallest id, to the task of their range, and gets bits back in the same order; so a name costs
+a block one entry, however many documents share it. A block is worked on in parts of ``PART_BYTES``, one after another (a longer
+document is a part), so that is what a worker holds; messages are those of the whole block. Names have 80 bits where they decide
+on a repeat, and the bytes themselves are not compared: of 10^12 different strings two have one name with a probability of half.
 
 Null texts count as empty. Rows without an id come after all ids. Rows of one id don't count as repeats of each other.
 All columns are kept, whatever their names, but for ``text`` itself and the counts that are added. Documents of any
@@ -32,7 +34,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +42,11 @@ from factweave.llm.common import RollingHash, checkpoint, mix, parts_for, string
 MATCH, Q = 50, 25
 CHOICE = MATCH - Q + 1
 FIRST, SECOND = RollingHash(41), RollingHash(43)
-BLOCK_BYTES, PIECE_BYTES = 16 << 20, 1 << 18
+BLOCK_BYTES, PART_BYTES, PIECE_BYTES = 16 << 20, 4 << 20, 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
 _CUT = np.uint64(48)
-ANSWER = "block int, level int, range int, bits binary, more binary"
+ANSWER = "block int, level int, range int, counts binary, bits binary, more binary"
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,10 +105,32 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def parts(rows: pa.Table) -> list[pa.Table]:
+    """A block's rows in an order of their own, cut into parts; one part without rows if there are none."""
+    if not rows.num_rows:
+        return [rows]
+    at, packed = rows.column("at").to_pylist(), rows.column("packed").to_pylist()
+    order = sorted(range(len(at)), key=lambda i: (at[i], packed[i]))
+    out, size = [[]], 0
+    for i in order:
+        own = zstandard.frame_content_size(packed[i])
+        if out[-1] and size + own > PART_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += own
+    return [rows.take(pa.array(own)) for own in out]
+
+
+#: What came back from a range: its number, how many names each part had sent, and bits of all in turn.
+Answer = tuple[int, bytes, bytes]
+
+
 class Block:
-    """The texts of a block and what it knows of its stretches."""
+    """The texts of a part of a block (the one of that number) and what it knows of its stretches."""
 
-    def __init__(self, rows: pa.Table, n_ranges: int):
+    def __init__(self, rows: pa.Table, n_ranges: int, part: int = 0):
+        self.part = part
         unpack = zstandard.ZstdDecompressor().decompress
         packed = rows.column("packed").to_pylist()
         texts = [unpack(z) for z in packed]
@@ -149,19 +172,20 @@ class Block:
         return self.sorted
 
     def ranges(self, sorted_names: np.ndarray) -> np.ndarray:
-        return ((sorted_names >> np.uint64(32)) * np.uint64(self.n_ranges) >> np.uint64(32)).astype(np.int64)
+        return range_of(sorted_names, self.n_ranges)
 
-    def spread(self, sorted_names: np.ndarray, answers: list[tuple[int, bytes]]) -> np.ndarray:
+    def spread(self, sorted_names: np.ndarray, answers: list[Answer]) -> np.ndarray:
         """Bits that came back, in the order of the names that were sent."""
         out = np.zeros(len(sorted_names), bool)
         ranges = self.ranges(sorted_names)
-        for r, bits in answers:
+        for r, counts, bits in answers:
             lo, hi = np.searchsorted(ranges, [r, r + 1])
-            out[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).view(bool)
+            before = int(np.frombuffer(counts, np.int32)[: self.part].sum())
+            out[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=before + hi - lo)[before:].view(bool)
         return out
 
-    def candidates(self, answers: list[tuple[int, bytes]]) -> None:
-        """Keeps the stretches of buckets that other blocks have, or more than one id of this one."""
+    def candidates(self, answers: list[Answer]) -> None:
+        """Keeps the stretches of buckets that other parts have, or more than one id of this one."""
         shared = self.spread(self.buckets(), answers)
         ids = self.ids[self.doc]
         least, most = np.full(len(shared), _NO_ID), np.full(len(shared), -_NO_ID - 1)
@@ -205,11 +229,16 @@ class Block:
         """True for each byte that goes."""
         own = self.window_ids == (self.window_ids[self.window_head][self.window_group] if len(self.windows) else self.window_ids)
         repeat = self.windows[~own | seen[self.window_group]] if len(self.windows) else self.windows
-        step = np.zeros(len(self.data) + 1, np.int32)
-        for begin, end in ((self.first[self.repeat], self.last[self.repeat] + MATCH), (repeat, repeat + MATCH)):
-            step += np.bincount(begin, minlength=len(step)).astype(np.int32)
-            step -= np.bincount(end, minlength=len(step)).astype(np.int32)
-        return np.cumsum(step[:-1], dtype=np.int32) > 0
+        begin = np.concatenate([self.first[self.repeat], repeat])
+        end = np.concatenate([self.last[self.repeat], repeat]) + MATCH
+        order = np.argsort(begin)
+        begin, end = begin[order], np.maximum.accumulate(end[order]) if len(order) else end
+        new = np.ones(len(begin), bool)
+        new[1:] = begin[1:] > end[:-1]
+        step = np.zeros(len(self.data) + 1, np.int8)
+        step[begin[new]] = 1
+        step[end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)] if len(end) else end] -= 1
+        return np.cumsum(step[:-1], dtype=np.int8).view(bool)
 
 
 def _thin(x: np.ndarray, n_bytes: int) -> bytes:
@@ -224,7 +253,7 @@ def _wide(data: bytes, n_bytes: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-ASK = "range int, block int, names binary, whole binary, ids binary"
+ASK = "range int, block int, counts binary, names binary, whole binary, ids binary"
 #: Bytes of a bucket's name, and of each half of a whole name, that are sent.
 BUCKET, ONE, TWO = 6, 8, 2
 
@@ -241,62 +270,76 @@ def _far(data: bytes, n: int) -> np.ndarray:
     return (_wide(data[8:], (len(data) - 8) // n) + np.frombuffer(data, np.uint64, 1)).view(np.int64)
 
 
-def _asked(block: Block, number: int, names: np.ndarray, whole: list[np.ndarray] | None, ids: np.ndarray | None) -> pa.Table:
-    """What a block asks each range. Names that are the first half of whole ones aren't sent twice."""
-    ranges = block.ranges(names)
+Sent = tuple[np.ndarray, list[np.ndarray] | None, np.ndarray | None]
+
+
+def _asked(number: int, n_ranges: int, sent: list[Sent]) -> pa.Table:
+    """What a block asks each range: the names, whole names and ids of its parts. Names that are the first half of whole ones aren't sent twice."""
+    twice = sent[0][1] is not None and sent[0][0] is sent[0][1][0]
+    names = np.concatenate([x[0] for x in sent])
+    ranges = range_of(names, n_ranges)
+    part = np.repeat(np.arange(len(sent)), [len(x[0]) for x in sent])
+    order = np.argsort(ranges, kind="stable")
+    names, ranges, part = names[order], ranges[order], part[order]
+    whole = None if sent[0][1] is None else [np.concatenate([x[1][k] for x in sent])[order] for k in range(2)]
+    ids = None if sent[0][2] is None else np.concatenate([x[2] for x in sent])[order]
     at = np.flatnonzero(_groups(ranges)) if len(ranges) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(ranges))
-    twice = whole is not None and names is whole[0]
     rows = [
         (
             int(ranges[lo]),
             number,
+            np.bincount(part[lo:hi], minlength=len(sent)).astype(np.int32).tobytes(),
             b"" if twice else _thin(names[lo:hi], BUCKET),
             b"" if whole is None else _thin(whole[0][lo:hi], ONE) + _thin(whole[1][lo:hi], TWO),
             b"" if ids is None else _near(ids[lo:hi]),
         )
-        for lo, hi in zip(at.tolist(), ends.tolist())
+        for lo, hi in zip(at.tolist(), np.append(at[1:], len(ranges)).tolist())
     ]
-    columns = list(zip(*rows)) or [()] * 5
-    return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["range", "block", "names", "whole", "ids"])
+    columns = list(zip(*rows)) or [()] * 6
+    return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["range", "block", "counts", "names", "whole", "ids"])
+
+
+def range_of(names: np.ndarray, n_ranges: int) -> np.ndarray:
+    return ((names >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _answers(right: pa.Table) -> dict[int, list[tuple[int, bytes, bytes]]]:
+def _answers(right: pa.Table) -> dict[int, list[tuple[int, bytes, bytes, bytes]]]:
     out: dict[int, list] = {1: [], 2: [], 3: []}
-    for level, r, bits, more in zip(*(right.column(c).to_pylist() for c in ("level", "range", "bits", "more"))):
-        out[level].append((r, bits, more))
+    for level, *answer in zip(*(right.column(c).to_pylist() for c in ("level", "range", "counts", "bits", "more"))):
+        out[level].append(tuple(answer))
     return out
 
 
-def _known(rows: pa.Table, right: pa.Table, n_ranges: int, level: int) -> Block:
-    """A block with all that the answers up to a level tell it."""
-    block = Block(rows, n_ranges)
+def _known(rows: pa.Table, got: dict[int, list], n_ranges: int, level: int, part: int) -> Block:
+    """A part of a block with all that the answers up to a level tell it."""
+    block = Block(rows, n_ranges, part)
     block.find(True)
-    got = _answers(right)
-    block.candidates([x[:2] for x in got[1]])
+    block.candidates([x[:3] for x in got[1]])
     if level > 1:
         names = block.bucket[block.head]
-        block.settle(block.spread(names, [x[:2] for x in got[2]]), block.spread(names, [(r, more) for r, _, more in got[2]]))
+        block.settle(block.spread(names, [x[:3] for x in got[2]]), block.spread(names, [(r, counts, more) for r, counts, _, more in got[2]]))
     return block
 
 
-def _ask_stretches(n_ranges: int) -> Callable:
-    def ask(rows: pa.Table, right: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _asked(Block(rows, n_ranges), 0, np.zeros(0, np.uint64), None, None)
-        block = _known(rows, right, n_ranges, 1)
-        return _asked(block, rows.column("block")[0].as_py(), block.bucket[block.head], [x[block.head] for x in block.name], block.smallest)
-
-    return ask
+def _ask(n_ranges: int, level: int) -> Callable:
+    """Asks for the buckets of all stretches, then for the stretches that are left, then for the windows."""
 
+    def sent(rows: pa.Table, got: dict[int, list], part: int) -> Sent:
+        if level == 1:
+            block = Block(rows, n_ranges)
+            block.find(False)
+            return block.buckets(), None, None
+        block = _known(rows, got, n_ranges, level - 1, part)
+        if level == 2:
+            return block.bucket[block.head], [x[block.head] for x in block.name], block.smallest
+        name = [x[block.window_head] for x in block.window_name]
+        return name[0], name, block.window_ids[block.window_head]
 
-def _ask_windows(n_ranges: int) -> Callable:
-    def ask(rows: pa.Table, right: pa.Table) -> pa.Table:
+    def ask(rows: pa.Table, right: pa.Table | None = None) -> pa.Table:
         if not rows.num_rows:
-            return _asked(Block(rows, n_ranges), 0, np.zeros(0, np.uint64), None, None)
-        block = _known(rows, right, n_ranges, 2)
-        name = [x[block.window_head] for x in block.window_name]
-        return _asked(block, rows.column("block")[0].as_py(), name[0], name, block.window_ids[block.window_head])
+            return _asked(0, n_ranges, [(np.zeros(0, np.uint64), None, None)])
+        got = {} if right is None else _answers(right)
+        return _asked(rows.column("block")[0].as_py(), n_ranges, [sent(own, got, k) for k, own in enumerate(parts(rows))])
 
     return ask
 
@@ -328,10 +371,11 @@ def _answer(level: int) -> Callable[[pa.Table], pa.Table]:
             first[order] = ids[order] > ids[order][head][group]  # a smaller id has it
             apart = np.cumsum(_groups(bucket[order])) - 1
             second[order] = np.bincount(apart[head], minlength=apart[-1] + 1)[apart] > 1
-        rows = [(b, level, np.packbits(first[lo:hi]).tobytes(), np.packbits(second[lo:hi]).tobytes()) for b, lo, hi in zip(blocks, at, at[1:]) if first[lo:hi].any() or second[lo:hi].any()]
-        columns = list(zip(*rows)) or [()] * 4
+        counts = asked.column("counts").to_pylist()
+        rows = [(b, level, c, np.packbits(first[lo:hi]).tobytes(), np.packbits(second[lo:hi]).tobytes()) for b, c, lo, hi in zip(blocks, counts, at, at[1:]) if first[lo:hi].any() or second[lo:hi].any()]
+        columns = list(zip(*rows)) or [()] * 5
         r = asked.column("range")[0].as_py()
-        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array([r] * len(rows), pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["block", "level", "range", "bits", "more"])
+        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array([r] * len(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["block", "level", "range", "counts", "bits", "more"])
 
     return answer
 
@@ -354,16 +398,16 @@ def _results(n_ranges: int, names: list[str], kind: str) -> Callable:
     counts = ["n_bytes", "n_removed", "n_spans"]
     of = {"kept": lambda data, gone: data[~gone].tobytes(), "kept_sha256": lambda data, gone: hashlib.sha256(data[~gone].tobytes()).hexdigest(), "text": whole_characters}[kind]
 
-    def results(rows: pa.Table, right: pa.Table) -> pa.Table:
+    def of_part(rows: pa.Table, got: dict[int, list], part: int) -> pa.Table:
         rest = rows.column("rest").combine_chunks()
         rest = pa.concat_arrays(rest.chunks) if isinstance(rest, pa.ChunkedArray) else rest
         columns = dict(zip([f.name for f in rest.type], rest.flatten()))
         if not rows.num_rows:
             block, gone = Block(rows, n_ranges), np.zeros(0, bool)
         else:
-            block = _known(rows, right, n_ranges, 2)
+            block = _known(rows, got, n_ranges, 2, part)
             heads = block.window_name[0][block.window_head]
-            gone = block.removed(block.spread(heads, [x[:2] for x in _answers(right)[3]]))
+            gone = block.removed(block.spread(heads, [x[:3] for x in got[3]]))
         kept, n_bytes, n_removed, n_spans = [], [], [], []
         for lo, hi in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist()):
             own = gone[lo:hi]
@@ -375,6 +419,10 @@ def _results(n_ranges: int, names: list[str], kind: str) -> Callable:
         tail = pa.array(kept, pa.binary() if kind == "kept" else pa.string())
         return pa.table([*(columns[c].take(index) for c in names), *(pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)), tail], names=[*names, *counts, kind])
 
+    def results(rows: pa.Table, right: pa.Table) -> pa.Table:
+        got = _answers(right)
+        return pa.concat_tables([of_part(own, got, k) for k, own in enumerate(parts(rows))])
+
     return results
 
 
@@ -382,7 +430,6 @@ def without_repeats(docs: DataFrame, kind: str = "kept") -> DataFrame:
     """``docs`` without ``text``, but with ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs) and what is left.
 
     ``kind``: ``kept`` (the bytes), ``kept_sha256`` (their digest), or ``text`` (the characters that kept all their bytes).
-    The blocks are freed when the result has been written.
     """
     if kind not in KEPT:
         raise ValueError(f"kind must be one of {', '.join(KEPT)}")
@@ -397,28 +444,21 @@ def without_repeats(docs: DataFrame, kind: str = "kept") -> DataFrame:
             z = pa.array([pack(t.as_buffer()) for t in strings(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "at", "rest")), z], ["block", "at", "rest", "packed"])
 
-    blocks = rows.mapInArrow(packed, rows.drop("text").withColumn("packed", F.lit(None).cast("binary")).schema).repartition(n, "block").persist(StorageLevel.DISK_ONLY)
-
-    def ask_buckets(rows: pa.Table) -> pa.Table:
-        block = Block(rows, n)
-        block.find(False)
-        return _asked(block, rows.column("block")[0].as_py(), block.buckets(), None, None)
+    # the copy in the shared folder keeps its partitioning, so no level deals the texts out again
+    blocks = checkpoint(rows.mapInArrow(packed, rows.drop("text").withColumn("packed", F.lit(None).cast("binary")).schema).repartition(n, "block"), few=False)
 
     def answered(asked: DataFrame, level: int) -> DataFrame:
-        found = asked.repartition(n, "range").groupBy("range").applyInArrow(_answer(level), ANSWER)
-        return checkpoint(found.coalesce(max(4 * spark.sparkContext.defaultParallelism, n // 8)), few=False)
+        return checkpoint(asked.repartition(n, "range").groupBy("range").applyInArrow(_answer(level), ANSWER), few=False)
 
     def with_answers(known: DataFrame, f: Callable, schema) -> DataFrame:
         return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(f, schema)
 
     light = blocks.select("block", "at", "packed")
-    known = answered(light.groupBy("block").applyInArrow(ask_buckets, ASK), 1)
-    known = known.unionByName(answered(with_answers(known, _ask_stretches(n), ASK), 2))
-    known = known.unionByName(answered(with_answers(known, _ask_windows(n), ASK), 3))
+    known = answered(light.groupBy("block").applyInArrow(lambda rows: _ask(n, 1)(rows), ASK), 1)
+    for level in (2, 3):
+        known = known.unionByName(answered(with_answers(known, _ask(n, level), ASK), level))
     schema = docs.select(*names).withColumns({**{c: F.lit(0).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}, kind: F.lit(None).cast(KEPT[kind])}).schema
-    out = written(with_answers(known, _results(n, names, kind), schema), few=kind == "kept_sha256")
-    blocks.unpersist()
-    return out
+    return written(with_answers(known, _results(n, names, kind), schema), few=False)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -431,24 +471,33 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "kept_sha256")
 
 
+#: Texts are cut into chunks before strings are taken of them, so each is taken of a short text; only strings that occur in two
+#: documents, and bytes of documents that hold a later one, are looked at one by one.
+CHUNK = 1000
 ORACLE_SQL = f"""
 WITH docs AS (
   SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents
-), bytes AS (
-  SELECT doc_id, unnest(range(len(x) // 2)) AS i, x FROM docs
+), cut AS (
+  SELECT doc_id, o, substr(x, CAST(2 * o + 1 AS BIGINT), {2 * (CHUNK + MATCH - 1)}) AS part FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2, {CHUNK})) AS o FROM docs)
 ), strings AS (
-  SELECT doc_id, i, substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS b, CASE WHEN 2 * i + {2 * MATCH} <= len(x) THEN substr(x, CAST(2 * i + 1 AS BIGINT), {2 * MATCH}) END AS s FROM bytes
+  SELECT doc_id, o + i AS i, substr(part, CAST(2 * i + 1 AS BIGINT), {2 * MATCH}) AS s FROM (SELECT doc_id, o, part, unnest(range(least({CHUNK}, len(part) // 2 - {MATCH - 1}))) AS i FROM cut WHERE len(part) >= {2 * MATCH})
 ), first AS (
-  SELECT s, min(doc_id) AS doc_id FROM strings WHERE s IS NOT NULL GROUP BY s
-), marked AS (
-  SELECT a.doc_id, a.i, a.b, coalesce(f.doc_id < a.doc_id, FALSE) AS starts FROM strings AS a LEFT JOIN first AS f ON a.s = f.s
-), covered AS (
-  SELECT doc_id, i, b, max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {MATCH - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked
-), spans AS (
-  SELECT doc_id, i, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS opens FROM covered
-), found AS (
-  SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM spans GROUP BY doc_id
+  SELECT s, min(doc_id) AS doc_id FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)
+), starts AS (
+  SELECT a.doc_id, a.i FROM strings AS a JOIN first AS f ON a.s = f.s WHERE f.doc_id < a.doc_id
+), runs AS (
+  SELECT doc_id, min(i) AS begin, max(i) + {MATCH} AS after FROM (
+    SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+      SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {MATCH} THEN 0 ELSE 1 END AS opens FROM starts)
+  ) GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, after AS begin, lead(begin) OVER (PARTITION BY doc_id ORDER BY begin) AS end_ FROM runs
+  UNION ALL SELECT doc_id, 0, min(begin) FROM runs GROUP BY doc_id
+), texts AS (
+  SELECT k.doc_id, string_agg(substr(d.x, CAST(2 * k.begin + 1 AS BIGINT), CAST(2 * (coalesce(k.end_, len(d.x) // 2) - k.begin) AS BIGINT)), '' ORDER BY k.begin) AS kept FROM kept AS k JOIN docs AS d ON k.doc_id = d.doc_id GROUP BY k.doc_id
+), counts AS (
+  SELECT doc_id, CAST(sum(after - begin) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM docs AS d LEFT JOIN found AS f ON d.doc_id = f.doc_id
+SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t.kept, d.x))) AS kept_sha256
+FROM docs AS d LEFT JOIN counts AS c ON d.doc_id = c.doc_id LEFT JOIN texts AS t ON d.doc_id = t.doc_id
 """

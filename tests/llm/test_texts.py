@@ -7,6 +7,7 @@ import textwrap
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from factweave.llm import common, fingerprint, html, jaccard, licenses, lines, quality, suffixes
@@ -103,6 +104,29 @@ def test_suffixes(spark, monkeypatch, seed, piece):
     assert own == sorted(without_repeats(rows), key=key)
 
 
+def test_suffixes_in_parts(spark, monkeypatch):
+    """The messages of three blocks of many parts each, carried by hand."""
+    monkeypatch.setattr(suffixes, "PART_BYTES", 1500)
+    rows, n = corpus(3), 3
+    pack = suffixes.zstandard.ZstdCompressor().compress
+    tables = []
+    for b in range(n):
+        own = [(suffixes._NO_ID if i is None else i, pack((t or "").encode())) for k, (i, t) in enumerate(rows) if k % n == b]
+        at = pa.array([i for i, _ in own], pa.int64())
+        tables.append(pa.table({"block": pa.array([b] * len(own), pa.int32()), "at": at, "packed": pa.array([z for _, z in own], pa.binary()), "rest": pa.StructArray.from_arrays([at], ["doc_id"])}))
+    assert max(len(suffixes.parts(t)) for t in tables) > 3
+    known = [pa.table([pa.array([], pa.int32())] * 3 + [pa.array([], pa.binary())] * 3, names=["block", "level", "range", "counts", "bits", "more"])]
+    of = lambda t, c, k: t.filter(pa.compute.equal(t.column(c), k))
+    for level in (1, 2, 3):
+        asked = pa.concat_tables([suffixes._ask(n, level)(t, of(pa.concat_tables(known), "block", b)) for b, t in enumerate(tables)])
+        known += [suffixes._answer(level)(own) for r in range(n) if (own := of(asked, "range", r)).num_rows]
+    found = [r for b, t in enumerate(tables) for r in suffixes._results(n, ["doc_id"], "kept")(t, of(pa.concat_tables(known), "block", b)).to_pylist()]
+    real = lambda i: None if i == suffixes._NO_ID else i
+    key = lambda x: tuple(map(str, x))
+    own = sorted(((real(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in found), key=key)
+    assert own == sorted(without_repeats(rows), key=key)
+
+
 def test_suffixes_as_text(spark):
     shared = "ü" * 40  # 80 bytes: cut in the middle of characters
     rows = [(1, shared), (2, "x" + shared + "é end"), (3, None)]
