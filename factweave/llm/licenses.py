@@ -2,12 +2,14 @@
 
 A block is a line of a text, as its set of lower-cased words, or, for notices that are wrapped over lines, any run of as
 many consecutive words as the template has, wherever lines end. It matches a template if it holds at least ``CONTAINED``
-of the template's words. The words of all templates are ordered by how many blocks of the corpus hold them, rarest
+of the template's words. The words of all templates are ordered by how many texts of the corpus hold them, rarest
 first. A block that reaches the threshold must hold one of the first words of a template in that order (the prefix
 filter); the index of those words is of the templates' size, and is met by every block. Candidates must be long
 enough (the length filter), and the place of the first common word must leave enough words after it (the positional
 filter); those that remain are compared whole. Every block above the threshold is found.
 
+Where two licenses are all but worded alike, a block must hold the word that tells them apart (``REQUIRED``).
+
 Labels of phrases that stand as they are (the base) always stay; templates add theirs. ``score``: 1 where a base
 phrase stands, else the largest containment of a template in a block, 0 where there is no candidate.
 
@@ -50,6 +52,8 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 ]
+#: What tells a license from one that is all but worded alike: no block without this word gets the label.
+REQUIRED = {"agpl": "affero", "lgpl": "lesser", "cc-by-nc": "nc", "cc-by-sa": "sa"}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,10 +82,9 @@ def _vocabulary(templates: list[tuple[str, str]]) -> list[str]:
     return sorted(frozenset().union(*(words for _, words in _templates(templates))))
 
 
-def blocks_with(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> dict[str, int]:
-    """In how many blocks of the corpus each word of the templates stands. At most a row for each such word is collected."""
-    lines = docs.select(F.explode(F.split(lowered(F.col("text")), "\n")).alias("line"))
-    held = lines.select(F.explode(F.array_intersect(word_list(F.col("line")), strings(_vocabulary(templates)))).alias("word"))
+def held_by(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> dict[str, int]:
+    """How many texts of the corpus hold each word of the templates. At most a row for each such word is collected."""
+    held = docs.select(F.explode(F.array_intersect(word_list(F.lower("text")), strings(_vocabulary(templates)))).alias("word"))
     return {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -105,46 +108,48 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containe
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` and ``spans``.
 
     ``spans``: each matching line's number (from 0), the label and the containment; of a run of words that holds more of a
-    template than any line, the number is null. The index of the templates
-    is a literal of the plan, so all blocks are met where they lie and no row is shuffled but counts of words.
+    template than any line, the number is null. The index of the templates is a literal of the plan, so all blocks are
+    met where they lie and no row is shuffled but counts of words. Each text is first met whole, as one block: only texts
+    that hold enough of a template, or a first word of a base phrase, are cut into lines and runs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    frequency = blocks_with(docs, templates)
-    vocabulary = _vocabulary(templates)
-    rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
-    sets = [(label, sorted(rank[w] for w in words)) for label, words in _templates(templates)]
-    needed = [_needed(len(ranks), contained) for _, ranks in sets]
-    index: dict[int, list[int]] = {}
-    for t, (_, ranks) in enumerate(sets):
-        for r in ranks[: len(ranks) - needed[t] + 1]:
-            index.setdefault(r, []).append(t)
-    by_rank = {r: w for w, r in rank.items()}
+    frequency = held_by(docs, templates)
+    by_rank = sorted(_vocabulary(templates), key=lambda w: (frequency.get(w, 0), w))
+    rank = {w: k for k, w in enumerate(by_rank)}
+    sets = [sorted(words, key=rank.get) for _, words in _templates(templates)]
+    needed = [_needed(len(words), contained) for words in sets]
+    index: dict[str, list[int]] = {}
+    for t, words in enumerate(sets):
+        for w in words[: len(words) - needed[t] + 1]:
+            index.setdefault(w, []).append(t)
+    prefix, vocabulary = sorted(index, key=rank.get), strings(by_rank)
     ints = lambda values: F.array(*(F.lit(v) for v in values)).cast("array<int>")
-    ranks_of = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, rank[w])))
-    index_of = F.create_map(*(x for r, ts in sorted(index.items()) for x in (F.lit(r), ints(ts))))
-    index_by_word = F.create_map(*(x for r, ts in sorted(index.items()) for x in (F.lit(by_rank[r]), ints(ts))))
+    index_of = F.create_map(*(x for w in prefix for x in (F.lit(w), ints(index[w]))))
     lengths = [len(text.split()) for _, text in templates]
-    held_of, length_of = F.array(*(strings(sorted(words)) for _, words in _templates(templates))), ints(lengths)
-    words_of, needed_of, labels_of = F.array(*(ints(r) for _, r in sets)), ints(needed), strings([label for label, _ in sets])
+    length_of, needed_of, labels_of = ints(lengths), ints(needed), strings([label for label, _ in templates])
+    held_of = F.array(*(strings(words) for words in sets))
+    required_of = strings([REQUIRED.get(label, "") for label, _ in templates])
+    enough = lambda words, t: (F.get(required_of, t) == "") | F.array_contains(words, F.get(required_of, t))
+    held = lambda words, t: F.when(enough(words, t), F.size(F.array_intersect(words, F.get(held_of, t)))).otherwise(0)
+    share = lambda words, t: held(words, t) / F.size(F.get(held_of, t))
 
-    def ordered(line: Column) -> Column:
-        """The block's template words, as ranks, rarest first."""
-        return F.array_sort(F.transform(F.array_intersect(word_list(line), strings(vocabulary)), lambda w: F.element_at(ranks_of, w)))
+    def ordered(words: Column) -> Column:
+        """A block's template words, rarest first."""
+        return F.array_intersect(vocabulary, F.array_intersect(words, vocabulary))
 
     def candidates(block: Column) -> Column:
         """Templates of which the block holds a word of the prefix, with enough words from there on."""
 
-        def met(r: Column, place: Column) -> Column:
-            return F.filter(F.coalesce(F.try_element_at(index_of, r), ints([])), lambda t: F.size(block) - place >= F.get(needed_of, t))
+        def met(w: Column, place: Column) -> Column:
+            return F.filter(F.when(w.isin(prefix), F.element_at(index_of, w)).otherwise(ints([])), lambda t: F.size(block) - place >= F.get(needed_of, t))
 
         return F.array_distinct(F.flatten(F.transform(block, met)))
 
     def matches(block: Column, line: Column) -> Column:
-        share = lambda t: F.size(F.array_intersect(block, F.get(words_of, t))) / F.size(F.get(words_of, t))
-        found = F.transform(candidates(block), lambda t: F.struct(line.cast("long").alias("line"), F.get(labels_of, t).alias("label"), share(t).alias("contained")))
+        found = F.transform(candidates(block), lambda t: F.struct(line.cast("long").alias("line"), F.get(labels_of, t).alias("label"), share(block, t).alias("contained")))
         return F.filter(found, lambda m: m["contained"] >= contained - 1e-9)
 
-    def wrapped(words: Column) -> Column:
+    def wrapped(words: Column, near_ones: Column) -> Column:
         """Matches of runs of as many words as the template has, one for each place of a word of its prefix."""
 
         def near(i: Column, t: Column) -> Column:
@@ -153,17 +158,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containe
             return F.slice(words, begin + 1, i - begin + F.get(length_of, t))
 
         def most(i: Column, t: Column) -> Column:
-            held = F.transform(
-                F.sequence(F.greatest(i - F.get(length_of, t) + 1, F.lit(0)), i),
-                lambda begin: F.size(F.array_intersect(F.slice(words, begin + 1, F.get(length_of, t)), F.get(held_of, t))),
-            )
-            return F.array_max(held) / F.size(F.get(held_of, t))
+            run = lambda begin: F.slice(words, begin + 1, F.get(length_of, t))
+            every = F.transform(F.sequence(F.greatest(i - F.get(length_of, t) + 1, F.lit(0)), i), lambda begin: held(run(begin), t))
+            return F.array_max(every) / F.size(F.get(held_of, t))
 
         def met(i: Column) -> Column:
-            ts = F.filter(F.element_at(index_by_word, F.get(words, i)), lambda t: F.size(F.array_intersect(near(i, t), F.get(held_of, t))) >= F.get(needed_of, t))
+            ts = F.filter(F.array_intersect(F.element_at(index_of, F.get(words, i)), near_ones), lambda t: held(near(i, t), t) >= F.get(needed_of, t))
             return F.transform(ts, lambda t: F.struct(F.lit(None).cast("long").alias("line"), F.get(labels_of, t).alias("label"), most(i, t).alias("contained")))
 
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin([by_rank[r] for r in sorted(index)]))
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(prefix))
         return F.filter(F.array_distinct(F.flatten(F.transform(places, met))), lambda m: m["contained"] >= contained - 1e-9)
 
     def both(by_line: Column, by_run: Column) -> Column:
@@ -171,19 +174,27 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containe
         more = lambda m: ~F.exists(by_line, lambda b: (b["label"] == m["label"]) & (b["contained"] >= m["contained"]))
         return F.concat(by_line, F.filter(by_run, more))
 
-    words = docs.withColumn("low", lowered(F.col("text"))).drop("text").withColumn("words", word_list(F.col("low")))
-    any_base = F.arrays_overlap("words", strings(sorted({p.split()[0] for p in PHRASES})))
-    any_prefix = F.arrays_overlap("words", strings([by_rank[r] for r in sorted(index)]))
-    places = F.array(*(F.struct(F.lit(label).alias("label"), _starts(F.col("words"), p.split()).alias("at")) for p, label in PHRASES.items()))
+    # A-Z alone are lowered, but first all letters: that is quicker, joins and parts no words, and every word of ASCII stays met
+    quick = docs.withColumn("quick", word_list(F.lower("text")))
+    quick = quick.withColumn("held", ordered(F.col("quick")))
+    quick = quick.select(
+        "doc_id",
+        "text",
+        F.size("quick").cast("long").alias("n_words"),
+        F.arrays_overlap("quick", strings(sorted({p.split()[0] for p in PHRASES}))).alias("any_base"),
+        F.filter(candidates(F.col("held")), lambda t: share(F.col("held"), t) >= contained - 1e-9).alias("near"),
+    )
+    words = quick.withColumn("low", F.when(F.col("any_base") | (F.size("near") > 0), lowered(F.col("text")))).drop("text").withColumn("words", word_list(F.col("low")))
+    places = F.array(*(F.struct(F.lit(label).alias("label"), F.when(F.array_contains("words", p.split()[0]), _starts(F.col("words"), p.split())).otherwise(ints([])).alias("at")) for p, label in PHRASES.items()))
     none = "array<struct<label:string,at:array<int>>>"
     spans = "array<struct<line:bigint,label:string,contained:double>>"
-    blocks = F.transform(F.split("low", "\n"), lambda line, i: F.struct(i.alias("line"), ordered(line).alias("words")))
+    blocks = F.transform(F.split("low", "\n"), lambda line, i: F.struct(i.alias("line"), ordered(word_list(line)).alias("words")))
     blocks = F.filter(blocks, lambda b: F.size(b["words"]) >= min(needed))  # the length filter
     found = words.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.when(any_base, F.filter(places, lambda p: F.size(p["at"]) > 0)).otherwise(F.array().cast(none)).alias("base"),
-        F.when(any_prefix, both(F.flatten(F.transform(blocks, lambda b: matches(b["words"], b["line"]))), wrapped(F.col("words")))).otherwise(F.array().cast(spans)).alias("spans"),
+        "n_words",
+        F.when(F.col("any_base"), F.filter(places, lambda p: F.size(p["at"]) > 0)).otherwise(F.array().cast(none)).alias("base"),
+        F.when(F.size("near") > 0, both(F.flatten(F.transform(blocks, lambda b: matches(b["words"], b["line"]))), wrapped(F.col("words"), F.col("near")))).otherwise(F.array().cast(spans)).alias("spans"),
     )
     starts = F.flatten(F.transform("base", lambda b: b["at"]))
     base_labels = F.transform("base", lambda b: b["label"])
@@ -212,7 +223,7 @@ def _sql() -> str:
         f"list_filter(range(len(words)), lambda i: {' AND '.join(f'words[i + {k + 1}] = {chr(39)}{w}{chr(39)}' for k, w in enumerate(p.split()))}) AS p{n}" for n, p in enumerate(PHRASES)
     )
     base = " || ".join(f"CASE WHEN len(p{n}) > 0 THEN ['{label}'] ELSE [] END" for n, label in enumerate(PHRASES.values()))
-    held = ",\n    ".join(f"{{'label': '{label}', 'words': {listed(sorted(words))}}}" for label, words in _templates(TEMPLATES))
+    held = ",\n    ".join(f"{{'label': '{label}', 'words': {listed(sorted(set(text.split())))}, 'n': {len(text.split())}, 'required': '{REQUIRED.get(label, '')}'}}" for label, text in TEMPLATES)
     return f"""
 WITH low AS (
   SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents
@@ -222,9 +233,14 @@ WITH low AS (
   SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM low
 ), templates AS (
   SELECT unnest([{held}], recursive := true)
+), near AS (
+  SELECT doc_id, w.words AS own, t.label, t.words, t.n, t.required FROM words AS w, templates AS t WHERE len(list_intersect(list_distinct(w.words), t.words)) >= {CONTAINED} * len(t.words) - 1e-9
+), runs AS (
+  SELECT doc_id, label, list_max(list_transform(range(len(own)), lambda i: CASE WHEN required = '' OR list_contains(own[i + 1:i + n], required) THEN len(list_intersect(list_distinct(own[i + 1:i + n]), words)) ELSE 0 END)) / len(words) AS contained FROM near
 ), matches AS (
   SELECT b.doc_id, t.label, len(list_intersect(b.held, t.words)) / len(t.words) AS contained
-  FROM (SELECT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS held FROM blocks) AS b, templates AS t
+  FROM (SELECT doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) AS held FROM blocks) AS b, templates AS t WHERE t.required = '' OR list_contains(b.held, t.required)
+  UNION ALL SELECT doc_id, label, contained FROM runs
 ), best AS (
   SELECT doc_id, list(DISTINCT label) AS found, max(contained) AS contained FROM matches WHERE contained >= {CONTAINED} - 1e-9 GROUP BY doc_id
 ), base AS (

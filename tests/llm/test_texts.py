@@ -400,6 +400,12 @@ def test_license_spans(spark):
     assert {(s["line"], s["label"]) for s in r["spans"]} >= {(1, "mit"), (3, "cc-by-nc")}
 
 
+def test_licenses_that_are_all_but_worded_alike(spark):
+    texts = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU Affero General Public License version 3", "licensed under CC BY 4.0", "licensed under cc by\nnc 4.0"]
+    found = [r["labels"] for r in licenses.scan(documents(spark, enumerate(texts))).orderBy("doc_id").collect()]
+    assert found == ["gpl", "agpl,gpl", "cc-by", "cc-by,cc-by-nc"]  # the AGPL's notice has all words of the GPL's
+
+
 def test_wrapped_licenses(spark):
     def wrap(text, columns, mark):
         return "Intro.\n\n" + "\n".join(mark + x for x in textwrap.wrap(text, columns)) + "\n\nint main() {}"
