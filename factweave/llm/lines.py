@@ -2,10 +2,11 @@
 
 Lines are hashed without white space at their ends; blank lines are passed over. Of each ``RUN`` consecutive lines the
 one with the least hash (of equals the last) is a fingerprint, so any run of that many lines that two places share
-holds a common fingerprint. Fingerprints that occur once are dropped; at the others the match is extended both ways,
-over every window of ``RUN`` lines that chose it, and windows are compared whole. A window that occurred before
-(in a smaller id, or earlier in the same document) is a repeat, and all lines of repeats go; the first occurrence stays.
-Neighbouring repeats join to maximal runs. A line end goes with its line.
+holds a common fingerprint. These positions alone leave the texts, with a hash of the lines on either side as far as the
+windows that chose them reach. Fingerprints that occur once are dropped; the positions of the others are joined, and each match is
+extended both ways over those lines: it holds as far as they are the same at an earlier place (in a smaller id, or earlier
+in the same document). Extended matches that overlap join to maximal runs, and all lines of later runs go; the first
+occurrence stays. A line end goes with its line. Lines are compared by 64 bits each, so a run of two by 128.
 
 Lines that repeat alone, between neighbours that differ, are no repeats of windows and stay, however long, unless
 ``alone`` is given: then later occurrences of every line of that many bytes or more go as well, those of texts of one
@@ -68,18 +69,17 @@ def _chosen(hashes: np.ndarray, row: np.ndarray, run: int) -> tuple[np.ndarray,
     return start, best
 
 
-def _windows(hashes: np.ndarray, start: np.ndarray, run: int) -> np.ndarray:
-    out = hashes[start]
-    for k in range(1, run):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[start + k]
-    return mix(out)
-
+def _others(hashes: np.ndarray, start: np.ndarray, best: np.ndarray, run: int) -> np.ndarray:
+    """A hash of the lines of each window but for the chosen one, in their order."""
+    out = np.zeros(len(start), np.uint64)
+    for k in range(run):
+        out = np.where(start + k == best, out, mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[start + k]) if len(start) else out)
+    return out
 
-def windows(docs: DataFrame, run: int = RUN, alone: int | None = None) -> DataFrame:
-    """``at, text_hash``, then ``fingerprint``, ``content`` and ``line`` of each window, and of each line of ``alone`` bytes.
 
-    ``line`` is twice the number of the first line, and one more for a line alone.
-    """
+def positions(docs: DataFrame, run: int = RUN, alone: int | None = None) -> DataFrame:
+    """``at, text_hash, fingerprint, place`` of each chosen line, and ``windows``: of each that chose it how far before it begins and a hash of
+    its other lines. Lines of ``alone`` bytes are positions too, with a window of themselves (``back`` -1)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,23 +87,41 @@ def windows(docs: DataFrame, run: int = RUN, alone: int | None = None) -> DataFr
             for lo, hi in runs(offsets):
                 h, row, _, length = line_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 start, best = _chosen(h, row, run)
+                back, rest = best - start, _others(h, start, best, run)
                 long = np.zeros(0, np.int64) if alone is None else np.flatnonzero(length >= alone)
-                fingerprint, content = np.append(h[best], h[long]), np.append(_windows(h, start, run), mix(h[long] ^ np.uint64(run)))
-                single, start = np.repeat([0, 1], [len(start), len(long)]), np.append(start, long)
-                index = pa.array(row[start] + lo)
+                line, back, rest = np.append(best, long), np.append(back, np.full(len(long), -1)), np.append(rest, np.zeros(len(long), np.uint64))
+                order = np.argsort(line, kind="stable")
+                line, back, rest = line[order], back[order], rest[order]
+                head = np.flatnonzero(np.diff(line, prepend=-1))
+                windows = pa.ListArray.from_arrays(pa.array(np.append(head, len(line)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(back.astype(np.int32)), pa.array(rest.view(np.int64))], ["back", "rest"]))
+                line = line[head]
+                index = pa.array(row[line] + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("at").take(index), batch.column("text_hash").take(index), pa.array(fingerprint.view(np.int64)), pa.array(content.view(np.int64)), pa.array(2 * (start - np.searchsorted(row, row[start])) + single)],
-                    ["at", "text_hash", "fingerprint", "content", "line"],
+                    [batch.column("at").take(index), batch.column("text_hash").take(index), pa.array(h[line].view(np.int64)), pa.array((line - np.searchsorted(row, row[line])).astype(np.int32)), windows],
+                    ["at", "text_hash", "fingerprint", "place", "windows"],
                 )
 
-    return docs.select("at", "text_hash", "text").mapInArrow(part, "at long, text_hash long, fingerprint long, content long, line long")
+    return docs.select("at", "text_hash", "text").mapInArrow(part, "at long, text_hash long, fingerprint long, place int, windows array<struct<back: int, rest: bigint>>")
+
+
+def extended(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """``at, text_hash, place, back`` of the windows around joined positions that also stand at an earlier place.
+
+    Positions are joined by their fingerprint and extended by the window's other lines; the earliest place stands for all
+    before, so a fingerprint of any number of places costs each of them one row a window.
+    """
+    met = found.join(shared, "fingerprint", "left_semi").select("fingerprint", "at", "text_hash", "place", F.explode("windows").alias("w")).select("fingerprint", "at", "text_hash", "place", "w.back", "w.rest")
+    met = written(met, few=False)
+    here = F.struct("at", "text_hash", "place")
+    first = met.groupBy("fingerprint", "back", "rest").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last").select("fingerprint", "back", "rest", "first")
+    return met.join(first, ["fingerprint", "back", "rest"]).where(F.struct("at", "text_hash", "place") > F.col("first")).select("at", "text_hash", "place", "back")
 
 
-def _without(text: str | None, gone: set[int], run: int) -> tuple[str | None, int]:
-    """The text without the lines of windows, and the lines alone, at the given places (blank lines not counted)."""
+def _without(text: str | None, gone: list[dict] | None, run: int) -> tuple[str | None, int]:
+    """The text without the runs that windows join to, and without lines alone (blank lines are not counted)."""
     if text is None or not gone:
         return text, 0
-    drop = {(g >> 1) + k for g in gone for k in range(1 if g & 1 else run)}
+    drop = {g["place"] - max(g["back"], 0) + k for g in gone for k in range(1 if g["back"] < 0 else run)}
     kept, n, removed = [], 0, 0
     for line in text.split("\n"):
         if line.strip(" \t\r"):
@@ -122,14 +140,9 @@ def dedup(docs: DataFrame, run: int = RUN, alone: int | None = None) -> DataFram
     names = [c for c in docs.columns if c != "n_lines_removed"]
     docs = docs.select(*names)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("at"), F.xxhash64("text").alias("text_hash"), "text")
-    found = written(windows(keyed, run, alone))
-    # positions of fingerprints that occur more than once
-    shared = written(found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"))
-    near = found.join(shared, "fingerprint", "left_semi")
-    place = F.struct("at", "text_hash", "line")
-    first = written(near.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("content", "first"))
-    repeats = near.join(first, "content").where(F.struct("at", "text_hash", "line") > F.col("first"))
-    gone = repeats.groupBy("at", "text_hash").agg(F.collect_set("line").alias("gone")).withColumnsRenamed({"at": "gone_at", "text_hash": "gone_hash"})
+    found = written(positions(keyed, run, alone), few=False)
+    shared = found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    gone = extended(found, shared).groupBy("at", "text_hash").agg(F.collect_set(F.struct("place", "back")).alias("gone")).withColumnsRenamed({"at": "gone_at", "text_hash": "gone_hash"})
     whole = docs.select(F.struct(*names).alias("doc")).withColumns({"at": F.coalesce(F.col("doc.doc_id").cast("long"), F.lit((1 << 63) - 1)), "text_hash": F.xxhash64("doc.text")})
     whole = whole.join(gone, (F.col("at") == F.col("gone_at")) & (F.col("text_hash") == F.col("gone_hash")), "left")
 
@@ -137,7 +150,7 @@ def dedup(docs: DataFrame, run: int = RUN, alone: int | None = None) -> DataFram
         for batch in batches:
             doc = batch.column("doc")
             columns = dict(zip(names, doc.flatten()))
-            done = [_without(t, set(g or ()), run) for t, g in zip(columns["text"].to_pylist(), batch.column("gone").to_pylist())]
+            done = [_without(t, g, run) for t, g in zip(columns["text"].to_pylist(), batch.column("gone").to_pylist())]
             columns["text"] = pa.array([t for t, _ in done], columns["text"].type)
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array([n for _, n in done], pa.int64())], [*names, "n_lines_removed"])
 

@@ -173,6 +173,20 @@ def test_lines_edges(spark):
     assert lines.dedup(documents(spark, [])).count() == 0
 
 
+def test_matches_of_fingerprints_are_extended(spark):
+    """Places that share a fingerprint alone keep it; positions are fewer than windows, and one for each chosen line."""
+    rng = random.Random(17)
+    line = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    common = [line() for _ in range(6)]
+    apart = [(i, "\n".join(x for c in common for x in (c, line()))) for i in range(5)]
+    together = [(i, "\n".join([line(), *common, line()])) for i in range(5, 8)]
+    found = {r["doc_id"]: r["n_lines_removed"] for r in lines.dedup(documents(spark, apart + together)).collect()}
+    assert found == {**{i: 0 for i in range(6)}, 6: 6, 7: 6}
+    table = lines.positions(documents(spark, apart + together).selectExpr("doc_id AS at", "xxhash64(text) AS text_hash", "text")).collect()
+    assert len(table) == len({(r["at"], r["place"]) for r in table}) < sum(len(r["windows"]) for r in table) == sum(t.count("\n") for _, t in apart + together)
+    assert len(table) < 0.8 * sum(len(r["windows"]) for r in table)
+
+
 def test_long_lines_alone(spark):
     long = "word " * 50
     rows = [(1, f"a\n{long}\nb"), (2, f"c\n\n  {long}\nd"), (3, long), (4, f"{long}\n{long}x\n{long}"), (5, "a\nq"), (None, long)]
