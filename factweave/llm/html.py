@@ -3,12 +3,15 @@
 A tokenizer cuts the page into tags, comments and character data; a builder keeps the stack of open elements, with
 implied ends (a paragraph ends where a block begins, a list item where the next one does, table parts likewise, a head
 at the first text or tag that may not stand in it) and ignores ends that match nothing. What is never shown is left out:
-heads, scripts, styles, templates, form choices, ``hidden`` and ``aria-hidden`` elements, and inline styles that hide;
-of a drawing (``svg``) all but ``text`` and ``foreignObject`` elements, and these in definitions; of a formula
-(``math``) annotations and phantoms. All other text is emitted, so none that a reader would see is lost: white space
-collapses outside ``pre``, blocks are set apart by line ends, paragraphs, headings, lists and tables by an empty line,
-list items are marked and indented by depth, and cells of a table are aligned in columns (empty lines within cells are
-left out).
+heads, scripts, styles, templates, ``hidden`` elements, and inline styles that hide (what ``visibility`` hides may be shown
+again within; ``aria-hidden`` hides nothing from sight); of a list of choices all but the one that it shows, but all where it shows
+several; of a drawing (``svg``) all but ``text`` and ``foreignObject`` elements, and these in definitions; of a
+formula (``math``) annotations and phantoms. All other text is emitted, so none that a reader would see is lost: white space
+collapses outside ``pre``, blocks are set apart by line ends, paragraphs, headings, lists and tables by an empty line, line
+breaks after the first in a row each give one, list items are marked and indented by depth, and cells of a table are aligned
+in columns, those that span several columns or rows included (empty lines within cells are left out). A column is as wide
+as its widest cell, at any width; only where blanks would be more than ``PADDING`` times a table's text do cells of over
+``WIDE`` characters not widen theirs.
 
 A null page gives null, an empty one "". Pages may be broken anywhere, and of any length. Rows stand for themselves;
 columns are kept, whatever their names, but for ``text``, which is added.
@@ -16,6 +19,7 @@ columns are kept, whatever their names, but for ``text``, which is added.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from factweave.llm.common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object select datalist canvas audio video title".split())
+UNSEEN = frozenset("head script style template noscript iframe object datalist canvas audio video title".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
 #: Parts that aren't shown of a drawing, whose other text stands in the elements SHOWN, and of a formula.
 IN_SVG = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
@@ -60,8 +64,14 @@ ENDS_P = BLOCK - {"html", "body", "tr", "td", "th", "tbody", "thead", "tfoot", "
 P_SCOPE = frozenset("table td th button caption foreignobject".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 BEGUN = re.compile(r"</?[a-zA-Z]")
-HIDING = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+HIDING = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 MAY_HIDE = re.compile(r"hidden|style", re.I)
+ENDS_SELECT = re.compile(r"</?select(?=[\s/>])[^>]*>|(?=<(?:input|textarea|button)[\s/>])|\Z", re.I)
+OPTION = re.compile(r"<option(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>((?:(?!</?(?:option|optgroup|select)[\s/>]).)*)", re.I | re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z][^>]*>", re.S)
+#: Blanks that a table may have for each character of its text, and the width of columns where it would have more.
+PADDING, WIDE = 16, 60
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 START = re.compile(r"\s*(-?\d{1,9})")
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -75,25 +85,46 @@ def attributes(rest: str) -> dict[str, str]:
     return out
 
 
-def _hides(rest: str) -> bool:
-    """Whether a tag's attributes hide its element (``type=hidden`` is of inputs alone, which hold no text)."""
+def _hides(rest: str) -> tuple[bool, str]:
+    """Whether a tag's attributes hide its element, and what they set its visibility to (``type=hidden`` is of inputs alone, which hold no text)."""
     if not MAY_HIDE.search(rest):
-        return False
+        return False, ""
     given = attributes(rest)
-    return "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or bool(HIDING.search(given.get("style", "")))
+    style = given.get("style", "")
+    set_to = VISIBILITY.findall(style)
+    return "hidden" in given or bool(HIDING.search(style)), set_to[-1].lower() if set_to else ""
+
+
+def _chosen(rest: str, inside: str) -> str:
+    """What a list of choices shows: the last selected one, else the first; all of a list that shows several."""
+    options = [(attributes(x) if x.strip() else {}, html.unescape(TAG.sub("", text)).strip()) for x, text in OPTION.findall(inside)]
+    given = attributes(rest) if rest.strip() else {}
+    size = START.match(given.get("size", ""))
+    options = [(own, own["label"] if own.get("label") else text) for own, text in options if "hidden" not in own]
+    if "multiple" in given or size and int(size[1]) > 1:
+        return " ".join(text for _, text in options)
+    selected = [text for own, text in options if "selected" in own] or [text for own, text in options if "disabled" not in own][:1] or [text for _, text in options][:1]
+    return selected[-1] if selected else ""
+
+
+def _span(given: dict[str, str], name: str, most: int) -> int:
+    found = START.match(given.get(name, ""))
+    return min(most, int(found[1])) if found and int(found[1]) >= 0 else 1
 
 
 class Text:
     """Lines of one flow of text: the page's, or a cell's."""
 
-    __slots__ = ("lines", "line", "blank", "gap", "mark")
+    __slots__ = ("lines", "line", "blank", "breaks", "gap", "mark")
 
     def __init__(self):
         self.lines: list[str] = []
         self.line: list[str] = []
-        self.blank, self.gap, self.mark = False, False, ""
+        self.blank, self.breaks, self.gap, self.mark = False, 0, False, ""
 
     def add(self, text: str, pre: bool, indent: str) -> None:
+        if not text:
+            return
         if pre:
             first, *rest = text.split("\n")
             self._put(first, indent)
@@ -117,9 +148,9 @@ class Text:
         if not text:
             return
         if not self.line:
-            if self.blank and self.lines:
-                self.lines.append("")
-            self.blank = False
+            if self.lines:
+                self.lines += [""] * max(self.blank, self.breaks)
+            self.blank, self.breaks = False, 0
             self.line.append(indent + self.mark)
             self.mark = ""
         elif self.gap:
@@ -134,38 +165,94 @@ class Text:
         self.gap = False
         self.blank = self.blank or blank
 
+    def wrap(self) -> None:
+        """A line break: ends the line, or makes an empty one."""
+        if self.line:
+            self.end()
+        else:
+            self.breaks += 1
+
     def all(self) -> list[str]:
         self.end()
         return self.lines
 
 
 class Grid:
-    """A table: rows of cells, each a flow."""
+    """A table: rows of cells, each a flow with how many columns and rows it spans."""
 
     __slots__ = ("rows", "flow")
 
     def __init__(self, flow: Text):
-        self.rows: list[list[Text]] = []
+        self.rows: list[list[tuple[Text, int, int]]] = []
         self.flow = flow
 
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """First column, column after the last, and lines of the cells of each row; of columns those count in which a cell begins."""
+        rows, starts = [], set()
+        below: list[tuple[int, int, int]] = []  # columns that cells of rows above still take, and the row after their last
+        for n, row in enumerate(self.rows):
+            taken: list[tuple[int, int, int]] = []
+            for a, b, end in sorted(x for x in below if x[2] > n):
+                if taken and taken[-1][1:] == (a, end):
+                    taken[-1] = (taken[-1][0], b, end)
+                else:
+                    taken.append((a, b, end))
+            below, at, out, k = list(taken), 0, [], 0
+            for cell, columns, span in row:
+                while k < len(taken) and taken[k][0] <= at:
+                    at = max(at, taken[k][1])
+                    k += 1
+                out.append((at, at + columns, [line for line in cell.all() if line]))
+                starts.add(at)
+                if span != 1:
+                    below.append((at, at + columns, min(n + span, len(self.rows)) if span else len(self.rows)))
+                at += columns
+            rows.append(out)
+        order = sorted(starts)
+        return [[(bisect.bisect_left(order, a), bisect.bisect_left(order, b), lines) for a, b, lines in row] for row in rows]
+
     def lines(self) -> list[str]:
-        rows = [[cell.all() for cell in row] for row in self.rows if row]
-        width = [0] * max((len(r) for r in rows), default=0)
+        rows = self.placed()
+        size = sum(len(x) + 1 for row in rows for _, _, cell in row for x in cell)
+        out = self._aligned(rows, None, PADDING * size + 4096)
+        return self._aligned(rows, WIDE, None) if out is None else out
+
+    def _aligned(self, rows: list[list[tuple[int, int, list[str]]]], wide: int | None, most: int | None) -> list[str] | None:
+        """Lines of the table; none if they would have more than ``most`` characters."""
+        width = [0] * max((b for row in rows for _, b, _ in row), default=0)
+        fits = lambda cell: max((len(x) for x in cell if wide is None or len(x) <= wide), default=0)
+        last = [max((k for k, (*_, cell) in enumerate(row) if cell), default=0) for row in rows]
+        cells = sorted((b - a, a, fits(cell)) for row, end in zip(rows, last) for a, b, cell in row[:end])
+        for n, a, need in cells:
+            over = need - sum(width[a : a + n]) - 2 * (n - 1)
+            if over > 0:
+                width[a + n - 1] += over
+        begins = [0]
+        for w in width:
+            begins.append(begins[-1] + w + 2)
+        out, total = [], 0
         for row in rows:
-            for k, cell in enumerate(row):
-                # very wide cells don't widen the rest
-                width[k] = max(width[k], min(60, max((len(x) for x in cell), default=0)))
-        out = []
-        for row in rows:
-            for n in range(max((len(cell) for cell in row), default=0)):
-                out.append("  ".join((cell[n] if n < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
+            for n in range(max((len(cell) for *_, cell in row), default=0)):
+                line, length = [], 0
+                for a, _, cell in row:
+                    if n < len(cell):
+                        gap = max(begins[a] - length, 2 if length else 0)
+                        line.append(" " * gap if most is None or total + gap <= most else "")
+                        line.append(cell[n])
+                        length += gap + len(cell[n])
+                total += length
+                if most is not None and total > most:
+                    return None
+                out.append("".join(line).rstrip())
         return out
 
 
 def render(page: str) -> str:
     """All visible text of a page."""
-    stack: list[tuple[str, bool, bool]] = []  # open elements, whether each began to hide, and whether it began in a drawing
+    # open elements, whether each began to hide, and whether it began in a drawing and out of sight
+    stack: list[tuple[str, bool, bool, bool]] = []
     unseen = 0
+    invisible = False
     drawing = False  # in a drawing, outside its texts
     pre = 0
     flows, grids, lists = [Text()], [], []
@@ -175,8 +262,8 @@ def render(page: str) -> str:
     opened: Counter[str] = Counter()
 
     def leave() -> None:
-        nonlocal unseen, pre, drawing
-        name, hides, drawn = stack.pop()
+        nonlocal unseen, pre, drawing, invisible
+        name, hides, drawn, invisible = stack.pop()
         opened[name] -= 1
         unseen -= hides
         inside, drawing = drawing, drawn
@@ -200,6 +287,8 @@ def render(page: str) -> str:
             flow.end(True)
         elif name in BLOCK:
             flows[-1].end(name in SPACED and not (name in LISTS and lists))
+            if name == "li":
+                flows[-1].mark = ""  # of an item without text
 
     def close(names: frozenset[str], within: frozenset[str]) -> None:
         """Ends the open elements named, as far as the nearest of those within which they must be."""
@@ -242,7 +331,7 @@ def render(page: str) -> str:
         if name is None:
             if text and opened["head"] and not SPACE.fullmatch(text):
                 end_head()
-            if text and not unseen and not drawing:
+            if text and not unseen and not drawing and not invisible:
                 # text right in a table but outside its cells stands in the flow around it
                 flows[-1].add(html.unescape(text), pre > 0, indents[-1])
             continue
@@ -255,7 +344,7 @@ def render(page: str) -> str:
                     flows[-1].end(True)
             elif name == "br":
                 if not unseen:
-                    flows[-1].end()
+                    flows[-1].wrap()
             else:
                 scope = frozenset() if name in ("table", "html", "body") else frozenset({"table"}) if name in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else P_SCOPE
                 close_nearest(name, scope)
@@ -269,15 +358,24 @@ def render(page: str) -> str:
             close(frozenset({"p"}), P_SCOPE)
         closed = rest.rstrip().endswith("/")
         if name not in VOID and not closed or name in RAW and not (closed and drawing):
-            hides = name in UNSEEN or bool(rest) and _hides(rest) or name in IN_SVG and opened["svg"] > 0 or name in IN_MATH and opened["math"] > 0
+            hidden, set_to = _hides(rest) if rest else (False, "")
+            hides = name in UNSEEN or hidden or name in IN_SVG and opened["svg"] > 0 or name in IN_MATH and opened["math"] > 0
+            out_of_sight = set_to != "visible" if set_to else invisible
+            if name == "select":
+                end = ENDS_SELECT.search(page, at)
+                if not (hides or unseen or drawing or out_of_sight):
+                    flows[-1].add(f"{_chosen(rest, page[at : end.start()])} ", False, indents[-1])
+                at = end.end()
+                continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-                if not hides and not unseen and not drawing:
+                if not hides and not unseen and not drawing and not out_of_sight:
                     held = page[at : end.start()] or " "
                     flows[-1].add(html.unescape(held) if name == "textarea" else held, True, indents[-1])
                 at = end.end()
                 continue
-            stack.append((name, hides, drawing))
+            stack.append((name, hides, drawing, invisible))
+            invisible = out_of_sight
             opened[name] += 1
             unseen += hides
             drawing = name == "svg" or drawing and name not in SHOWN
@@ -308,13 +406,14 @@ def render(page: str) -> str:
             elif name in ("td", "th") and grids:
                 if not grids[-1].rows:
                     grids[-1].rows.append([])
-                grids[-1].rows[-1].append(cell := Text())
+                given = attributes(rest) if rest else {}
+                grids[-1].rows[-1].append((cell := Text(), max(1, _span(given, "colspan", 1000)), _span(given, "rowspan", 65534)))
                 flows.append(cell)
                 indents.append("")
         elif unseen or drawing:
             continue
         elif name == "br":
-            flows[-1].end()
+            flows[-1].wrap()
         elif name == "hr":
             flows[-1].end(True)
     while stack:

@@ -1,17 +1,16 @@
 """Chosen-path similarity join of documents by the Jaccard similarity of their word shingles.
 
-Equal sets of shingles are one node. A run sends each node down the paths of shared tokens that it chooses: at each
-level a token is chosen if its hash, with the path so far, lies below 1 / (``JACCARD`` * size), so similar sets choose
-alike and about one token each. Nodes that share a bucket are candidates; buckets that are larger than ``SMALL`` are
-split by the next level. Below ``LEVELS`` levels such a bucket first meets a few pivots of its own, one distributed pass: nodes
-next to a pivot (near copies) are done, and a bucket whose rest has one label is finished. What is left shares a passage and
-little else; it goes on level by level until no bucket is large, choosing more tokens (1 in ``DEEPER`` * size), so true pairs
-stay together the likelier while buckets of others still shrink. No bucket of any size is dropped or taken whole in one task.
-
-Runs repeat this, as many as ``recall`` asks for: where one set holds the other, a pair at the threshold chooses one common
-token on average, and no pair at it fewer, so it shares a first bucket in a run with a probability of 0.63 and a third one with
-0.37. All runs together lose at most 1 - ``recall`` of those pairs at the very threshold that meet on the third level only, and
-next to none of the others.
+Equal sets of shingles are one node. A run sends each node down the paths of shared tokens that it chooses: first a token
+is chosen if its hash, with the run, lies below 1 / (``JACCARD`` * size), so similar sets choose alike and about one token
+each. Nodes that share a bucket are candidates; a bucket that is larger than ``SMALL`` is split by the next level, where tokens
+are chosen among the 64 that a node's sketch has sampled, 1 in ``DEEPER`` * 64: similar nodes share most samples, so a
+true pair stays together the likelier, while buckets of nodes that have little more than a passage in common shrink. Before each
+split the nodes of a large bucket meet a few pivots of it, in one distributed pass: those next to a pivot (near copies) are
+done. Levels go on until no bucket is large; none is dropped, or taken whole in one task.
+
+Runs repeat this, as many as ``recall`` asks for (``runs_for``): that counts with pairs at the very threshold, one set of which
+holds the other, so that they choose one common first token on average and none chooses fewer, and that meet in
+buckets which stay large on every level. All other pairs are lost less often.
 
 The first runs are a wave of their own: what they join has one label from then on, and a bucket of one label is passed over.
 A small bucket is brute-forced with sketches (64 one-permutation minima a node), not by all pairs: a pivot takes in all that
@@ -29,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +39,25 @@ from factweave.llm.common import TOKEN_BITS, mix, raw, runs, strings, table, tok
 from factweave.llm.components import components
 
 JACCARD, WORDS = 0.8, 5
-LEVELS, SMALL, LOT = 3, 200, 1024
-#: The share of pairs at the threshold that share a bucket of the last level in some run, at least.
+SMALL, LOT = 200, 1024
+#: The share of pairs at the threshold that share a small bucket in some run, at least.
 RECALL = 0.995
+#: Runs of the first wave; the share of samples that counts below the first level; pivots of a large bucket.
+FIRST_WAVE, DEEPER, PIVOTS = 2, 0.6, 8
 
 
-def runs_for(recall: float, levels: int = LEVELS) -> int:
-    """How many runs give the recall to a pair that chooses one common token at each level on average."""
-    ends = 0.0  # the probability that all common paths of a run end before the level
-    for _ in range(levels):
-        ends = math.exp(ends - 1)
-    return math.ceil(math.log(1 - recall) / math.log(ends))
+def runs_for(recall: float) -> int:
+    """How many runs give the recall to a pair at the threshold that meets in large buckets alone.
+
+    Such a pair has as many common first buckets as a Poisson variable of mean 1, and below each bucket, on every level, as
+    many as one of mean ``JACCARD / DEEPER``.
+    """
+    ends = 0.0  # the probability that all common paths below a bucket end somewhere
+    for _ in range(1000):
+        ends = math.exp((ends - 1) * JACCARD / DEEPER)
+    return math.ceil(math.log(1 - recall) / (ends - 1))
 
 
-#: Runs of the first wave; tokens chosen below the first levels; pivots of a large bucket.
-FIRST_WAVE, DEEPER, PIVOTS = 2, 0.6, 8
 BINS = 64
 #: Estimates from which on a pivot takes a node in, and from which on that node needs no pivot of its own: two sets
 #: with similarity J have distance 1 - J, which obeys the triangle inequality, and estimates err by four deviations.
@@ -87,55 +91,38 @@ def estimated(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
     return ((others == sketch) & filled).sum(1) / np.maximum(filled.sum(1), 1)
 
 
-def paths(tokens: np.ndarray, begins: np.ndarray, these: range, levels: int = LEVELS, jaccard: float = JACCARD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What the runs give: row and first bucket of each path, then row and buckets of each path that goes on.
-
-    Buckets after the first are told apart below the first alone (32 bits each, 0: the path ended before).
-    """
-    size = np.diff(begins)
-    rows = np.flatnonzero(size)
-    node = np.tile(rows, len(these))
-    trail = np.zeros((len(node), levels), np.uint64)
-    path = mix(np.repeat(np.arange(these.start + 1, these.stop + 1, dtype=np.uint64), len(rows)) * np.uint64(0xA0761D6478BD642F))
-    top_rows, tops, ended_rows, ended = rows[:0], path[:0], [], []
-    for level in range(levels):
-        count = size[node]
-        at = np.repeat(begins[node] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        parent = np.repeat(np.arange(len(node)), count)
-        h = mix(path[parent] ^ tokens[at])
-        chosen = np.flatnonzero(h < _limit(size, jaccard)[node[parent]])
-        over = np.ones(len(node), bool)
-        over[parent[chosen]] = False
-        if level > 1:
-            ended_rows.append(node[over])
-            ended.append(trail[over])
-        parent = parent[chosen]
-        path = _pair(path[parent], tokens[at[chosen]]) | np.uint64(1)
-        node, trail = node[parent], trail[parent]
-        trail[:, level] = path if not level else path >> np.uint64(33) | np.uint64(1)
-        if not level:
-            top_rows, tops = node, path
-    return top_rows, tops, np.concatenate([*ended_rows, node]), np.concatenate([*ended, trail])
-
-
-def _pair(path: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """The path that goes on with a token."""
-    return mix(np.atleast_1d(path) * np.uint64(0x9E3779B97F4A7C15) + token)
-
-
 def _limit(size: np.ndarray, share: float) -> np.ndarray:
     """Hashes below it choose: one token in share * size."""
     return (2.0**64 / np.maximum(share * size, 1.0)).clip(max=2.0**64 - 4096).astype(np.uint64)
 
 
-def _lists(row: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
-    """Values, sorted by row, as a list for each of n rows."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), values)
+def first_buckets(tokens: np.ndarray, begins: np.ndarray, these: range, jaccard: float = JACCARD) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of each token that the runs choose, by row."""
+    size = np.diff(begins)
+    row = np.repeat(np.arange(len(size)), size)
+    limit = _limit(size, jaccard)[row]
+    rows, buckets = [], []
+    for run in these:
+        start = mix(np.array([run + 1], np.uint64) * np.uint64(0xA0761D6478BD642F))
+        chosen = np.flatnonzero(mix(start ^ tokens) < limit)
+        rows.append(row[chosen])
+        buckets.append(mix(start * np.uint64(0x9E3779B97F4A7C15) + tokens[chosen]))
+    row, bucket = np.concatenate([row[:0], *rows]), np.concatenate([tokens[:0], *buckets])
+    order = np.argsort(row, kind="stable")
+    return row[order], bucket[order]
+
+
+def next_buckets(bucket: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket, a level below, of each sample that the rows choose."""
+    sample = sketch.astype(np.uint64) + np.arange(BINS, dtype=np.uint64) * np.uint64(256)
+    h = mix(mix(bucket)[:, None] ^ (sample * np.uint64(0xA0761D6478BD642F)))
+    chosen = (h < _limit((sketch != 0).sum(1), DEEPER)[:, None]) & (sketch != 0)
+    row, at = np.nonzero(chosen)
+    return row, mix(bucket[row] * np.uint64(0x9E3779B97F4A7C15) + sample[row, at])
 
 
 def signatures(docs: DataFrame, waves: list[range]) -> DataFrame:
-    """``at, key1, key2, size, sketch`` of each document, and for each wave of runs its first buckets and the paths that go on."""
-    deeper = [f"b{k}" for k in range(1, LEVELS)]
+    """``at, key1, key2, size, sketch`` of each document, and for each wave of runs its first buckets."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,20 +131,13 @@ def signatures(docs: DataFrame, waves: list[range]) -> DataFrame:
                 tokens, begins = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 one, two = keys(tokens, begins)
                 columns = [batch.column("at")[lo:hi], pa.array(one), pa.array(two), pa.array(np.diff(begins)), pa.array([x.tobytes() for x in sketches(tokens, begins)], pa.binary())]
-                names = ["at", "key1", "key2", "size", "sketch"]
-                for w, these in enumerate(waves):
-                    top_row, tops, row, trail = paths(tokens, begins, these)
-                    order = np.argsort(top_row, kind="stable")
-                    columns.append(_lists(top_row[order], hi - lo, pa.array(tops[order].view(np.int64))))
-                    order = np.argsort(row, kind="stable")
-                    trail = trail[order]
-                    levels = [pa.array(np.ascontiguousarray(trail[:, 0]).view(np.int64)), *(pa.array(trail[:, k].astype(np.int32)) for k in range(1, LEVELS))]
-                    columns.append(_lists(row[order], hi - lo, pa.StructArray.from_arrays(levels, ["b0", *deeper])))
-                    names += [f"tops{w}", f"paths{w}"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    followed = ", ".join(f"tops{w} array<bigint>, paths{w} array<struct<b0: bigint, {', '.join(f'{b}: int' for b in deeper)}>>" for w in range(len(waves)))
-    return docs.select("at", "text").mapInArrow(part, f"at long, key1 long, key2 long, size long, sketch binary, {followed}")
+                for these in waves:
+                    row, bucket = first_buckets(tokens, begins, these)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)), pa.array(bucket.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(columns, ["at", "key1", "key2", "size", "sketch", *(f"tops{w}" for w in range(len(waves)))])
+
+    tops = ", ".join(f"tops{w} array<bigint>" for w in range(len(waves)))
+    return docs.select("at", "text").mapInArrow(part, f"at long, key1 long, key2 long, size long, sketch binary, {tops}")
 
 
 def _segments(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
@@ -247,36 +227,25 @@ def candidate_edges(members: DataFrame) -> DataFrame:
     return members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(part, "a long, b long")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """``bucket, node, label, n`` of the buckets (of n nodes) in which not all have one label yet."""
-    spread = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "n")
-    return rows.join(spread, "bucket").select("bucket", "node", "label", "n")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``bucket, node`` with the class that earlier runs joined a node to, or the node itself."""
-    return rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-
-
-def stars(big: DataFrame) -> DataFrame:
-    """One pass over large buckets (``bucket, node, label, sketch``): all nodes against ``PIVOTS`` nodes of the bucket.
+def split(large: DataFrame) -> DataFrame:
+    """One level of large buckets (``bucket, node, label, sketch``): all nodes against ``PIVOTS`` nodes of the bucket, then down.
 
     Edges ``a, b`` (``node`` null) join a node with the first pivot that takes it in, and pivots that take in the same. A node
-    next to a pivot is done; the others stay as ``bucket, node`` with the pivot's label. Each bucket's pivots are one row.
+    next to a pivot is done; the others go to buckets a level below, with the pivot's label. Each bucket's pivots are one row.
     """
-    pivots = big.groupBy("bucket").agg(F.array(*(F.min_by(F.struct("node", "label", "sketch"), F.xxhash64("node", F.lit(k))) for k in range(PIVOTS))).alias("pivots"))
+    pivots = large.groupBy("bucket").agg(F.array(*(F.min_by(F.struct("node", "label", "sketch"), F.xxhash64("node", F.lit(k))) for k in range(PIVOTS))).alias("pivots"))
     pivots = pivots.select("bucket", F.transform("pivots", lambda p: p["node"]).alias("nodes"), F.transform("pivots", lambda p: p["label"]).alias("labels"), F.transform("pivots", lambda p: p["sketch"]).alias("sketches"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
-                node, label = batch.column("node").to_numpy(), batch.column("label").to_numpy()
-                sketch = _sketches(batch.column("sketch"))[:, None, :]
+                node, label, bucket = (batch.column(c).to_numpy() for c in ("node", "label", "bucket"))
+                sketch = _sketches(batch.column("sketch"))
                 names, classes = (batch.column(c).flatten().to_numpy().reshape(-1, PIVOTS) for c in ("nodes", "labels"))
                 others = _sketches(batch.column("sketches").flatten()).reshape(-1, PIVOTS, BINS)
-                filled = (others != 0) | (sketch != 0)
-                near = ((others == sketch) & filled).sum(2) / np.maximum(filled.sum(2), 1)
+                filled = (others != 0) | (sketch[:, None, :] != 0)
+                near = ((others == sketch[:, None, :]) & filled).sum(2) / np.maximum(filled.sum(2), 1)
                 taken = near >= TAKEN_IN
                 at, row = taken.argmax(1), np.arange(len(node))
                 met = taken[row, at]
@@ -284,33 +253,44 @@ def stars(big: DataFrame) -> DataFrame:
                 joins = met & (pivot != node) & (label != own)
                 also, which = np.nonzero(taken & (names != pivot[:, None]))
                 pairs = np.unique(np.stack([pivot[also], names[also, which]]), axis=1)
-                stays = np.flatnonzero(near.max(1) < DONE)
                 a, b = np.concatenate([pivot[joins], pairs[0]]), np.concatenate([node[joins], pairs[1]])
-                none = lambda n: pa.nulls(n, pa.int64())
-                both = lambda x, y: pa.concat_arrays([x, y])
-                yield pa.RecordBatch.from_arrays(
-                    [both(pa.array(a), none(len(stays))), both(pa.array(b), none(len(stays))), *(both(none(len(a)), x) for x in (batch.column("bucket").take(pa.array(stays)), pa.array(node[stays]), pa.array(own[stays])))],
-                    ["a", "b", "bucket", "node", "label"],
-                )
-
-    return big.join(pivots, "bucket").select("bucket", "node", "label", "sketch", "nodes", "labels", "sketches").mapInArrow(part, "a long, b long, bucket long, node long, label long")
+                rest = np.flatnonzero(near.max(1) < DONE)
+                row, below = next_buckets(bucket[rest].view(np.uint64), sketch[rest])
+                row = rest[row]
+                none = lambda n, kind: pa.nulls(n, kind)
+                columns = [(pa.array(a), none(len(row), pa.int64())), (pa.array(b), none(len(row), pa.int64())), *((none(len(a), pa.int64()), pa.array(x)) for x in (below.view(np.int64), node[row], own[row])), (none(len(a), pa.binary()), batch.column("sketch").take(pa.array(row)))]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "bucket", "node", "label", "sketch"])
 
+    return large.join(pivots, "bucket").select("bucket", "node", "label", "sketch", "nodes", "labels", "sketches").mapInArrow(part, "a long, b long, bucket long, node long, label long, sketch binary")
 
-def token_table(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, tokens`` (packed) of nodes (``node, key2, first_at``)."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = raw(strings(batch.column("text")))
-            node, key2 = batch.column("node").to_numpy(), batch.column("key2").to_numpy()
-            for lo, hi in runs(offsets):
-                tokens, begins = token_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                one, two = keys(tokens, begins)
-                own = [r for r in range(hi - lo) if (one[r], two[r]) == (node[lo + r], key2[lo + r])]  # others have the same id
-                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][own]), pa.array([_packed(tokens[begins[r] : begins[r + 1]]) for r in own], pa.binary())], ["node", "tokens"])
+def wave_edges(first: DataFrame, wave: int, labels: DataFrame | None) -> DataFrame:
+    """``a, b`` of a wave of runs; ``labels``: what earlier waves joined (``node, component``), which isn't looked at again."""
+    sketch = first.select("node", "sketch")
+    small, edges = [], []
 
-    wanted = texts.join(nodes, texts["at"] == nodes["first_at"]).select("node", "key2", "text")
-    return wanted.mapInArrow(part, "node long, tokens binary").dropDuplicates(["node"])
+    def parted(rows: DataFrame) -> DataFrame:
+        """The rows of large buckets; those of small ones are put aside. Buckets of one label are passed over."""
+        spread = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "n")
+        spread = written(spread)
+        small.append(rows.join(spread.where(F.col("n") <= SMALL), "bucket", "left_semi"))
+        return rows.join(spread.where(F.col("n") > SMALL), "bucket", "left_semi")
+
+    rows = first.select(F.explode(f"tops{wave}").alias("bucket"), "node").distinct()
+    if labels is None:
+        rows = rows.withColumn("label", F.col("node"))
+    else:  # only what is shared at all meets the labels
+        shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+        rows = rows.join(shared, "bucket", "left_semi").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+        rows = written(rows)
+    large = written(parted(rows).join(sketch, "node").select("bucket", "node", "label", "sketch"))
+    small[0] = small[0].join(sketch, "node").select("bucket", "node", "label", "sketch")
+    while not large.isEmpty():
+        passed = written(split(large))
+        edges.append(passed.where("node is null").select("a", "b"))
+        large = written(parted(passed.where("node is not null").select("bucket", "node", "label", "sketch").dropDuplicates(["bucket", "node"])))
+    out = candidate_edges(reduce(DataFrame.unionByName, small))
+    return written(reduce(DataFrame.unionByName, edges, out))
 
 
 def _packed(tokens: np.ndarray) -> bytes:
@@ -323,76 +303,6 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def descend(big: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``bucket, node, label`` one level below large buckets: more tokens are chosen there, one in ``DEEPER`` * size."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for node, held, packed in zip(batch.column("node").to_pylist(), batch.column("held").to_pylist(), batch.column("tokens").to_pylist()):
-                own = _unpacked(packed)
-                bucket, label = np.array([h["bucket"] for h in held], np.int64).view(np.uint64), np.array([h["label"] for h in held], np.int64)
-                limit = _limit(np.array([len(own)]), DEEPER)[0]
-                for b, x in zip(bucket, label):
-                    chosen = own[mix(b ^ own) < limit]
-                    out.append((_pair(b, chosen), np.full(len(chosen), node), np.full(len(chosen), x)))
-            columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], ["bucket", "node", "label"])
-
-    held = big.groupBy("node").agg(F.collect_list(F.struct("bucket", "label")).alias("held"))  # a node's own buckets, few
-    return held.join(tokens, "node").select("node", "held", "tokens").mapInArrow(part, "bucket long, node long, label long")
-
-
-def wave_edges(first: DataFrame, texts: DataFrame, wave: int, labels: DataFrame | None) -> DataFrame:
-    """``a, b`` of a wave of runs; ``labels``: what earlier waves joined (``node, component``), which isn't looked at again.
-
-    A bucket goes on to the next level while more than ``SMALL`` nodes share it. The first levels come with the signatures.
-    What is large below them meets pivots of its bucket, and what that leaves goes on, level by level, until none is large.
-    """
-    sketch = first.select("node", "sketch")
-    small, edges = [], []
-
-    def parted(rows: DataFrame) -> DataFrame:
-        """Puts the small buckets aside."""
-        rows = written(rows)
-        small.append(rows.where(F.col("n") <= SMALL).drop("n"))
-        return rows.where(F.col("n") > SMALL).drop("n")
-
-    tops = first.select("node", F.explode(f"tops{wave}").alias("bucket"))
-    if labels is not None:  # only what is shared at all meets the labels
-        shared = tops.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-        tops = tops.join(shared, "bucket", "left_semi")
-    big = parted(_mixed(tops.withColumn("label", F.col("node")) if labels is None else written(_labelled(tops, labels))))
-    left = first.select("node", F.explode(f"paths{wave}").alias("p")).select("node", "p.*")
-    names = ["b0"]
-    for k in range(1, LEVELS):
-        if big.isEmpty():
-            break
-        names.append(f"b{k}")
-        own = big.select(F.col("bucket").alias("above"), F.col("node").alias("at"), "label")
-        above = F.col("b0") if k == 1 else F.xxhash64(*names[:-1])
-        rows = left.where(F.col(names[-1]) != 0).select("node", above.alias("above"), F.xxhash64(*names).alias("bucket"))
-        rows = rows.join(own, (rows["above"] == own["above"]) & (rows["node"] == own["at"])).select("bucket", "node", "label").distinct()
-        big = parted(_mixed(written(rows)))
-    tokens = None
-    while not big.isEmpty():
-        passed = written(stars(big.join(sketch, "node")))
-        edges.append(passed.where("node is null").select("a", "b"))
-        big = parted(_mixed(passed.where("node is not null").select("bucket", "node", "label")))
-        if big.isEmpty():
-            break
-        if tokens is None:  # all that is large later on is large here
-            tokens = written(token_table(texts, first.select("node", "key2", "first_at").join(big.select("node").distinct(), "node", "left_semi")))
-        big = parted(_mixed(written(descend(big, tokens).distinct())))
-    members = small[0]
-    for more in small[1:]:
-        members = members.unionByName(more)
-    out = candidate_edges(members.join(sketch, "node").select("bucket", "node", "label", "sketch"))
-    for more in edges:
-        out = out.unionByName(more)
-    return written(out)
-
-
 def _common(sets: list[np.ndarray], lots: np.ndarray, one: int, other: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places and sizes of intersections, some rows at a time, between two lots (or within one)."""
     rows = np.flatnonzero(lots == one)
@@ -511,10 +421,10 @@ def join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> D
     classes = written(classes.select("key1", "key2", F.col("first.at").alias("first_at"), F.col("first.row").alias("first_row"), "copies"))
     own = classes.select("key1", "key2", F.col("first_at").alias("at"), F.col("first_row").alias("row"))
     first = found.join(own, ["key1", "key2", "at", "row"], "left_semi")
-    first = written(first.select(F.col("key1").alias("node"), "key2", F.col("at").alias("first_at"), "sketch", *(f"{c}{w}" for w in range(len(waves)) for c in ("tops", "paths"))))
+    first = written(first.select(F.col("key1").alias("node"), "sketch", *(f"tops{w}" for w in range(len(waves)))))
     near = None
     for wave in range(len(waves)):
-        edges = wave_edges(first, texts, wave, near)
+        edges = wave_edges(first, wave, near)
         if near is not None:
             edges = edges.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
         near = components(edges)
