@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as S
-from factweave.operators import algorithms, documents, facts, kv, results, sets
+from factweave.operators import algorithms, documents, facts, graph_transactions, kv, results, sets
 from factweave.operators.documents import DocQuery, Op
 from factweave.operators.graph import Graph, value_text
 from factweave.operators.transactions import Database
 from factweave.plans.builder import Query
+from factweave.sources import scratch
 from factweave.sources import tables as T
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -292,7 +292,7 @@ def g_without_field(spark, d):
 
 @query("g_count_rel", f"WITH {EDGES} SELECT rel, count(*) AS n FROM edges GROUP BY rel")
 def g_count_rel(spark, d):
-    return T.edges(spark, d).groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+    return Graph(spark.createDataFrame([], T.PROPS), T.edges(spark, d)).count_relationships()
 
 
 @query("g_out", f"WITH {EDGES} SELECT DISTINCT dst AS obj_id FROM edges WHERE src = {_C + 7} AND rel = 'KNOWS'")
@@ -319,10 +319,8 @@ def g_in_many(spark, d):
 
 @query("g_has_rel", f"WITH {EDGES}, asked AS (SELECT unnest([[{_C}, {_C + 1}], [{_C + 1}, {_C}], [{_C}, {_C}]]) AS p) SELECT p[1] AS src, p[2] AS dst, EXISTS (SELECT 1 FROM edges WHERE rel = 'KNOWS' AND src = p[1] AND dst = p[2]) AS related FROM asked")
 def g_has_rel(spark, d):
-    g = graph(spark, d, ("KNOWS",))
     asked = spark.createDataFrame([(_C, _C + 1), (_C + 1, _C), (_C, _C)], "src long, dst long")
-    met = g.edges.where("rel = 'KNOWS'").select("src", "dst", F.lit(True).alias("met"))
-    return asked.join(met, ["src", "dst"], "left").select("src", "dst", F.coalesce("met", F.lit(False)).alias("related"))
+    return graph(spark, d, ("KNOWS",)).related(asked, "KNOWS")
 
 
 @query("g_mutual", f"WITH {EDGES} SELECT DISTINCT a.src AS a, a.dst AS b FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.rel = 'KNOWS' AND b.rel = 'KNOWS' AND a.src < a.dst")
@@ -515,66 +513,393 @@ def obj_page(spark, d):
 
 
 # writes
-@query(
-    "w_update_object",
-    f"""WITH {PROPS} SELECT obj_id, field, coalesce(sval, CAST(nval AS VARCHAR)) AS value FROM props WHERE obj_id // 1000000000 = 2 AND obj_id <> {_N} UNION ALL SELECT {_N}, 'name', 'renamed' UNION ALL SELECT {_N}, 'rank', '1'""",
-)
+_TEXT = "coalesce(sval, CAST(nval AS VARCHAR)) AS value"
+_NEXT = "(SELECT max(obj_id) FROM props)"
+
+
+@query("w_update_object", f"""WITH {PROPS} SELECT obj_id, field, {_TEXT} FROM props WHERE obj_id <> {_N} UNION ALL SELECT {_N}, 'name', 'renamed' UNION ALL SELECT {_N}, 'rank', '1'""")
 def w_update_object(spark, d):
-    after = facts.update_objects(T.props(spark, d, ("nation",)), facts.rows_of(spark, {_N: {"name": "renamed", "rank": True, "none": None}}))
+    after = facts.update_objects(T.props(spark, d), facts.rows_of(spark, {_N: {"name": "renamed", "rank": True, "none": None}}))
     return after.select("obj_id", "field", value_text().alias("value"))
 
 
-@query("w_update_fact", f"""WITH {PROPS} SELECT obj_id, field, CASE WHEN obj_id = {_N} AND field = 'name' THEN 'renamed' ELSE coalesce(sval, CAST(nval AS VARCHAR)) END AS value FROM props WHERE obj_id // 1000000000 = 2""")
+@query("w_update_fact", f"""WITH {PROPS} SELECT obj_id, field, CASE WHEN obj_id = {_N} AND field = 'name' THEN 'renamed' WHEN obj_id = {_P} AND field = 'size' THEN 'large' ELSE coalesce(sval, CAST(nval AS VARCHAR)) END AS value FROM props""")
 def w_update_fact(spark, d):
-    after = facts.update_fact(T.props(spark, d, ("nation",)), facts.rows_of(spark, {_N: {"name": "renamed"}}))
+    after = facts.update_fact(T.props(spark, d), facts.rows_of(spark, {_N: {"name": "renamed"}, _P: {"size": "large"}}))
     return after.select("obj_id", "field", value_text().alias("value"))
 
 
 @query(
     "w_delete_object",
-    f"""WITH {PROPS}, {EDGES} SELECT 'fact' AS kind, obj_id, field AS name FROM props WHERE obj_id // 1000000000 = 2 AND obj_id <> {_N + 1}
-    UNION ALL SELECT 'edge', src, CAST(dst AS VARCHAR) FROM edges WHERE rel IN ('IN_NATION', 'IN_REGION') AND src <> {_N + 1} AND dst <> {_N + 1}""",
+    f"""WITH {PROPS}, {EDGES} SELECT 'fact' AS kind, obj_id, field AS name FROM props WHERE obj_id <> {_N + 1}
+    UNION ALL SELECT 'edge', src, rel || CAST(dst AS VARCHAR) FROM edges WHERE src <> {_N + 1} AND dst <> {_N + 1}""",
 )
 def w_delete_object(spark, d):
     gone = spark.createDataFrame([(_N + 1,)], "obj_id long")
-    props, edges = facts.delete_objects(T.props(spark, d, ("nation",)), T.edges(spark, d, ("IN_NATION", "IN_REGION")), gone)
-    return props.select(F.lit("fact").alias("kind"), "obj_id", F.col("field").alias("name")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("obj_id"), F.col("dst").cast("string").alias("name")))
+    props, edges = facts.delete_objects(T.props(spark, d), T.edges(spark, d), gone)
+    return _names(props, edges)
 
 
-@query("w_insert_edges", f"WITH {EDGES} SELECT src, dst FROM edges WHERE rel = 'IN_REGION' UNION SELECT {_N}, {_R + 1}")
+def _names(props: DataFrame, edges: DataFrame) -> DataFrame:
+    related = edges.select(F.lit("edge").alias("kind"), F.col("src").alias("obj_id"), F.concat("rel", F.col("dst").cast("string")).alias("name"))
+    return props.select(F.lit("fact").alias("kind"), "obj_id", F.col("field").alias("name")).unionByName(related)
+
+
+@query("w_insert_edges", f"WITH {EDGES} SELECT src, rel, dst FROM edges UNION SELECT {_N}, 'IN_REGION', {_R + 1}")
 def w_insert_edges(spark, d):
-    return facts.insert_edges(T.edges(spark, d, ("IN_REGION",)), facts.edge_rows(spark, [(_N, "IN_REGION", _R + 1), (_N, "IN_REGION", _R + 1)])).select("src", "dst")
+    return facts.insert_edges(T.edges(spark, d), facts.edge_rows(spark, [(_N, "IN_REGION", _R + 1), (_N, "IN_REGION", _R + 1)])).select("src", "rel", "dst")
 
 
-@query("w_insert_object", f"WITH {PROPS} SELECT obj_id, field, coalesce(sval, CAST(nval AS VARCHAR)) AS value FROM props WHERE obj_id // 1000000000 = 1 UNION ALL SELECT (SELECT max(obj_id) FROM props WHERE obj_id // 1000000000 = 1) + 1, unnest(['type', 'name', 'size']), unnest(['region', 'NOWHERE', '3'])")
+@query("w_insert_object", f"WITH {PROPS} SELECT obj_id, field, {_TEXT} FROM props UNION ALL SELECT {_NEXT} + 1, unnest(['type', 'name', 'size']), unnest(['region', 'NOWHERE', '3'])")
 def w_insert_object(spark, d):
-    after, _ = facts.insert_objects(T.props(spark, d, ("region",)), [{"nothing": None}, {"type": "region", "name": "NOWHERE", "size": 3.7}])
+    after, _ = facts.insert_objects(T.props(spark, d), [{"nothing": None}, {"type": "region", "name": "NOWHERE", "size": 3.7}])
     return after.select("obj_id", "field", value_text().alias("value"))
 
 
-@query("w_remove_edges", f"WITH {EDGES} SELECT src, dst FROM edges WHERE rel = 'IN_REGION' AND dst <> {_R + 1}")
+@query("w_remove_edges", f"WITH {EDGES} SELECT src, rel, dst FROM edges WHERE dst <> {_R + 1}")
 def w_remove_edges(spark, d):
-    return facts.remove_edges(T.edges(spark, d, ("IN_REGION",)), spark.createDataFrame([(_R + 1,)], "dst long")).select("src", "dst")
+    return facts.remove_edges(T.edges(spark, d), spark.createDataFrame([(_R + 1,)], "dst long")).select("src", "rel", "dst")
 
 
-@query("w_remove_fact", f"WITH {PROPS} SELECT obj_id, field FROM props WHERE obj_id // 1000000000 = 1 AND NOT (obj_id = {_R} AND field = 'name')")
+@query("w_remove_fact", f"WITH {PROPS} SELECT obj_id, field FROM props WHERE NOT (obj_id = {_R} AND field = 'name')")
 def w_remove_fact(spark, d):
-    return facts.remove_props(T.props(spark, d, ("region",)), (F.col("obj_id") == _R) & (F.col("field") == "name")).select("obj_id", "field")
+    return facts.remove_props(T.props(spark, d), (F.col("obj_id") == _R) & (F.col("field") == "name")).select("obj_id", "field")
+
 
+# databases
+def _with_database(spark: SparkSession, use: Callable[[Database], DataFrame]) -> DataFrame:
+    """What a function reads of a new database in the shared folder, which is dropped then."""
+    db = Database.create(spark, f"{scratch.shared_dir(spark)}/db-{uuid.uuid4().hex}")
+    try:
+        return scratch.checkpoint(use(db))
+    finally:
+        Database.drop(spark, db.root)
 
-@query("w_abort", f"WITH {ORDER_KV} SELECT key, value FROM kv WHERE key < 'order:0000000010'")
+
+def _load_orders(db: Database, d: str) -> int:
+    return db.insert_batch("orders", T.order_log(db.spark, d).select("key", "value"))
+
+
+@query("w_abort", f"WITH {ORDER_KV} SELECT key, value FROM kv")
 def w_abort(spark, d):
-    """Commits some orders, then aborts changes to all of them."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factweave-")
-    db = Database.create(spark, f"{root.rstrip('/')}/db-{uuid.uuid4().hex}")
-    txn = db.begin()
-    txn.insert_frame("orders", T.order_log(spark, d).where("key < 'order:0000000010'").select("key", "value"))
-    txn.commit()
-    txn = db.begin()
-    txn.insert("orders", "order:0000000001", "changed")
-    txn.remove("orders", "order:0000000002")
-    txn.abort()
-    return db.collection("orders").scan()
+    """Commits all orders, then aborts changes to all of them."""
+
+    def use(db):
+        _load_orders(db, d)
+        txn = db.begin()
+        txn.insert_frame("orders", T.order_log(spark, d).select("key", F.lit("changed").alias("value")))
+        txn.remove("orders", "order:0000000002")
+        txn.abort()
+        return db.collection("orders").scan()
+
+    return _with_database(spark, use)
+
+
+@query("w_remove", f"WITH {ORDER_KV} SELECT key, value FROM kv WHERE key <> 'order:0000000003'")
+def w_remove(spark, d):
+    def use(db):
+        _load_orders(db, d)
+        db.remove("orders", "order:0000000003")
+        db.remove("orders", "nowhere")
+        return db.collection("orders").scan()
+
+    return _with_database(spark, use)
+
+
+@query("w_insert_batch", f"WITH {ORDER_KV} SELECT key, CASE WHEN key = 'order:0000000004' THEN 'second' ELSE value END AS value FROM kv UNION ALL SELECT 'order:x', 'new'")
+def w_insert_batch(spark, d):
+    def use(db):
+        _load_orders(db, d)
+        db.insert_batch("orders", [("order:0000000004", "first"), ("order:x", "new"), ("order:0000000004", "second")])
+        return db.collection("orders").scan()
+
+    return _with_database(spark, use)
+
+
+@query("w_repeated_keys", "SELECT 'event:' || event_type AS key, arg_max(CAST(user_id AS VARCHAR), event_id) AS value FROM events GROUP BY 1")
+def w_repeated_keys(spark, d):
+    """A frame with many rows of each key: the last in the stated order wins."""
+
+    def use(db):
+        txn = db.begin()
+        rows = T.table(spark, d, "events").select(F.concat(F.lit("event:"), "event_type").alias("key"), F.col("user_id").cast("string").alias("value"), "event_id")
+        txn.insert_frame("events", rows, "event_id")
+        txn.commit()
+        return db.collection("events").scan()
+
+    return _with_database(spark, use)
+
+
+@query("w_execute_batch", f"WITH {ORDER_KV} SELECT key, value FROM kv WHERE key NOT IN ('order:0000000001', 'order:0000000002') UNION ALL SELECT 'order:0000000002', 'again'")
+def w_execute_batch(spark, d):
+    def use(db):
+        _load_orders(db, d)
+        txn = db.begin()
+        txn.execute_batch("orders", [("insert", "order:0000000001", "x"), ("remove", "order:0000000001"), ("remove", "order:0000000002"), ("insert", "order:0000000002", "again")])
+        txn.commit()
+        return db.collection("orders").scan()
+
+    return _with_database(spark, use)
+
+
+@query("w_single_ops", f"WITH {ORDER_KV} SELECT key, CASE WHEN key = 'order:0000000005' THEN 'x' ELSE value END AS value FROM kv WHERE key <> 'order:0000000006'")
+def w_single_ops(spark, d):
+    def use(db):
+        _load_orders(db, d)
+        db.insert("orders", "order:0000000005", "x")
+        db.remove("orders", "order:0000000006")
+        return db.collection("orders").scan()
+
+    return _with_database(spark, use)
+
+
+@query("w_read_own_writes", f"WITH {ORDER_KV} SELECT key, CASE WHEN key = 'order:0000000001' THEN 'mine' ELSE value END AS value FROM kv WHERE key <> 'order:0000000002'")
+def w_read_own_writes(spark, d):
+    """An open transaction reads its snapshot and its own writes, and nothing that another one commits meanwhile."""
+
+    def use(db):
+        _load_orders(db, d)
+        txn = db.begin()
+        txn.insert("orders", "order:0000000001", "mine")
+        txn.remove("orders", "order:0000000002")
+        db.insert("orders", "order:0000000003", "another's")
+        return txn.collection("orders").scan()
+
+    return _with_database(spark, use)
+
+
+@query(
+    "w_reopen_at_snapshot",
+    f"WITH {ORDER_KV} SELECT 'then' AS state, key, value FROM kv UNION ALL SELECT 'now', key, CASE WHEN key = 'order:0000000001' THEN 'changed' ELSE value END FROM kv WHERE key <> 'order:0000000002'",
+)
+def w_reopen_at_snapshot(spark, d):
+    """Two commits, a compaction between them and a reader at the first one's snapshot, in a database that is opened anew."""
+
+    def use(db):
+        first = _load_orders(db, d)
+        reader = db.begin(first)
+        txn = db.begin()
+        txn.insert("orders", "order:0000000001", "changed")
+        txn.remove("orders", "order:0000000002")
+        txn.commit()
+        db.close()
+        again = Database.open(spark, db.root)
+        again.compact()
+        then = reader.collection("orders").scan()
+        return then.select(F.lit("then").alias("state"), "key", "value").unionByName(again.collection("orders").scan().select(F.lit("now").alias("state"), "key", "value"))
+
+    return _with_database(spark, use)
+
+
+@query("w_commit_ids", "SELECT unnest([0, 1, 2, 3]) AS pos, unnest([1, 2, 10, 11]) AS txn_id")
+def w_commit_ids(spark, d):
+    """Ids of commits rise by one, or are those asked for."""
+
+    def use(db):
+        ids = [db.insert("c", "k", "1"), db.remove("c", "k")]
+        txn = db.begin()
+        txn.insert("c", "k", "2")
+        ids += [txn.commit(10), db.insert("c", "k", "3")]
+        return spark.createDataFrame(list(enumerate(ids)), "pos int, txn_id int")
+
+    return _with_database(spark, use)
+
+
+@query("w_collections", f"WITH {ORDER_KV} SELECT 'orders' AS collection, count(*) AS n FROM kv UNION ALL SELECT 'others', 1")
+def w_collections(spark, d):
+    """Collections come into being when they are written to, and keep apart."""
+
+    def use(db):
+        _load_orders(db, d)
+        db.insert("others", "order:0000000001", "x")
+        return db.collections().join(kv.latest(db.log()), "collection").groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+
+    return _with_database(spark, use)
+
+
+# graph transactions
+def _load_graph(db: Database, d: str, props: DataFrame | None = None) -> int:
+    txn = graph_transactions.GraphTransaction(db)
+    txn.load(T.props(db.spark, d) if props is None else props, T.edges(db.spark, d))
+    return txn.commit()
+
+
+def _values(g: Graph) -> DataFrame:
+    related = g.edges.select(F.col("src").alias("obj_id"), F.col("rel").alias("field"), F.col("dst").cast("string").alias("value"))
+    return g.props.select("obj_id", "field", value_text().alias("value")).unionByName(related)
+
+
+@query(
+    "gt_commit",
+    f"""WITH {PROPS}, {EDGES} SELECT obj_id, field, {_TEXT} FROM props WHERE obj_id <> {_N} UNION ALL SELECT src, rel, CAST(dst AS VARCHAR) FROM edges WHERE NOT (src = {_N + 1} AND rel = 'IN_REGION')
+    UNION ALL SELECT {_N}, 'name', 'renamed' UNION ALL SELECT {_NEXT} + 1, unnest(['type', 'name', 'IN_REGION']), unnest(['nation', 'NOWHERE', '{_R}'])""",
+)
+def gt_commit(spark, d):
+    def use(db):
+        _load_graph(db, d)
+        txn = graph_transactions.GraphTransaction(db)
+        new = txn.insert_object({"type": "nation", "name": "NOWHERE", "none": None})
+        txn.insert_relationship(new, "IN_REGION", _R)
+        txn.update_object(_N, {"name": "renamed"})
+        txn.remove_relationship(*_region_of(spark, d, _N + 1))
+        txn.commit()
+        return _values(graph_transactions.graph(db))
+
+    return _with_database(spark, use)
+
+
+def _region_of(spark: SparkSession, d: str, nation: int) -> tuple[int, str, int]:
+    return tuple(T.edges(spark, d, ("IN_REGION",)).where(F.col("src") == nation).first())
+
+
+@query("gt_abort", f"WITH {PROPS}, {EDGES} SELECT obj_id, field, {_TEXT} FROM props UNION ALL SELECT src, rel, CAST(dst AS VARCHAR) FROM edges UNION ALL SELECT {_NEXT} + 3, 'name', 'kept'")
+def gt_abort(spark, d):
+    """Nothing of an aborted transaction is kept, but its ids are not given out again."""
+
+    def use(db):
+        _load_graph(db, d)
+        txn = graph_transactions.GraphTransaction(db)
+        for name in ("one", "two"):
+            txn.insert_object({"name": name})
+        txn.delete_object(_N)
+        txn.abort()
+        txn = graph_transactions.GraphTransaction(db)
+        txn.insert_object({"name": "kept"})
+        txn.commit()
+        return _values(graph_transactions.graph(db))
+
+    return _with_database(spark, use)
+
+
+@query("gt_delete_reopen", f"WITH {PROPS}, {EDGES} SELECT obj_id, field, {_TEXT} FROM props WHERE obj_id NOT IN ({_N + 1}, {_C}) UNION ALL SELECT src, rel, CAST(dst AS VARCHAR) FROM edges WHERE src NOT IN ({_N + 1}, {_C}) AND dst NOT IN ({_N + 1}, {_C})")
+def gt_delete_reopen(spark, d):
+    def use(db):
+        _load_graph(db, d)
+        txn = graph_transactions.GraphTransaction(db)
+        txn.delete_object(_N + 1)
+        txn.delete_object(_C)
+        txn.commit()
+        db.close()
+        return _values(graph_transactions.graph(Database.open(spark, db.root)))
+
+    return _with_database(spark, use)
+
+
+@query(
+    "gt_snapshot",
+    f"""WITH {PROPS}, {EDGES}, facts AS (SELECT obj_id, field, {_TEXT} FROM props UNION ALL SELECT src, rel, CAST(dst AS VARCHAR) FROM edges)
+    SELECT 'then' AS state, * FROM facts UNION ALL SELECT 'now', * FROM facts WHERE obj_id <> {_R} AND NOT (field = 'IN_REGION' AND value = '{_R}')""",
+)
+def gt_snapshot(spark, d):
+    """The graph as of the first of two commits, and as it is."""
+
+    def use(db):
+        first = _load_graph(db, d)
+        txn = graph_transactions.GraphTransaction(db)
+        txn.delete_object(_R)
+        txn.commit()
+        then, now = graph_transactions.graph(db, first), graph_transactions.graph(db)
+        return _values(then).select(F.lit("then").alias("state"), "*").unionByName(_values(now).select(F.lit("now").alias("state"), "*"))
+
+    return _with_database(spark, use)
+
+
+@query(
+    "gt_single_facts",
+    f"""WITH {PROPS} SELECT obj_id, field, CASE WHEN obj_id = {_P} AND field = 'size' THEN 'large' WHEN obj_id = {_P + 1} AND field = 'size' THEN '99' WHEN obj_id = {_P + 2} AND field = 'name' THEN '7' ELSE coalesce(sval, CAST(nval AS VARCHAR)) END AS value
+    FROM props WHERE NOT (obj_id = {_P + 3} AND field = 'brand')""",
+)
+def gt_single_facts(spark, d):
+    """Single values set and removed; a value of another type takes the place of the old one."""
+
+    def use(db):
+        _load_graph(db, d)
+        txn = graph_transactions.GraphTransaction(db)
+        txn.set_string(_P, "size", "large")
+        txn.set_numeric(_P + 1, "size", 99.5)
+        txn.set_numeric(_P + 2, "name", 7)
+        txn.remove_fact(_P + 3, "brand")
+        txn.commit()
+        return graph_transactions.graph(db).props.select("obj_id", "field", value_text().alias("value"))
+
+    return _with_database(spark, use)
+
+
+@query("gt_geo_fact", f"WITH {POINTS}) SELECT obj_id, CASE WHEN obj_id = {_S} THEN 10.5 ELSE lat END AS lat, CASE WHEN obj_id = {_S} THEN 20.25 ELSE lon END AS lon, obj_id = {_S} AS found FROM points")
+def gt_geo_fact(spark, d):
+    def use(db):
+        _load_graph(db, d, T.geo_props(spark, d))
+        txn = graph_transactions.GraphTransaction(db)
+        txn.set_geo(_S, "place", 10.5, 20.25)
+        txn.commit()
+        g = graph_transactions.graph(db)
+        found = g.at_place("place", 10.5, 20.25).withColumn("found", F.lit(True))
+        return g.props.join(found, "obj_id", "left").select("obj_id", "lat", "lon", F.coalesce("found", F.lit(False)).alias("found"))
+
+    return _with_database(spark, use)
+
+
+# a graph laid down by fields and types
+def _laid_down(spark: SparkSession, d: str, use: Callable[[Graph], DataFrame]) -> DataFrame:
+    path = f"{scratch.shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    try:
+        Graph(T.props(spark, d), T.edges(spark, d)).write(path)
+        return scratch.checkpoint(use(Graph.read(spark, path)))
+    finally:
+        Database.drop(spark, path)
+
+
+@query("g_partitioned_property", f"WITH {PROPS} SELECT DISTINCT obj_id FROM props WHERE field = 'mktsegment' AND sval = 'BUILDING'")
+def g_partitioned_property(spark, d):
+    return _laid_down(spark, d, lambda g: g.by_property("mktsegment", "BUILDING"))
+
+
+@query("g_partitioned_hop", f"WITH {PROPS}, {EDGES} SELECT DISTINCT dst AS obj_id FROM edges WHERE rel = 'PLACED' AND src IN (SELECT obj_id FROM props WHERE field = 'mktsegment' AND sval = 'MACHINERY')")
+def g_partitioned_hop(spark, d):
+    return _laid_down(spark, d, lambda g: g.hop(g.by_property("mktsegment", "MACHINERY"), "out", "PLACED"))
+
+
+# cursors, iterators, pages
+@query("kv_cursor", f"WITH {ORDER_KV} SELECT row_number() OVER (ORDER BY key) - 1 AS pos, key, value FROM kv WHERE key >= 'order:0000000100' AND key < 'order:0000000200'")
+def kv_cursor(spark, d):
+    steps = _orders(spark, d).cursor("order:0000000100", "order:0000000200")
+    return spark.createDataFrame([(n, *row) for n, row in enumerate(steps)], "pos long, key string, value string")
+
+
+@query("kv_page_default", f"WITH {ORDER_KV} SELECT key, value FROM kv ORDER BY key LIMIT 50")
+def kv_page_default(spark, d):
+    return results.page(_orders(spark, d).current(), "key")
+
+
+@query("kv_page_after", f"WITH {ORDER_KV} SELECT key, value FROM kv WHERE key > 'order:0000000120' ORDER BY key LIMIT 25")
+def kv_page_after(spark, d):
+    return results.page_after(_orders(spark, d).current(), "key", "order:0000000120", 25)
+
+
+@query("kv_page_totals", f"WITH {ORDER_KV}, n AS (SELECT count(*) AS n FROM kv) SELECT n AS total_results, CAST((n + 39) // 40 AS BIGINT) AS total_pages, CAST(3 AS BIGINT) AS page, CAST(greatest(0, least(40, n - 80)) AS BIGINT) AS results_in_page FROM n")
+def kv_page_totals(spark, d):
+    return results.page_totals(_orders(spark, d).current(), 3, 40)
+
+
+@query("obj_total_count", f"WITH {PROPS} SELECT count(DISTINCT obj_id) AS n FROM props WHERE {_having('brand', "sval = 'Brand#1'")}")
+def obj_total_count(spark, d):
+    return spark.createDataFrame([(_plan(spark, d).find({"brand": "Brand#1"}).execute().total_count(),)], "n long")
+
+
+@query("obj_iterator", f"WITH {PROPS} SELECT dense_rank() OVER (ORDER BY obj_id) - 1 AS pos, obj_id, field, {_TEXT} FROM props WHERE {_having('type', "sval = 'nation'")}")
+def obj_iterator(spark, d):
+    found = _plan(spark, d).find({"type": "nation"}).execute()
+    return spark.createDataFrame([(n, o["id"], f, v) for n, o in enumerate(found) for f, v in o.items() if f != "id"], "pos long, obj_id long, field string, value string")
+
+
+@query("obj_page_after", f"WITH {PROPS}, ids AS (SELECT DISTINCT obj_id FROM props WHERE {_having('type', "sval = 'nation'")} AND obj_id > {_N + 9} ORDER BY obj_id LIMIT 10) SELECT obj_id, field, {_TEXT} FROM props WHERE obj_id IN (SELECT obj_id FROM ids)")
+def obj_page_after(spark, d):
+    return _plan(spark, d).find({"type": "nation"}).execute().page_after(_N + 9, 10).select("obj_id", F.explode("object").alias("field", "value"))
+
+
+@query("obj_page_totals", "SELECT count(*) AS total_results, CAST(ceil(count(*) / 10) AS BIGINT) AS total_pages, CAST(3 AS BIGINT) AS page, CAST(greatest(0, least(10, count(*) - 20)) AS BIGINT) AS results_in_page FROM nation")
+def obj_page_totals(spark, d):
+    return _plan(spark, d).find({"type": "nation"}).execute().totals(3, 10)
 
 
 # analytics
@@ -669,3 +994,22 @@ def set_cardinality(spark, d):
     a, b = _sets(spark, d)
     maps = sets.bitmaps(a).unionByName(sets.bitmaps(b)).groupBy("bucket").agg(F.call_function("bitmap_or_agg", F.col("bits")).alias("bits"))
     return maps.agg(F.coalesce(F.sum(F.call_function("bitmap_count", F.col("bits"))), F.lit(0)).cast("long").alias("n"))
+
+
+@query("set_bitmaps_back", f"WITH {PROPS} {_A} UNION {_B}")
+def set_bitmaps_back(spark, d):
+    return sets.from_bitmaps(sets.bitmaps(sets.union(*_sets(spark, d))))
+
+
+# index keys of documents
+@query("doc_index_numeric", "SELECT 'idx:part:size:' || lpad(CAST(p_size AS VARCHAR), 20, '0') || ':' || p_partkey AS key, p_partkey AS id FROM part")
+def doc_index_numeric(spark, d):
+    return documents.numeric_index_entries(T.part_docs(spark, d), "size")
+
+
+@query("doc_index_deleted", "SELECT 'idx:part:size:' || lpad(CAST(p_size AS VARCHAR), 20, '0') || ':' || p_partkey AS key, p_partkey AS id FROM part WHERE p_size <> 7 UNION ALL SELECT 'idx_str:part:brand:' || p_brand || ':' || p_partkey, p_partkey FROM part WHERE p_size <> 7")
+def doc_index_deleted(spark, d):
+    """Both indexes after the documents of one size have been deleted."""
+    docs = T.part_docs(spark, d)
+    entries = documents.numeric_index_entries(docs, "size").unionByName(documents.index_entries(docs, "brand"))
+    return documents.without_documents(entries, docs.where(F.col("doc")["size"] == "7"))

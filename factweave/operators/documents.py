@@ -70,6 +70,17 @@ class DocQuery:
         return out.orderBy("id").limit(self.most) if self.most is not None else out
 
 
+def numeric_index_entries(docs: DataFrame, attribute: str) -> DataFrame:
+    """``key, id``: index keys of a number, padded so that they sort by it; fields that are no whole unsigned numbers have none."""
+    number = S.to_number(F.col("doc")[attribute])
+    return docs.where(number.isNotNull()).select(F.concat_ws(":", S.sortable_key(F.concat_ws(":", F.lit("idx"), "ns", F.lit(attribute)), number), F.col("id").cast("string")).alias("key"), "id")
+
+
+def without_documents(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """Index keys without those of deleted documents (``id``)."""
+    return entries.join(gone.select("id").distinct(), "id", "left_anti").select("key", "id")
+
+
 def index_entries(docs: DataFrame, attribute: str) -> DataFrame:
     """``key, id``: text index keys of a field, as an embedded store would keep them."""
     return docs.where(F.col("doc")[attribute].isNotNull()).select(F.concat_ws(":", F.lit("idx_str"), "ns", F.lit(attribute), F.col("doc")[attribute], F.col("id").cast("string")).alias("key"), "id")

@@ -42,9 +42,12 @@ class Graph:
         return cls(spark.read.parquet(f"{path}/props"), spark.read.parquet(f"{path}/edges"))
 
     def write(self, path: str) -> None:
-        """Properties by field and relationships by type, so one of either is a folder of its own."""
-        self.props.repartition("field").write.partitionBy("field").parquet(f"{path}/props")
-        self.edges.repartition("rel").write.partitionBy("rel").parquet(f"{path}/edges")
+        """Properties by field and relationships by type, so one of either is a folder of its own.
+
+        Rows are dealt out by ranges of folder and id, so a folder of many rows has many files, each of its own ids.
+        """
+        self.props.repartitionByRange("field", "obj_id").write.partitionBy("field").parquet(f"{path}/props")
+        self.edges.repartitionByRange("rel", "src").write.partitionBy("rel").parquet(f"{path}/edges")
 
     # properties
     def facts(self, obj_id: int) -> DataFrame:
@@ -110,7 +113,10 @@ class Graph:
     def relationship_types(self) -> DataFrame:
         return self.edges.select("rel").distinct()
 
-    def count_relationships(self, rel: str) -> DataFrame:
+    def count_relationships(self, rel: str | None = None) -> DataFrame:
+        """``n`` of a type, or ``rel, n`` of all types."""
+        if rel is None:
+            return self.edges.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
         return self.edges.where(F.col("rel") == rel).agg(F.count(F.lit(1)).alias("n"))
 
     def outgoing(self, src: int, rel: str) -> DataFrame:
@@ -127,6 +133,11 @@ class Graph:
         own = self.edges.where(F.col("rel") == rel)
         return sets.ids(own.join(ids.select(F.col("obj_id").alias("at")), own[near] == F.col("at"), "left_semi"), far)
 
+    def related(self, pairs: DataFrame, rel: str) -> DataFrame:
+        """``src, dst, related`` of pairs of ids."""
+        met = self.edges.where(F.col("rel") == rel).select("src", "dst", F.lit(True).alias("met")).distinct()
+        return pairs.select("src", "dst").join(met, ["src", "dst"], "left").select("src", "dst", F.coalesce("met", F.lit(False)).alias("related"))
+
     def has_relationship(self, src: int, rel: str, dst: int) -> bool:
         return not self.edges.where((F.col("src") == src) & (F.col("rel") == rel) & (F.col("dst") == dst)).isEmpty()
 

@@ -1,7 +1,8 @@
 """Ordered, versioned key/value collections over an append-only log.
 
 A log has ``collection, key, value, txn_id, seq, is_deleted, generation``. What a snapshot sees of a key is its version
-of the highest ``(txn_id, seq)`` not above the snapshot, in whatever generation it lies; a tombstone hides the key.
+of the highest ``(txn_id, seq)`` not above the snapshot, in whatever generation it lies; of versions that are equal in both that
+of the highest generation, then a tombstone, then the greatest value. A tombstone hides the key.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ def latest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """``collection, key, value, txn_id`` as a snapshot sees them. One aggregation, combined before its shuffle."""
     if snapshot is not None:
         log = log.where(F.col("txn_id") <= snapshot)
-    newest = F.max_by(F.struct("value", "is_deleted", "txn_id"), F.struct("txn_id", "seq")).alias("v")
+    newest = F.max_by(F.struct("value", "is_deleted", "txn_id"), F.struct("txn_id", "seq", "generation", "is_deleted", "value")).alias("v")
     return log.groupBy("collection", "key").agg(newest).where("not v.is_deleted").select("collection", "key", "v.value", "v.txn_id")
 
 

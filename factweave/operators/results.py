@@ -19,12 +19,29 @@ def page(rows: DataFrame, order: str, number: int = PAGE, size: int = SIZE) -> D
     return rows.orderBy(order).offset((number - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, order: str, last=None, size: int = SIZE) -> DataFrame:
+    """The page that follows the key ``last`` (the first one if there is none): it costs the same however far in it lies."""
+    return page(rows if last is None else rows.where(F.col(order) > last), order, PAGE, size)
+
+
+def page_totals(rows: DataFrame, number: int = PAGE, size: int = SIZE) -> DataFrame:
+    """One row: ``total_results, total_pages, page, results_in_page``."""
+    if number < 1 or size < 1:
+        raise ValueError("pages count from 1, and have at least one row")
+    total = F.col("total_results")
+    return rows.agg(F.count(F.lit(1)).alias("total_results")).select(
+        "total_results", F.ceil(total / size).cast("long").alias("total_pages"), F.lit(number).cast("long").alias("page"), F.greatest(F.lit(0), F.least(F.lit(size), total - (number - 1) * size)).cast("long").alias("results_in_page")
+    )
+
+
 def objects_map(props: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """``obj_id, object``: a map from field to value as text. Relationships are left out, and so are objects without properties."""
     if ids is not None:
         props = props.join(ids, "obj_id", "left_semi")
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", value_text().alias("value")))))
-    return props.groupBy("obj_id").agg(entries.alias("object"))
+    entries = F.sort_array(F.collect_list(F.struct("field", value_text().alias("value"))), asc=False)
+    # a field has one value; of several that were written side by side the greatest text
+    one = F.filter("entries", lambda e, i: (i == 0) | (F.get(F.col("entries"), i - 1)["field"] != e["field"]))
+    return props.groupBy("obj_id").agg(entries.alias("entries")).select("obj_id", F.map_from_entries(F.reverse(one)).alias("object"))
 
 
 def objects_wide(props: DataFrame, fields: list[str], ids: DataFrame | None = None) -> DataFrame:
@@ -53,6 +70,13 @@ class ResultSet:
         """Objects of a page by ascending id; only the ids of the page meet the facts."""
         return objects_map(self.props, page(self._real(), "obj_id", number, size)).orderBy("obj_id")
 
+    def page_after(self, last: int | None = None, size: int = SIZE) -> DataFrame:
+        """Objects of the page whose ids follow ``last``."""
+        return objects_map(self.props, page_after(self._real(), "obj_id", last, size)).orderBy("obj_id")
+
+    def totals(self, number: int = PAGE, size: int = SIZE) -> DataFrame:
+        return page_totals(self._real(), number, size)
+
     def objects(self) -> DataFrame:
         return objects_map(self.props, self.ids)
 
