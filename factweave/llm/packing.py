@@ -60,12 +60,17 @@ class WordTokenizer:
     The tokenizer drops white space and joins nothing across it, and its normaliser maps characters one by one or
     together with marks that follow them, so a text cut at blanks and line ends has the ids of its words in turn.
     Words of printable Latin letters, on which normal forms have no effect, are lowered and cut by the tokenizer's own
-    pattern here, and its model is asked for each new piece; any other word goes through the whole tokenizer.
+    pattern here, and its model is asked for each new piece; any other word goes through the whole tokenizer. Where the
+    content of an added token stands in a text, that is its one id, and what is before and after is encoded by itself, as the tokenizer does.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {str(t): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that depend on what is around them are not supported")
+        self.added = {text: i.to_bytes(4, "little") for text, i in added.items()}
+        self.parts = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.model = self.tokenizer.model
         split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
         self.cut = regex.compile(split["pattern"]["Regex"]).findall
@@ -85,6 +90,16 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if not any(token in text for token in self.added):
+            return self._plain(text)
+        out, at = [], 0
+        for found in self.parts.finditer(text):
+            out += (self._plain(text[at : found.start()]), self.added[found[0]])
+            at = found.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         text = text.replace("\n", " ")
         if len(text) <= AT_ONCE:
             return b"".join(map(self.words.__getitem__, text.split(" ")))

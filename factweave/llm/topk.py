@@ -9,7 +9,7 @@ narrow those still undecided. Rows that tie on the boundary are resolved exactly
 Vectors that are null or hold null or non-finite components take no part, nor do rows without an id; vectors of
 other lengths than the query's are no candidates for it. A query's own rows (those with its id) are no candidates.
 Of repeated query ids the first vector, in the order of its components, is asked. Repeated candidate rows stay
-candidates each. Extra columns are not looked at.
+candidates each. Extra columns are not looked at. Scores are exact while integer components and scores fit in 64 bits.
 """
 
 from __future__ import annotations
@@ -130,22 +130,28 @@ def _packed(rows: DataFrame, most: int) -> DataFrame:
     """Rows of one length, packed: ``n, dims, ids, values`` with at most ``most`` vectors in each."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def out(dims: int) -> pa.RecordBatch:
+        def out(dims: int) -> Iterator[pa.RecordBatch]:
             own = held.pop(dims)
-            ids = np.array([i for i, _ in own], np.int64)
-            values = np.array([v for _, v in own], np.int64).reshape(len(own), dims)
-            small = np.int16 if not values.size or (abs(int(values.min())) < 1 << 15 and abs(int(values.max())) < 1 << 15) else np.int64
-            return pa.RecordBatch.from_pydict({"n": pa.array([len(own)], pa.int64()), "dims": pa.array([dims], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([values.astype(small).tobytes()], pa.binary())})
+            ids, values = np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own])
+            for lo in range(0, len(ids), most):
+                n, some = min(most, len(ids) - lo), values[lo : lo + most]
+                small = np.int16 if not some.size or -(1 << 15) < int(some.min()) and int(some.max()) < 1 << 15 else np.int64
+                yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "dims": pa.array([dims], pa.int32()), "ids": pa.array([ids[lo : lo + n].tobytes()], pa.binary()), "data": pa.array([some.astype(small).tobytes()], pa.binary())})
 
         for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) >= most:
-                    yield out(len(v))
+            ids, vectors = batch.column("vec_id").to_numpy(), batch.column("v")
+            flat, length = vectors.flatten().to_numpy(), vectors.value_lengths().to_numpy()
+            begins = np.cumsum(length) - length
+            for dims in np.unique(length).tolist():
+                rows = np.flatnonzero(length == dims)
+                values = flat[begins[rows][:, None] + np.arange(dims)] if dims else np.zeros((len(rows), 0), np.int64)
+                held.setdefault(dims, []).append((ids[rows], values))
+                if sum(len(i) for i, _ in held[dims]) >= most:
+                    yield from out(dims)
         for dims in list(held):
-            yield out(dims)
+            yield from out(dims)
 
     return rows.mapInArrow(part, "n long, dims int, ids binary, data binary")
 
@@ -155,12 +161,11 @@ def _values(data: bytes, n: int, dims: int) -> np.ndarray:
     return np.frombuffer(data, np.int64 if wide else np.int16).reshape(n, dims).astype(np.int64)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int = BLOCK_ROWS, chunk: int | None = None) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k best of ``vectors`` for each of ``queries`` (both from ``quantised()``).
+def tasks_of(vectors: DataFrame, queries: DataFrame, block_rows: int, chunk: int | None) -> DataFrame:
+    """A row for each packed block of vectors and chunk of queries that meet: those of one length.
 
-    The stated query set is asked of all rows, block by block: blocks and chunks of queries are each one packed row,
-    so what is shipped is the vectors once for each chunk, and no pair becomes a row but the k best of a block. Chunks
-    (``chunk`` queries) are as large as leaves four tasks for each core, so that blocks are shipped to few of them.
+    Which meet is settled by their numbers alone; data are joined by block, by chunk and then by both, so no task
+    gets more than its blocks and chunks, though all vectors have one length.
     """
     once = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n_rows, n_queries = vectors.count(), once.count()
@@ -168,11 +173,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     chunk = chunk or max(FEWEST, min(MOST, n_queries * n_blocks // (4 * cores)))
     n_chunks = -(-n_queries // chunk) or 1
-    blocks = checkpoint(_packed(vectors.repartition(n_blocks), block_rows))
+    blocks = checkpoint(_packed(vectors.repartition(n_blocks), block_rows).withColumn("block", F.monotonically_increasing_id()), few=False)
     chunks = _packed(once.repartition(n_chunks), chunk).withColumn("chunk", F.monotonically_increasing_id())
-    chunks = checkpoint(chunks.select("chunk", "dims", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
-    blocks = blocks.withColumn("block", F.monotonically_increasing_id())
-    tasks = blocks.join(chunks, "dims").repartition(max(n_blocks * n_chunks, 1), "block", "chunk")
+    chunks = checkpoint(chunks.select("chunk", "dims", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), few=False)
+    pairs = checkpoint(blocks.select("block", "dims").join(chunks.select("chunk", "dims"), "dims").select("block", "chunk"))
+    asked = pairs.join(chunks.drop("dims"), "chunk")
+    return pairs.join(blocks, "block").repartition(max(n_blocks * n_chunks, 1), "block", "chunk").join(asked, ["block", "chunk"])
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, block_rows: int = BLOCK_ROWS, chunk: int | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k best of ``vectors`` for each of ``queries`` (both from ``quantised()``).
+
+    The stated query set is asked of all rows, block by block: blocks and chunks of queries are each one packed row,
+    so what is shipped is the vectors once for each chunk, and no pair becomes a row but the k best of a block. Chunks
+    (``chunk`` queries) are as large as leaves four tasks for each core, so that blocks are shipped to few of them.
+    """
+    tasks = tasks_of(vectors, queries, block_rows, chunk)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index = None, None

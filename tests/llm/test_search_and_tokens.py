@@ -8,6 +8,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factweave.llm import bpe, packing, topk
@@ -78,9 +79,7 @@ def test_model_needs_whole_ranks():
 # packing
 @pytest.fixture(scope="module")
 def words():
-    whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    whole.encode_special_tokens = True
-    return whole
+    return Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
 
 
 @settings(max_examples=300, deadline=None)
@@ -90,6 +89,13 @@ def test_word_tokenizer_like_the_whole_one(words, text):
     assert np.frombuffer(own, "<u4").tolist() == words.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a<|endoftext|>b", "A <|startoftext|><|endoftext|> é<|endoftext", "<|ENDOFTEXT|>", "x<|endoftext|>\u0301y", "ΣΑ<|endoftext|>Σ", "<|startoftext|>\n" * 3, "<|start<|endoftext|>oftext|>"])
+def test_added_tokens(words, text):
+    own = np.frombuffer(packing.tokenizer(public_tokenizers.path(packing.VOCABULARY)).encode(text), "<u4").tolist()
+    assert own == words.encode(text, add_special_tokens=False).ids
+    assert ("<|endoftext|>" in text) == (49407 in own) and ("<|startoftext|>" in text) == (49406 in own)
+
+
 def check_packing(rows, texts, words, size):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -172,6 +178,22 @@ def test_search(spark):
     assert {q: sorted(x) for q, x in found.items()} == expected
 
 
+def test_blocks_meet_chunks_in_many_tasks(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(-3, 4, (500, 4)).astype(float)
+    fine = topk.quantised(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>"))
+    found = topk.search(fine, fine.where("vec_id % 5 = 0"), block_rows=50, chunk=10)
+    rows = found.collect()
+    expected = brute([(i, np.floor(256 * v).astype(int)) for i, v in enumerate(base)], [(i, np.floor(256 * base[i]).astype(int)) for i in range(0, 500, 5)], 5)
+    own = defaultdict(list)
+    for r in rows:
+        own[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert {q: sorted(x) for q, x in own.items()} == expected
+    tasks = topk.tasks_of(fine, fine.where("vec_id % 5 = 0"), 50, 10)
+    dealt = tasks.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in dealt) >= 100 and len(dealt) > 40 and max(r["count"] for r in dealt) < 12
+
+
 def test_search_edges(spark):
     empty = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.search(empty, empty).count() == 0
