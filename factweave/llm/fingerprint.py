@@ -7,7 +7,8 @@ bound of its own, and two are compared up to the smaller of their bounds. A fing
 hexadecimal digits each; equal texts have equal ones; a text without words has "".
 
 Null texts count as empty. Rows with a null id are fingerprinted like any others and stand after all ids in the
-descending order. Rows with the same id follow one another in the order of their texts. Extra columns are not looked at.
+descending order. Rows with the same id follow one another in the order of their compressed texts, the same in each run; they, and
+all rows without an id, are sorted in one task. Extra columns are not looked at.
 """
 
 from __future__ import annotations

@@ -401,6 +401,42 @@ def test_sketches_merge():
     assert (sa == sab).all() and set(fingerprint.merged(sa, sb)) == set(sa) | set(sb)
 
 
+def plain_sketch(text):
+    """The kept hashes of a text, from its words one by one."""
+    h, mask = common.WORD_HASH, (1 << 64) - 1
+    mixed = lambda x: int(common.mix(np.array([x], np.uint64))[0])
+    w = [mixed(sum(int(h.table[b]) * pow(h.base, k, 1 << 64) for k, b in enumerate(x.encode())) & mask) for x in WORD.findall(lowered(text))]
+    found = set()
+    for k in range(max(1, len(w) - 4)) if w else ():
+        x = 0
+        for y in w[k : k + 5]:
+            x = (x * 0x9E3779B97F4A7C15 + y) & mask
+        found.add(mixed(x) >> 16)
+    found = sorted(found)
+    return [x for k, x in enumerate(found) if x < (1 << 48) // 8 or k < 16]
+
+
+def plain_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    bound = min((1 << 48) if len(x) < 16 else max((1 << 48) // 8, x[-1] + 1) for x in (a, b))
+    a, b = ({y for y in x if y < bound} for x in (a, b))
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_fingerprints_from_scratch(spark):
+    rows = [(i, t) for i, t in corpus(31, 60) if i is not None]
+    rows = sorted(dict(rows).items(), reverse=True)
+    found = {r["doc_id"]: r for r in fingerprint.against_edits(documents(spark, rows).withColumn("near_next", fingerprint.F.lit("x"))).collect()}
+    for n, (i, t) in enumerate(rows):
+        text, after = t or "", rows[(n + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        own, changed, following = plain_sketch(text), plain_sketch(text[: len(text) - half] + after[:half]), plain_sketch(after)
+        assert found[i]["fingerprint"] == "".join(f"{x:012x}" for x in own)
+        assert found[i]["edited_fingerprint"] == "".join(f"{x:012x}" for x in changed)
+        assert abs(found[i]["near_edited"] - plain_likeness(own, changed)) < 1e-12 and abs(found[i]["near_next"] - plain_likeness(own, following)) < 1e-12
+
+
 # licenses
 def test_licenses_against_sql(spark):
     rng = random.Random(12)
@@ -602,3 +638,47 @@ def test_trees_separate():
     model = quality.fit(x, y)
     fresh = rng.normal(size=(1000, 4))
     assert ((model.score(fresh) > 0.5) == ((fresh[:, 0] > 0) ^ (fresh[:, 2] > 0.5))).mean() > 0.95
+
+
+def test_trees_are_walked_node_by_node():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 5)).round(1)
+    model = quality.fit(x, (x[:, 1] + x[:, 3] > 0.3).astype(float), trees=12, depth=3)
+    for row, score in zip(x, model.score(x)):
+        total = model.base
+        for feature, limit, leaf in zip(model.feature, model.limit, model.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > limit[node] else 1)
+            total += leaf[node - len(feature)]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def test_first_split_is_the_best_of_all():
+    """Against every feature and every limit between values."""
+    rng = np.random.default_rng(2)
+    for _ in range(5):
+        x = rng.integers(0, 12, (200, 4)).astype(float)
+        y = (rng.random(200) < 0.2 + 0.5 * (x[:, 2] > rng.integers(2, 9))).astype(float)
+        model = quality.fit(x, y, trees=1, depth=1)
+        p = y.mean()
+        g, h = p - y, np.full(len(y), p * (1 - p))
+
+        def gain(f, limit):
+            left = x[:, f] <= limit
+            return sum(g[m].sum() ** 2 / (h[m].sum() + quality.RIDGE) for m in (left, ~left)) if 0 < left.sum() < len(y) else 0
+
+        best = max(gain(f, v) for f in range(4) for v in np.unique(x[:, f]))
+        assert abs(gain(model.feature[0, 0], model.limit[0, 0]) - best) < 1e-9
+
+
+def test_statistics_of_a_text():
+    text = "Abc abc abc! 12 é\n\nWonderfullyLong, x"
+    found = dict(zip(quality.FEATURES, quality.statistics(pa.array([text]))[0]))
+    data, w = text.encode(), text.split()
+    assert found["log_bytes"] == np.log1p(len(data)) and found["log_words"] == np.log1p(len(w))
+    assert found["word_length"] == sum(len(x.encode()) for x in w) / len(w) and found["distinct"] == len(set(w)) / len(w)
+    assert found["repeated"] == sum(a == b for a, b in zip(w, w[1:])) / len(w) and found["commonest"] == max(w.count(x) for x in w) / len(w)
+    assert found["capitals"] == sum(x[0].isupper() for x in w) / len(w) and found["long_words"] == sum(len(x.encode()) > 12 for x in w) / len(w)
+    assert found["digit"] == 2 / len(data) and found["line"] == 2 / len(data) and found["beyond"] == 2 / len(data)
+    assert quality.statistics(pa.array(["", None])).sum() == 0
