@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(at)
-        return at
-    if (own := spark.sparkContext.getCheckpointDir()) is None:
-        spark.sparkContext.setCheckpointDir(own := "file://" + tempfile.mkdtemp(prefix="factweave-"))
-    return own
+from factweave.sources.scratch import shared_dir
 
 
 def few_files(df: DataFrame) -> DataFrame:
@@ -36,7 +25,7 @@ def checkpoint(df: DataFrame, few: bool = True) -> DataFrame:
 
     ``few``: in few files. Not where a function of ``df`` asks for its partition's number, which several would then share.
     """
-    scratch_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return (few_files(df) if few else df).checkpoint()
 
 
@@ -44,13 +33,19 @@ def checkpoint(df: DataFrame, few: bool = True) -> DataFrame:
 _SCRATCH: list[str] = []
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Deletes the scratch tables written so far, once results that stand on them have been read; how many there were."""
-    n = len(_SCRATCH)
-    while _SCRATCH:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+def scratch_tables() -> list[str]:
+    """The scratch tables that are there now."""
+    return list(_SCRATCH)
+
+
+def drop_scratch(spark: SparkSession, but: Collection[str] = ()) -> int:
+    """Deletes the scratch tables written so far, but for those named, once results that stand on them have been read; how many there were."""
+    gone = [at for at in _SCRATCH if at not in but]
+    for at in gone:
+        _SCRATCH.remove(at)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
 
 
 def written(df: DataFrame, few: bool = True) -> DataFrame:
@@ -58,7 +53,7 @@ def written(df: DataFrame, few: bool = True) -> DataFrame:
 
     ``few``: in few files, for tables that are small beside their input.
     """
-    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/factweave-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/factweave-{uuid.uuid4().hex}"
     _SCRATCH.append(path)
     (few_files(df) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -286,11 +286,11 @@ def wave_edges(first: DataFrame, wave: int, labels: DataFrame | None) -> DataFra
     large = written(parted(rows).join(sketch, "node").select("bucket", "node", "label", "sketch"))
     small[0] = small[0].join(sketch, "node").select("bucket", "node", "label", "sketch")
     while not large.isEmpty():
-        passed = written(split(large))
+        passed = written(split(large), few=False)
         edges.append(passed.where("node is null").select("a", "b"))
         large = written(parted(passed.where("node is not null").select("bucket", "node", "label", "sketch").dropDuplicates(["bucket", "node"])))
     out = candidate_edges(reduce(DataFrame.unionByName, small))
-    return written(reduce(DataFrame.unionByName, edges, out))
+    return written(reduce(DataFrame.unionByName, edges, out), few=False)
 
 
 def _packed(tokens: np.ndarray) -> bytes:
@@ -421,7 +421,7 @@ def join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> D
     classes = written(classes.select("key1", "key2", F.col("first.at").alias("first_at"), F.col("first.row").alias("first_row"), "copies"))
     own = classes.select("key1", "key2", F.col("first_at").alias("at"), F.col("first_row").alias("row"))
     first = found.join(own, ["key1", "key2", "at", "row"], "left_semi")
-    first = written(first.select(F.col("key1").alias("node"), "sketch", *(f"tops{w}" for w in range(len(waves)))))
+    first = written(first.select(F.col("key1").alias("node"), "sketch", *(f"tops{w}" for w in range(len(waves)))), few=False)
     near = None
     for wave in range(len(waves)):
         edges = wave_edges(first, wave, near)
@@ -434,7 +434,7 @@ def join(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) -> D
     wanted = written(wanted)
     # texts are dealt out by id at every size, so the join costs the same share of the input
     own = texts.hint("merge").join(wanted, texts["at"] == wanted["first_at"]).select("key1", "key2", "copies", "component", "lot", "lots", "text")
-    linked = written(verified(own, jaccard))
+    linked = written(verified(own, jaccard), few=False)
     joined = components(linked.where("root <> key1").select(F.col("key1").alias("a"), F.col("root").alias("b")))
     sums = linked.groupBy("key1", "key2").agg(F.sum("links").alias("links"), F.sum("linked_sets").alias("linked_sets"))
     sums = sums.join(joined, sums["key1"] == joined["node"], "left").select("key1", "key2", "links", "linked_sets", F.coalesce("component", "key1").alias("component"))

@@ -481,10 +481,16 @@ WITH docs AS (
   SELECT doc_id, o, substr(x, CAST(2 * o + 1 AS BIGINT), {2 * (CHUNK + MATCH - 1)}) AS part FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2, {CHUNK})) AS o FROM docs)
 ), strings AS (
   SELECT doc_id, o + i AS i, substr(part, CAST(2 * i + 1 AS BIGINT), {2 * MATCH}) AS s FROM (SELECT doc_id, o, part, unnest(range(least({CHUNK}, len(part) // 2 - {MATCH - 1}))) AS i FROM cut WHERE len(part) >= {2 * MATCH})
+), hashed AS MATERIALIZED (
+  SELECT doc_id, i, hash(s) AS h, s FROM strings
+), often AS (
+  SELECT h FROM hashed GROUP BY h HAVING min(doc_id) < max(doc_id)
+), met AS MATERIALIZED (
+  SELECT doc_id, i, s FROM hashed WHERE h IN (SELECT h FROM often)
 ), first AS (
-  SELECT s, min(doc_id) AS doc_id FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)
+  SELECT s, min(doc_id) AS doc_id FROM met GROUP BY s
 ), starts AS (
-  SELECT a.doc_id, a.i FROM strings AS a JOIN first AS f ON a.s = f.s WHERE f.doc_id < a.doc_id
+  SELECT a.doc_id, a.i FROM met AS a JOIN first AS f ON a.s = f.s WHERE f.doc_id < a.doc_id
 ), runs AS (
   SELECT doc_id, min(i) AS begin, max(i) + {MATCH} AS after FROM (
     SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
