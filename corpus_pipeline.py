@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import jaccard, lines, packing, quality, suffixes
-from factweave.llm.common import table, written
+from factweave.llm.common import drop_scratch, scratch_tables, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -65,7 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over the whole table. Scratch tables of a stage go when the next one's input is written."""
+    others = scratch_tables()
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), few=False)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        drop_scratch(spark, [*others, scratch_tables()[-1]])
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # of checkpoints
+    drop_scratch(spark, others)
+    return packed
