@@ -1,8 +1,11 @@
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from factweave.llm import quality
+from factweave.llm import lines, packing, quality
+from tests.llm.test_search_and_tokens import check_packing
 from tests.llm.test_texts import corpus, joined, without_repeats
 
 
@@ -31,6 +34,34 @@ def test_long_lines_go_alone(spark, sf):
     assert {r["doc_id"]: r["text"] for r in kept} == {1: f"a\n{long}\nb", 2: "c\nd", 3: ""}
 
 
+def test_lines_go_as_brute_force_says(spark, sf):
+    long = ["l" * 220, "m " * 150]
+    rows = [(i, t if t is None or i % 3 else f"{long[i % 2]}\n{t}\n{long[1]}") for i, t in corpus(23, 60) if i is not None]
+    rows = sorted(dict(rows).items())
+    expected, windows, alone = {}, set(), set()
+    for i, t in rows:
+        every = [] if t is None else t.split("\n")
+        at = [k for k, x in enumerate(every) if x.strip(" \t\r")]
+        ink = [every[k].strip(" \t\r") for k in at]
+        gone = set()
+        for n, x in enumerate(ink):
+            if len(x.encode()) >= lines.ALONE:
+                gone |= {at[n]} if x in alone else set()
+                alone.add(x)
+            if n + 1 < len(ink):
+                gone |= {at[n], at[n + 1]} if (x, ink[n + 1]) in windows else set()
+                windows.add((x, ink[n + 1]))
+        expected[i] = None if t is None else "\n".join(x for k, x in enumerate(every) if k not in gone)
+    assert {r["doc_id"]: r["text"] for r in cp.line_stage(spark, frame(spark, rows), sf).collect()} == expected
+    assert sum(expected[i] != t for i, t in rows) > 10
+
+
+def test_packing_stage_as_the_whole_tokenizer(spark, sf):
+    texts = dict(dict((i, t) for i, t in corpus(24, 60) if i is not None))
+    words = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    check_packing(cp.packing_stage(spark, frame(spark, texts.items()), sf).collect(), texts, words, packing.WINDOW)
+
+
 def test_near_duplicates_keep_one_of_each_group(spark, sf):
     rows = corpus(21)
     kept = cp.near_duplicate_stage(spark, frame(spark, rows), sf).collect()
