@@ -29,6 +29,20 @@ def checkpoint(df: DataFrame, few: bool = True) -> DataFrame:
     return (few_files(df) if few else df).checkpoint()
 
 
+def dealt(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """``df`` in n partitions by columns, checkpointed so that later steps know it and don't deal it out again.
+
+    It is planned without adaptive execution, whose plans don't tell how they are partitioned.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpoint(df.repartition(n, *by), few=False)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 #: Scratch tables that this process has written.
 _SCRATCH: list[str] = []
 

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import RollingHash, checkpoint, mix, parts_for, strings, table, text_bytes, written
+from factweave.llm.common import RollingHash, checkpoint, dealt, mix, parts_for, strings, table, text_bytes, written
 
 MATCH, Q = 50, 25
 CHOICE = MATCH - Q + 1
@@ -444,8 +444,8 @@ def without_repeats(docs: DataFrame, kind: str = "kept") -> DataFrame:
             z = pa.array([pack(t.as_buffer()) for t in strings(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "at", "rest")), z], ["block", "at", "rest", "packed"])
 
-    # the copy in the shared folder keeps its partitioning, so no level deals the texts out again
-    blocks = checkpoint(rows.mapInArrow(packed, rows.drop("text").withColumn("packed", F.lit(None).cast("binary")).schema).repartition(n, "block"), few=False)
+    # no level deals the texts out again
+    blocks = dealt(rows.mapInArrow(packed, rows.drop("text").withColumn("packed", F.lit(None).cast("binary")).schema), n, "block")
 
     def answered(asked: DataFrame, level: int) -> DataFrame:
         return checkpoint(asked.repartition(n, "range").groupBy("range").applyInArrow(_answer(level), ANSWER), few=False)

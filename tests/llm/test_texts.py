@@ -682,3 +682,10 @@ def test_statistics_of_a_text():
     assert found["capitals"] == sum(x[0].isupper() for x in w) / len(w) and found["long_words"] == sum(len(x.encode()) > 12 for x in w) / len(w)
     assert found["digit"] == 2 / len(data) and found["line"] == 2 / len(data) and found["beyond"] == 2 / len(data)
     assert quality.statistics(pa.array(["", None])).sum() == 0
+
+
+def test_dealt_tables_stay_where_they_are(spark):
+    df = common.dealt(spark.range(100).selectExpr("CAST(id % 7 AS INT) AS block", "id"), 6, "block")
+    assert df.rdd.getNumPartitions() == 6 and df.count() == 100
+    plan = df.groupBy("block").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and spark.conf.get("spark.sql.adaptive.enabled") == "true"
