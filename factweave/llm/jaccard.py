@@ -276,7 +276,7 @@ def wave_edges(first: DataFrame, wave: int, labels: DataFrame | None) -> DataFra
         small.append(rows.join(spread.where(F.col("n") <= SMALL), "bucket", "left_semi"))
         return rows.join(spread.where(F.col("n") > SMALL), "bucket", "left_semi")
 
-    rows = first.select(F.explode(f"tops{wave}").alias("bucket"), "node").distinct()
+    rows = first.select(F.explode(f"tops{wave}").alias("bucket"), "node")  # a node chooses no bucket twice, here or below
     if labels is None:
         rows = rows.withColumn("label", F.col("node"))
     else:  # only what is shared at all meets the labels
@@ -288,7 +288,7 @@ def wave_edges(first: DataFrame, wave: int, labels: DataFrame | None) -> DataFra
     while not large.isEmpty():
         passed = written(split(large), few=False)
         edges.append(passed.where("node is null").select("a", "b"))
-        large = written(parted(passed.where("node is not null").select("bucket", "node", "label", "sketch").dropDuplicates(["bucket", "node"])))
+        large = written(parted(passed.where("node is not null").select("bucket", "node", "label", "sketch")))
     out = candidate_edges(reduce(DataFrame.unionByName, small))
     return written(reduce(DataFrame.unionByName, edges, out), few=False)
 
