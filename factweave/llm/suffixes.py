@@ -42,7 +42,7 @@ from factweave.llm.common import RollingHash, checkpoint, dealt, mix, parts_for,
 MATCH, Q = 50, 25
 CHOICE = MATCH - Q + 1
 FIRST, SECOND = RollingHash(41), RollingHash(43)
-BLOCK_BYTES, PART_BYTES, PIECE_BYTES = 16 << 20, 4 << 20, 1 << 18
+BLOCK_BYTES, PART_BYTES, PIECE_BYTES = 16 << 20, 2 << 20, 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
 _CUT = np.uint64(48)
@@ -276,26 +276,19 @@ Sent = tuple[np.ndarray, list[np.ndarray] | None, np.ndarray | None]
 def _asked(number: int, n_ranges: int, sent: list[Sent]) -> pa.Table:
     """What a block asks each range: the names, whole names and ids of its parts. Names that are the first half of whole ones aren't sent twice."""
     twice = sent[0][1] is not None and sent[0][0] is sent[0][1][0]
-    names = np.concatenate([x[0] for x in sent])
-    ranges = range_of(names, n_ranges)
-    part = np.repeat(np.arange(len(sent)), [len(x[0]) for x in sent])
-    order = np.argsort(ranges, kind="stable")
-    names, ranges, part = names[order], ranges[order], part[order]
-    whole = None if sent[0][1] is None else [np.concatenate([x[1][k] for x in sent])[order] for k in range(2)]
-    ids = None if sent[0][2] is None else np.concatenate([x[2] for x in sent])[order]
-    at = np.flatnonzero(_groups(ranges)) if len(ranges) else np.zeros(0, np.int64)
-    rows = [
-        (
-            int(ranges[lo]),
-            number,
-            np.bincount(part[lo:hi], minlength=len(sent)).astype(np.int32).tobytes(),
-            b"" if twice else _thin(names[lo:hi], BUCKET),
-            b"" if whole is None else _thin(whole[0][lo:hi], ONE) + _thin(whole[1][lo:hi], TWO),
-            b"" if ids is None else _near(ids[lo:hi]),
-        )
-        for lo, hi in zip(at.tolist(), np.append(at[1:], len(ranges)).tolist())
-    ]
-    columns = list(zip(*rows)) or [()] * 6
+    # the names of each part are sorted, so those of a range are a slice of it
+    cuts = [np.searchsorted(range_of(x[0], n_ranges), np.arange(n_ranges + 1)) for x in sent]
+    columns: list[list] = [[] for _ in range(6)]
+    for r in range(n_ranges):
+        at = [slice(c[r], c[r + 1]) for c in cuts]
+        counts = np.array([x.stop - x.start for x in at], np.int32)
+        if counts.any():
+            of = lambda pick: np.concatenate([pick(x)[k] for x, k in zip(sent, at)])
+            names = b"" if twice else _thin(of(lambda x: x[0]), BUCKET)
+            whole = b"" if sent[0][1] is None else _thin(of(lambda x: x[1][0]), ONE) + _thin(of(lambda x: x[1][1]), TWO)
+            ids = b"" if sent[0][2] is None else _near(of(lambda x: x[2]))
+            for column, value in zip(columns, (r, number, counts.tobytes(), names, whole, ids)):
+                column.append(value)
     return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["range", "block", "counts", "names", "whole", "ids"])
 
 

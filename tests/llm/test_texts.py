@@ -689,3 +689,18 @@ def test_dealt_tables_stay_where_they_are(spark):
     assert df.rdd.getNumPartitions() == 6 and df.count() == 100
     plan = df.groupBy("block").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_texts_of_many_megabytes(spark):
+    rng = random.Random(41)
+    text = "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(30_000))
+    n = len(text)
+    rows = [(1, text), (2, text + "\nReleased under the MIT license"), (3, "another text")]
+    assert n > 2_500_000
+    df = documents(spark, rows).withColumn("n_lines_removed", fingerprint.F.lit("clash")).cache()
+    assert {r["doc_id"]: (r["n_lines_removed"], r["text"]) for r in lines.dedup(df).where("doc_id > 1").collect()} == {2: (30_000, "Released under the MIT license"), 3: (0, "another text")}
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffixes.without_repeats(df, "kept_sha256").collect()} == {1: (0, 0), 2: (n, 1), 3: (0, 0)}
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    found = {r["doc_id"]: (r["n_words"], r["labels"], r["first_word"]) for r in licenses.scan(df).collect()}
+    assert found == {1: (360_000, "", None), 2: (360_005, "mit", 360_003), 3: (2, "", None)}
+    assert {r["doc_id"]: r["near_next"] > 0.99 for r in fingerprint.against_edits(df).collect()} == {1: False, 2: True, 3: False}
