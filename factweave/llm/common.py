@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Collection, Iterator
 
@@ -87,6 +88,14 @@ def parts_for(spark: SparkSession, n_bytes: int, per_part: int = 8 << 20) -> int
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // per_part), 1)
 
 
+def let_go(out: pa.Table) -> pa.Table:
+    """``out``, once the memory freed on the way to it has gone back to the system: else a worker keeps it for as long as it is reused."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+        trim(0)
+    return out
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column without nulls (null: empty), as one array with 64-bit offsets."""
     if isinstance(column, pa.ChunkedArray):

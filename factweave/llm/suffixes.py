@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import RollingHash, checkpoint, dealt, mix, parts_for, strings, table, text_bytes, written
+from factweave.llm.common import RollingHash, checkpoint, dealt, let_go, mix, parts_for, strings, table, text_bytes, written
 
 MATCH, Q = 50, 25
 CHOICE = MATCH - Q + 1
@@ -160,7 +160,8 @@ class Block:
             names = Names(self.data[begin:end])
             initial = names.initial()
             first, last, chosen = stretches(initial, ends)
-            found.append([first + begin, last + begin, initial[chosen], *([names.stretch(0, first, last), names.stretch(1, first, last) >> _CUT] if whole else [])])
+            # the least of many names is small; mixed anew, buckets spread evenly over ranges
+            found.append([first + begin, last + begin, mix(initial[chosen] + _STEP), *([names.stretch(0, first, last), names.stretch(1, first, last) >> _CUT] if whole else [])])
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 3
         self.first, self.last, self.bucket = columns[:3]
         self.name = columns[3:5]
@@ -441,13 +442,13 @@ def without_repeats(docs: DataFrame, kind: str = "kept") -> DataFrame:
     blocks = dealt(rows.mapInArrow(packed, rows.drop("text").withColumn("packed", F.lit(None).cast("binary")).schema), n, "block")
 
     def answered(asked: DataFrame, level: int) -> DataFrame:
-        return checkpoint(asked.repartition(n, "range").groupBy("range").applyInArrow(_answer(level), ANSWER), few=False)
+        return checkpoint(asked.repartition(n, "range").groupBy("range").applyInArrow(lambda rows: let_go(_answer(level)(rows)), ANSWER), few=False)
 
     def with_answers(known: DataFrame, f: Callable, schema) -> DataFrame:
-        return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(f, schema)
+        return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda rows, right: let_go(f(rows, right)), schema)
 
     light = blocks.select("block", "at", "packed")
-    known = answered(light.groupBy("block").applyInArrow(lambda rows: _ask(n, 1)(rows), ASK), 1)
+    known = answered(light.groupBy("block").applyInArrow(lambda rows: let_go(_ask(n, 1)(rows)), ASK), 1)
     for level in (2, 3):
         known = known.unionByName(answered(with_answers(known, _ask(n, level), ASK), level))
     schema = docs.select(*names).withColumns({**{c: F.lit(0).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}, kind: F.lit(None).cast(KEPT[kind])}).schema

@@ -129,6 +129,17 @@ def test_suffixes_in_parts(spark, monkeypatch):
     assert own == sorted(without_repeats(rows), key=key)
 
 
+def test_buckets_spread_over_ranges():
+    """Buckets are named after the least of many names, but no range gets more than its share."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(20_000)) for _ in range(10)]
+    packed = pa.table({"packed": pa.array([suffixes.zstandard.ZstdCompressor().compress(t.encode()) for t in texts], pa.binary()), "at": pa.array(range(10), pa.int64())})
+    block = suffixes.Block(packed, 12)
+    block.find(False)
+    share = np.bincount(block.ranges(block.buckets()), minlength=12) / len(block.sorted)
+    assert len(share) == 12 and share.max() < 1.25 / 12
+
+
 def test_suffixes_as_text(spark):
     shared = "ü" * 40  # 80 bytes: cut in the middle of characters
     rows = [(1, shared), (2, "x" + shared + "é end"), (3, None)]
