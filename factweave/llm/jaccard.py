@@ -227,16 +227,28 @@ def candidate_edges(members: DataFrame) -> DataFrame:
     return members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(part, "a long, b long")
 
 
+def pivot_heads(pivots: np.ndarray) -> np.ndarray:
+    """For the pivots of each bucket the first one that those near one another join each with."""
+    filled = (pivots[:, :, None] != 0) | (pivots[:, None] != 0)
+    reach = ((pivots[:, :, None] == pivots[:, None]) & filled).sum(3) >= TAKEN_IN * np.maximum(filled.sum(3), 1)
+    reach |= np.eye(pivots.shape[1], dtype=bool)
+    for _ in range(PIVOTS.bit_length()):
+        reach = reach @ reach
+    return reach.argmax(2)
+
+
 def split(large: DataFrame) -> DataFrame:
     """One level of large buckets (``bucket, node, label, sketch``): all nodes against ``PIVOTS`` nodes of the bucket, then down.
 
-    Edges ``a, b`` (``node`` null) join a node with the first pivot that takes it in, and pivots that take in the same. A node
-    next to a pivot is done; the others go to buckets a level below, with the pivot's label. Each bucket's pivots are one row.
+    Edges ``a, b`` (``node`` null) join a node with the first pivot that takes it in, pivots that are near one another, and pivots
+    that take in the same; a task names such pairs once. A node next to a pivot is done; the others go to buckets a level below,
+    with one label for all that near pivots take in. Each bucket's pivots are one row.
     """
     pivots = large.groupBy("bucket").agg(F.array(*(F.min_by(F.struct("node", "label", "sketch"), F.xxhash64("node", F.lit(k))) for k in range(PIVOTS))).alias("pivots"))
     pivots = pivots.select("bucket", F.transform("pivots", lambda p: p["node"]).alias("nodes"), F.transform("pivots", lambda p: p["label"]).alias("labels"), F.transform("pivots", lambda p: p["sketch"]).alias("sketches"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # of pivots
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
@@ -247,12 +259,19 @@ def split(large: DataFrame) -> DataFrame:
                 filled = (others != 0) | (sketch[:, None, :] != 0)
                 near = ((others == sketch[:, None, :]) & filled).sum(2) / np.maximum(filled.sum(2), 1)
                 taken = near >= TAKEN_IN
+                _, first, which = np.unique(bucket, return_index=True, return_inverse=True)
+                heads = pivot_heads(others[first])[which]
                 at, row = taken.argmax(1), np.arange(len(node))
                 met = taken[row, at]
-                pivot, own = names[row, at], np.where(met, classes[row, at], label)
+                pivot, head = names[row, at], heads[row, at]
+                own = np.where(met, classes[row, head], label)
                 joins = met & (pivot != node) & (label != own)
-                also, which = np.nonzero(taken & (names != pivot[:, None]))
-                pairs = np.unique(np.stack([pivot[also], names[also, which]]), axis=1)
+                # pivots that are near one another are joined where one of them is the row, others where a row is near both
+                is_pivot = (names == node[:, None]).any(1)
+                also, which = np.nonzero(taken & (names != pivot[:, None]) & (is_pivot[:, None] | (heads != head[:, None])))
+                pairs = set(zip(pivot[also].tolist(), names[also, which].tolist())) - seen
+                seen |= pairs
+                pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
                 a, b = np.concatenate([pivot[joins], pairs[0]]), np.concatenate([node[joins], pairs[1]])
                 rest = np.flatnonzero(near.max(1) < DONE)
                 row, below = next_buckets(bucket[rest].view(np.uint64), sketch[rest])

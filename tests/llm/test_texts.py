@@ -311,6 +311,16 @@ def test_join_where_all_share_a_passage(spark, monkeypatch):
     assert sum(n for _, n in found.values()) == 2 * len(met)
 
 
+def test_near_pivots_are_one_class():
+    """A chain of near pivots has one head though its ends aren't near; a pivot alone is its own."""
+    sketch = np.arange(1, 65, dtype=np.uint8)
+    far = np.arange(101, 165, dtype=np.uint8)
+    middle = np.where(np.arange(64) < 32, sketch, far)
+    alone = np.full(64, 255, np.uint8)
+    pivots = np.stack([sketch, alone, far, middle, far, sketch, alone, middle])
+    assert jaccard.pivot_heads(pivots[None]).tolist() == [[0, 1, 0, 0, 0, 0, 1, 0]]
+
+
 def test_recall_sets_the_runs(spark):
     assert jaccard.runs_for(0.5) < jaccard.runs_for(0.9) < jaccard.runs_for(0.999)
     rows = crowd(12, 90)
