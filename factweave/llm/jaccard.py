@@ -6,7 +6,9 @@ each. Nodes that share a bucket are candidates; a bucket that is larger than ``S
 are chosen among the 64 that a node's sketch has sampled, 1 in ``DEEPER`` * 64: similar nodes share most samples, so a
 true pair stays together the likelier, while buckets of nodes that have little more than a passage in common shrink. Before each
 split the nodes of a large bucket meet a few pivots of it, in one distributed pass: those next to a pivot (near copies) are
-done. Levels go on until no bucket is large; none is dropped, or taken whole in one task.
+done. A large bucket of which all but a few nodes are joined already goes no level down: those few, the strangers, meet all the
+others in small buckets, so a group of near copies doesn't grow from level to level. Levels go on until no bucket is large; none is
+dropped, or taken whole in one task.
 
 Runs repeat this, as many as ``recall`` asks for (``runs_for``): that counts with pairs at the very threshold, one set of which
 holds the other, so that they choose one common first token on average and none chooses fewer, and that meet in
@@ -241,14 +243,15 @@ def split(large: DataFrame) -> DataFrame:
     """One level of large buckets (``bucket, node, label, sketch``): all nodes against ``PIVOTS`` nodes of the bucket, then down.
 
     Edges ``a, b`` (``node`` null) join a node with the first pivot that takes it in, pivots that are near one another, and pivots
-    that take in the same; a task names such pairs once. A node next to a pivot is done; the others go to buckets a level below,
-    with one label for all that near pivots take in. Each bucket's pivots are one row.
+    that take in the same. They are drawn between labels, so what is joined already is named once for some rows. A node next to
+    a pivot is done; the others go to buckets a level below, with one label for all that near pivots take in. Each bucket's pivots
+    are one row.
     """
     pivots = large.groupBy("bucket").agg(F.array(*(F.min_by(F.struct("node", "label", "sketch"), F.xxhash64("node", F.lit(k))) for k in range(PIVOTS))).alias("pivots"))
     pivots = pivots.select("bucket", F.transform("pivots", lambda p: p["node"]).alias("nodes"), F.transform("pivots", lambda p: p["label"]).alias("labels"), F.transform("pivots", lambda p: p["sketch"]).alias("sketches"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # of pivots
+        seen: set[tuple[int, int]] = set()  # of pivots' labels
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
@@ -263,16 +266,16 @@ def split(large: DataFrame) -> DataFrame:
                 heads = pivot_heads(others[first])[which]
                 at, row = taken.argmax(1), np.arange(len(node))
                 met = taken[row, at]
-                pivot, head = names[row, at], heads[row, at]
+                pivot, head, joined = names[row, at], heads[row, at], classes[row, at]
                 own = np.where(met, classes[row, head], label)
-                joins = met & (pivot != node) & (label != own)
+                joins = met & (label != joined) & (label != own)
                 # pivots that are near one another are joined where one of them is the row, others where a row is near both
                 is_pivot = (names == node[:, None]).any(1)
                 also, which = np.nonzero(taken & (names != pivot[:, None]) & (is_pivot[:, None] | (heads != head[:, None])))
-                pairs = set(zip(pivot[also].tolist(), names[also, which].tolist())) - seen
+                pairs = set(zip(joined[also].tolist(), classes[also, which].tolist())) - seen
                 seen |= pairs
-                pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
-                a, b = np.concatenate([pivot[joins], pairs[0]]), np.concatenate([node[joins], pairs[1]])
+                pairs = np.array(sorted(x for x in pairs if x[0] != x[1]), np.int64).reshape(-1, 2).T
+                a, b = np.unique(np.concatenate([np.stack([joined[joins], label[joins]]), pairs], axis=1), axis=1)
                 rest = np.flatnonzero(near.max(1) < DONE)
                 row, below = next_buckets(bucket[rest].view(np.uint64), sketch[rest])
                 row = rest[row]
@@ -283,6 +286,27 @@ def split(large: DataFrame) -> DataFrame:
     return large.join(pivots, "bucket").select("bucket", "node", "label", "sketch", "nodes", "labels", "sketches").mapInArrow(part, "a long, b long, bucket long, node long, label long, sketch binary")
 
 
+def lopsided(large: DataFrame) -> DataFrame:
+    """``bucket, main, shares``: buckets in which at most a third of ``SMALL`` nodes, the strangers, have another label than ``main``.
+
+    Only pairs of two labels can join anything, so it takes no level below: ``shares`` are as many as make small buckets of the
+    strangers and one share of the others each.
+    """
+    counts = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    strangers = F.col("n") - F.col("most.n")
+    shares = F.ceil(F.col("most.n") / (2 * (SMALL - strangers) / 3)).cast("long")
+    return most.where(strangers <= SMALL // 3).select("bucket", F.col("most.label").alias("main"), shares.alias("shares"))
+
+
+def shared_out(large: DataFrame, sides: DataFrame) -> DataFrame:
+    """Rows of ``lopsided`` buckets anew: a node of the main label in one share's bucket, a stranger in each."""
+    share = F.pmod(F.xxhash64("bucket", "node"), F.col("shares"))
+    at = F.when(F.col("label") == F.col("main"), F.array(share)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
+    rows = large.join(sides, "bucket").select("bucket", F.explode(at).alias("share"), "node", "label", "sketch")
+    return rows.select(F.xxhash64("bucket", "share").alias("bucket"), "node", "label", "sketch")
+
+
 def wave_edges(first: DataFrame, wave: int, labels: DataFrame | None) -> DataFrame:
     """``a, b`` of a wave of runs; ``labels``: what earlier waves joined (``node, component``), which isn't looked at again."""
     sketch = first.select("node", "sketch")
@@ -305,7 +329,9 @@ def wave_edges(first: DataFrame, wave: int, labels: DataFrame | None) -> DataFra
     large = written(parted(rows).join(sketch, "node").select("bucket", "node", "label", "sketch"))
     small[0] = small[0].join(sketch, "node").select("bucket", "node", "label", "sketch")
     while not large.isEmpty():
-        passed = written(split(large), few=False)
+        sides = written(lopsided(large))
+        level = split(large.join(sides, "bucket", "left_anti"))
+        passed = written(level.unionByName(shared_out(large, sides), allowMissingColumns=True), few=False)
         edges.append(passed.where("node is null").select("a", "b"))
         large = written(parted(passed.where("node is not null").select("bucket", "node", "label", "sketch")))
     out = candidate_edges(reduce(DataFrame.unionByName, small))

@@ -321,6 +321,34 @@ def test_near_pivots_are_one_class():
     assert jaccard.pivot_heads(pivots[None]).tolist() == [[0, 1, 0, 0, 0, 0, 1, 0]]
 
 
+def test_strangers_meet_a_joined_group_without_a_level_below(spark, monkeypatch):
+    """A large bucket that is joined but for a few nodes isn't split: those few meet all others in small buckets."""
+    rng = np.random.default_rng(14)
+    sketch = rng.integers(1, 256, (900, 64)).astype(np.uint8)
+    sketch[899, :40] = sketch[700, :40]  # of the strangers this one is near a node of the group
+    sketch[898, 30:] = sketch[897, 30:]  # and these are near each other
+    first = spark.createDataFrame([(i, bytearray(x.tobytes()), [7]) for i, x in enumerate(sketch)], "node long, sketch binary, tops0 array<bigint>")
+    labels = spark.createDataFrame([(i, 0) for i in range(897)], "node long, component long")
+    split, largest, level, below = [], [], jaccard.split, jaccard.candidate_edges
+    monkeypatch.setattr(jaccard, "split", lambda large: split.append(large.count()) or level(large))
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda members: largest.append(members.groupBy("bucket").count().agg({"count": "max"}).first()[0]) or below(members))
+    found = {(r["a"], r["b"]) for r in jaccard.wave_edges(first, 0, labels).collect()}
+    assert sum(split) == 0 and largest[0] <= jaccard.SMALL
+    near = {frozenset(p) for p in found}
+    assert frozenset((700, 899)) in near and frozenset((897, 898)) in near and len(near) == 2
+
+
+def test_joined_rows_give_an_edge_once(spark):
+    """Rows of one label that a pivot of another takes in give one edge for all of them."""
+    sketch = np.full((400, 64), 9, np.uint8)
+    sketch[:, 40:] = np.random.default_rng(15).integers(10, 256, (400, 24))
+    rows = [(7, i, 0 if i < 300 else i, bytearray(x.tobytes())) for i, x in enumerate(sketch)]
+    large = spark.createDataFrame(rows, "bucket long, node long, label long, sketch binary").coalesce(1)
+    edges = jaccard.split(large).where("node is null").select("a", "b").collect()
+    assert len(edges) == len(set(edges)) <= 100
+    assert {r["node"]: r["component"] for r in components(spark.createDataFrame(edges)).collect()} == {i: 0 for i in (0, *range(300, 400))}
+
+
 def test_recall_sets_the_runs(spark):
     assert jaccard.runs_for(0.5) < jaccard.runs_for(0.9) < jaccard.runs_for(0.999)
     rows = crowd(12, 90)
