@@ -55,6 +55,8 @@ TEMPLATES = [
 #: What tells a license from one that is all but worded alike: no block without this word gets the label.
 REQUIRED = {"agpl": "affero", "lgpl": "lesser", "cc-by-nc": "nc", "cc-by-sa": "sa"}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same characters, named themselves: Java's matcher takes several times as long where a class of three ranges is negated.
+JAVA_WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,7 +65,7 @@ def lowered(text: Column) -> Column:
 
 
 def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(JAVA_WORD), F.lit(0))
 
 
 def strings(values: list[str]) -> Column:

@@ -3,6 +3,7 @@ import pathlib
 import random
 import re
 import textwrap
+import time
 
 import duckdb
 import numpy as np
@@ -11,6 +12,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factweave.llm import common, fingerprint, html, jaccard, licenses, lines, quality, suffixes
 from factweave.llm.components import components
@@ -532,6 +534,29 @@ def test_wrapped_licenses(spark):
     assert found[len(cases)]["labels"] == "" and found[len(cases)]["score"] == 0
 
 
+def test_words_of_licenses_are_those_of_the_sql(spark):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(points), " ".join(points)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, found in df.select("doc_id", licenses.word_list(F.col("text"))).collect():
+        assert found == re.findall(licenses.WORD, texts[i])
+
+
+def test_words_of_licenses_are_read_as_fast_as_by_a_plain_class(spark):
+    rng = random.Random(31)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 10))) for _ in range(8000))
+    df = spark.range(0, 120, 1, 4).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("text")).localCheckpoint()
+
+    def seconds(words):
+        begin = time.perf_counter()
+        assert df.agg(F.min(F.size(words))).first()[0] == 8000
+        return time.perf_counter() - begin
+
+    ways = [licenses.word_list(F.col("text")), F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F]+"), F.lit(0))]
+    took = [min(times) for times in zip(*([seconds(words) for words in ways] for _ in range(5)), strict=True)]
+    assert took[0] < 2 * took[1], took
+
+
 # HTML
 @pytest.mark.parametrize(
     ("page", "text"),
