@@ -14,7 +14,7 @@ from factweave.operators.documents import DocQuery, Op
 from factweave.operators.graph import Graph, value_text
 from factweave.operators.transactions import Database
 from factweave.plans.builder import Query
-from factweave.sources import scratch
+from factweave.sources import scratch, sizes
 from factweave.sources import tables as T
 from factweave.streaming import current
 
@@ -720,10 +720,11 @@ def w_collections(spark, d):
 
 @query("stream_current", f"WITH {LOG}, {_latest_sql()} SELECT collection, key, v.value AS value, txn_id FROM (SELECT 'users' AS collection, * FROM latest) WHERE NOT v.is_deleted")
 def stream_current(spark, d):
-    """The whole log as a stream of two files, and the table of current values that its batches maintain."""
+    """The whole log as a stream of files, two at least, and the table of current values that its batches maintain."""
     root = f"{scratch.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     try:
-        T.user_log(spark, d).repartition(2, "generation").write.parquet(f"{root}/log")
+        log = T.user_log(spark, d)
+        log.repartition(max(2, sizes.parts(log)), "generation", "key").write.parquet(f"{root}/log")
         current.maintain(current.log_stream(spark, f"{root}/log"), f"{root}/kept", f"{root}/progress").awaitTermination()
         return scratch.checkpoint(current.current(spark, f"{root}/kept"))
     finally:

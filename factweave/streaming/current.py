@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factweave.operators import kv
+from factweave.sources import sizes
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -24,7 +25,8 @@ def maintain(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keeps one folder per batch under ``path``: the newest version of each key so far, tombstones too.
 
     A batch that is run again gives the same folder, so the result is exact once. Folders of older batches but the last
-    one go.
+    one go. Versions are dealt out by key and size before they are compared: comparing structs with texts sorts, and a task would
+    sort all of a large file.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -36,7 +38,8 @@ def maintain(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         rows = batch.select("collection", "key", "value", "txn_id", "seq", "is_deleted")
         if before:
             rows = rows.unionByName(spark.read.parquet(f"{path}/batch-{before[-1]}"))
-        version = F.max_by(F.struct("value", "txn_id", "seq", "is_deleted"), F.struct("txn_id", "seq")).alias("v")
+        version = F.max(F.struct("txn_id", "seq", "is_deleted", "value")).alias("v")
+        rows = sizes.spread(rows, "collection", "key")
         rows.groupBy("collection", "key").agg(version).select("collection", "key", "v.*").write.mode("overwrite").parquet(f"{path}/batch-{number}")
         for old in before[:-1]:
             fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch-{old}"), True)

@@ -22,3 +22,13 @@ def test_relationships_are_told_apart_in_parts_by_size(spark, sf, small_tasks):
     again = facts.insert_edges(edges, edges.limit(10))
     assert again.rdd.getNumPartitions() > 4 and again.count() == 5942
     assert sizes.parts(facts.edge_rows(spark, [(1, "K", 2)])) is None and facts.insert_edges(facts.edge_rows(spark, [(1, "K", 2)]), facts.edge_rows(spark, [(1, "K", 2)])).count() == 1
+
+
+def test_a_stream_is_folded_in_parts_by_size(spark, sf, tmp_path, small_tasks):
+    path, out, seen = (f"file://{tmp_path}/{x}" for x in ("log", "out", "seen"))
+    log = T.user_log(spark, sf)
+    log.write.parquet(f"{path}/1")
+    spark.createDataFrame([("tie", "k", "a", 1, 0, False, 0), ("tie", "k", None, 1, 0, True, 0)], kv.LOG).write.parquet(f"{path}/2")
+    current.maintain(current.log_stream(spark, path), out, seen).awaitTermination(120)
+    assert len(list((tmp_path / "out/batch-0").glob("part-*.parquet"))) > 4
+    assert sorted(current.current(spark, out).collect()) == sorted(kv.latest(log).select("collection", "key", "value", "txn_id").collect())
