@@ -9,25 +9,40 @@ from factweave.sources.scratch import checkpoint
 
 #: After so many rounds what a side of a search has reached is written as one table, so plans stay short on deep graphs.
 MERGED = 16
+#: So many objects at most are sent to all executors, through the driver.
+FEW = 50_000
+
+
+def _sized(objects: DataFrame, n: int) -> DataFrame:
+    """A side of a join of n rows at most: broadcast if they are few, else neither side is.
+
+    Left to itself Spark takes relationships for as small as the files they are made from, and broadcasts them.
+    """
+    return F.broadcast(objects) if n <= FEW else objects.hint("merge")
 
 
 class _Side:
     """One side of a search: its layers of objects (``node, next``), the newest last. ``next``: the least object a step nearer to the goal."""
 
     def __init__(self, node: int, spark: SparkSession, near: str, far: str):
-        self.near, self.far, self.size = near, far, 1
+        self.near, self.far, self.sizes = near, far, [1]
         self.layers = [spark.createDataFrame([(node, None)], "node long, next long")]
         self.reached = self.layers[0].select("node")
 
+    @property
+    def size(self) -> int:
+        """Of the newest layer."""
+        return self.sizes[-1]
+
     def step(self, edges: DataFrame, other: "_Side") -> bool:
         """Adds a layer; true if it meets the other side's newest one."""
         front = self.layers[-1].select(F.col("node").alias("at"))
-        new = edges.join(front, edges[self.near] == front["at"]).groupBy(F.col(self.far).alias("node")).agg(F.min("at").alias("next"))
-        new = new.join(self.reached, "node", "left_anti")
+        new = edges.join(_sized(front, self.size), F.col(self.near) == F.col("at")).groupBy(F.col(self.far).alias("node")).agg(F.min("at").alias("next"))
+        new = new.join(_sized(self.reached, sum(self.sizes)), "node", "left_anti")
         met = other.layers[-1].select("node", F.lit(True).alias("met"))
-        layer = checkpoint(new.join(met, "node", "left").select("node", "next", "met"))
+        layer = checkpoint(new.join(_sized(met, other.size), "node", "left").select("node", "next", "met"))
         found = layer.agg(F.count(F.lit(1)).alias("n"), F.max("met").alias("met")).first()
-        self.size = found["n"]
+        self.sizes.append(found["n"])
         self.layers.append(layer.select("node", "next"))
         self.reached = self.reached.unionByName(layer.select("node"))
         if len(self.layers) % MERGED == 0:
@@ -56,10 +71,11 @@ def shortest_path(edges: DataFrame, start: int, end: int, rel: str, most: int |
         met = side.step(own, other)
         if not side.size:
             return spark.createDataFrame([], "pos int, obj_id long")
-    goal = ahead.layers[-1].join(behind.layers[-1].select("node"), "node", "left_semi").select(F.col("node").alias("to"))
-    leads = []
-    for layer in reversed(ahead.layers[:-1]):
-        step = own.join(layer.select(F.col("node").alias("src")), "src", "left_semi").join(goal, F.col("dst") == F.col("to"))
+    goal = ahead.layers[-1].join(_sized(behind.layers[-1].select("node"), behind.size), "node", "left_semi").select(F.col("node").alias("to"))
+    leads, most_goals = [], min(ahead.size, behind.size)
+    for layer, n in zip(reversed(ahead.layers[:-1]), reversed(ahead.sizes[:-1])):
+        step = own.join(_sized(layer.select(F.col("node").alias("src")), n), "src", "left_semi").join(_sized(goal, most_goals), F.col("dst") == F.col("to"))
+        most_goals = n
         leads.append(checkpoint(step.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next"))))
         goal = leads[-1].select(F.col("node").alias("to"))
     path = [start]

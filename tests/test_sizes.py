@@ -32,3 +32,21 @@ def test_a_stream_is_folded_in_parts_by_size(spark, sf, tmp_path, small_tasks):
     current.maintain(current.log_stream(spark, path), out, seen).awaitTermination(120)
     assert len(list((tmp_path / "out/batch-0").glob("part-*.parquet"))) > 4
     assert sorted(current.current(spark, out).collect()) == sorted(kv.latest(log).select("collection", "key", "value", "txn_id").collect())
+
+
+def test_relationships_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Of files so small that Spark would send them to all: only a side known to have few rows may be."""
+    facts.edge_rows(spark, [(k, "K", k + 1) for k in range(1, 30)] + [(1, "K", 3), (2, "K", 4)]).write.parquet(f"{tmp_path}/edges")
+    edges, plans = spark.read.parquet(f"{tmp_path}/edges"), []
+    kept = algorithms.checkpoint
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(algorithms, "checkpoint", watched)
+    for few in (0, 50_000):
+        monkeypatch.setattr(algorithms, "FEW", few, raising=False)
+        plans.clear()
+        assert [r["obj_id"] for r in algorithms.shortest_path(edges, 1, 7, "K").orderBy("pos").collect()] == [1, 2, 4, 5, 6, 7]
+        assert any("Join" in p for p in plans) and all(("Broadcast" in p) == bool(few) for p in plans if "Join" in p)
