@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import scalars as S
 from factweave.operators import sets
+from factweave.sources import sizes
 
 Source = DataFrame | Callable[[], DataFrame]
 
@@ -44,10 +45,11 @@ class Graph:
     def write(self, path: str) -> None:
         """Properties by field and relationships by type, so one of either is a folder of its own.
 
-        Rows are dealt out by ranges of folder and id, so a folder of many rows has many files, each of its own ids.
+        Rows are dealt out by ranges of folder and id, as many as their size asks for, so a folder of many rows has many files, each of
+        its own ids, and what a task sorts by folders doesn't grow.
         """
-        self.props.repartitionByRange("field", "obj_id").write.partitionBy("field").parquet(f"{path}/props")
-        self.edges.repartitionByRange("rel", "src").write.partitionBy("rel").parquet(f"{path}/edges")
+        sizes.spread_by_range(self.props, "field", "obj_id").write.partitionBy("field").parquet(f"{path}/props")
+        sizes.spread_by_range(self.edges, "rel", "src").write.partitionBy("rel").parquet(f"{path}/edges")
 
     # properties
     def facts(self, obj_id: int) -> DataFrame:

@@ -50,3 +50,10 @@ def test_relationships_are_not_broadcast(spark, tmp_path, monkeypatch):
         plans.clear()
         assert [r["obj_id"] for r in algorithms.shortest_path(edges, 1, 7, "K").orderBy("pos").collect()] == [1, 2, 4, 5, 6, 7]
         assert any("Join" in p for p in plans) and all(("Broadcast" in p) == bool(few) for p in plans if "Join" in p)
+
+
+def test_a_graph_is_laid_down_in_parts_by_size(spark, sf, tmp_path, small_tasks):
+    Graph(T.props(spark, sf, ("part",)), T.edges(spark, sf, ("PLACED",))).write(f"{tmp_path}/g")
+    assert len(list((tmp_path / "g/props/field=type").glob("*.parquet"))) > 4 and len(list((tmp_path / "g/edges/rel=PLACED").glob("*.parquet"))) > 4
+    again = Graph.read(spark, f"{tmp_path}/g")
+    assert again.edges.count() == 1500 and again.props.agg(F.countDistinct("obj_id").alias("n")).first()["n"] == T.table(spark, sf, "part").count()
