@@ -57,3 +57,15 @@ def test_a_graph_is_laid_down_in_parts_by_size(spark, sf, tmp_path, small_tasks)
     assert len(list((tmp_path / "g/props/field=type").glob("*.parquet"))) > 4 and len(list((tmp_path / "g/edges/rel=PLACED").glob("*.parquet"))) > 4
     again = Graph.read(spark, f"{tmp_path}/g")
     assert again.edges.count() == 1500 and again.props.agg(F.countDistinct("obj_id").alias("n")).first()["n"] == T.table(spark, sf, "part").count()
+
+
+def test_a_snapshot_is_compared_in_parts_by_size(spark, sf, tmp_path, small_tasks):
+    db = Database.create(spark, f"file://{tmp_path}/db")
+    txn = graph_transactions.GraphTransaction(db)
+    txn.load(T.props(spark, sf, ("nation", "part")), T.edges(spark, sf, ("IN_REGION", "CONTAINS")))
+    txn.commit()
+    g = graph_transactions.graph(db)
+    assert g.props.rdd.getNumPartitions() > 4 and g.edges.rdd.getNumPartitions() > 4
+    # a value is shuffled once, not beside its place in the order
+    assert "max_by" not in g.props._jdf.queryExecution().optimizedPlan().toString()
+    assert g.props.exceptAll(T.props(spark, sf, ("nation", "part"))).isEmpty() and g.edges.count() == 5942 + 25
